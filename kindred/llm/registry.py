@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from kindred.llm import exact_dedup, mixing
+from kindred.llm import bpe_codec, exact_dedup, mixing, token_counts
 from kindred.llm.common import table
 
 
+def op1_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -14,8 +18,12 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_codec(spark, sf_dir):
+    return bpe_codec.digests(bpe_codec.round_trip(table(spark, sf_dir, "documents")))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_mixing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op4_mixing, op8_exact_dedup, op9_bpe_codec)}
 
 
 def oracle_sql():
