@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe_codec, exact_dedup, mixing, token_counts
-from kindred.llm.common import table
+from kindred.llm import bpe_codec, chat, exact_dedup, mixing, token_counts, warc
+from kindred.llm.common import scratch, table
 
 
 def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark, sf_dir):
+    return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op3_warc(spark, sf_dir):
+    path = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.digests(warc.read_archives(spark, path))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -23,8 +33,8 @@ def op9_bpe_codec(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op4_mixing, op8_exact_dedup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op8_exact_dedup, op9_bpe_codec)}
 
 
 def oracle_sql():
-    return {"op4_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_chat_format": chat.ORACLE, "op4_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
