@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe_codec, chat, exact_dedup, mixing, token_counts, warc
+from kindred.llm import bpe_codec, chat, exact_dedup, max_score, mixing, token_counts, warc
 from kindred.llm.common import scratch, table
 
 
@@ -24,6 +24,11 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_max_score(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return max_score.top_k(vectors, vectors.where(f"vec_id % {max_score.EVERY} = 0"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
@@ -33,8 +38,8 @@ def op9_bpe_codec(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op8_exact_dedup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op5_max_score, op8_exact_dedup, op9_bpe_codec)}
 
 
 def oracle_sql():
-    return {"op2_chat_format": chat.ORACLE, "op4_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_chat_format": chat.ORACLE, "op4_mixing": mixing.ORACLE, "op5_max_score": max_score.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
