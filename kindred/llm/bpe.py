@@ -20,8 +20,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Compiled states and remembered pieces that a worker keeps before it starts afresh.
-MOST_STATES, MOST_PIECES = 150_000, 400_000
+#: States that a worker compiles (later ones are simulated, as a lazy automaton does when its cache is full),
+#: neighbour pairs that it remembers, and pieces.
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 60_000, 200_000, 600_000
 CHUNK = 512
 
 
@@ -120,32 +121,66 @@ class Merges:
         self.moves[state][byte] = move = (to, first[1:common])
         return move
 
+    def _simulate(self, state: int, rest: bytes) -> list[int]:
+        """What the machine emits from a state over the rest of a piece, without compiling more states."""
+        open_ = []
+        for node, before in self.states[state]:
+            chain = None
+            for token in before:
+                chain = (token, chain)
+            open_.append((node, chain))
+        following, ends, known = self.next, self.ends, self.known
+        for byte in rest:
+            after, ended = [], None
+            for node, before in open_:
+                child = following[node].get(byte)
+                if child is None:
+                    continue
+                if ended is None and (token := ends[child]) >= 0:
+                    pair = (before[0], token)
+                    fits = known.get(pair)
+                    if fits is None:
+                        fits = known[pair] = pair[0] < 0 or self.apart(*pair)
+                    if fits:
+                        ended = (token, before)
+                if following[child]:
+                    after.append((child, before))
+            after.append((0, ended))
+            open_ = after
+        out, chain = [], open_[-1][1]
+        while chain[1] is not None:
+            out.append(chain[0])
+            chain = chain[1]
+        if len(known) > MOST_PAIRS:
+            known.clear()
+        return out[::-1]
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece, emitted as the bytes come in."""
         moves, state, out = self.moves, 0, []
-        for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
+        for at, byte in enumerate(piece):
+            move = moves[state].get(byte)
+            if move is None:
+                if len(moves) >= MOST_STATES:
+                    return (*out, *self._simulate(state, piece[at:]))
+                move = self._move(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
-        out += self.rest[state]
-        if len(self.states) > MOST_STATES:
-            self._begin()
-            self.known.clear()
-        return tuple(out)
+        return (*out, *self.rest[state])
 
     def count(self, piece: bytes) -> int:
         """The number of ids of one piece: the sum of the counts on its transitions."""
         moves, state, n = self.moves, 0, 0
-        for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
+        for at, byte in enumerate(piece):
+            move = moves[state].get(byte)
+            if move is None:
+                if len(moves) >= MOST_STATES:
+                    return n + len(self._simulate(state, piece[at:]))
+                move = self._move(state, byte)
             state = move[0]
             n += len(move[1])
-        n += len(self.rest[state])
-        if len(self.states) > MOST_STATES:
-            self._begin()
-            self.known.clear()
-        return n
+        return n + len(self.rest[state])
 
 
 def letters_of_bytes() -> dict[str, int]:
@@ -295,13 +330,17 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 class Memo(dict):
-    """Remembers f of each piece; starts afresh when full."""
+    """Remembers f of each piece, in two generations: when the younger is full, the elder is dropped."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.elder = f, {}
 
     def __missing__(self, piece: str):
-        if len(self) >= MOST_PIECES:
+        out = self.elder.get(piece)
+        if out is None:
+            out = self.f(piece.encode("utf-8", "surrogatepass"))
+        if len(self) >= MOST_PIECES // 2:
+            self.elder = dict(self)
             self.clear()
-        out = self[piece] = self.f(piece.encode("utf-8", "surrogatepass"))
+        self[piece] = out
         return out
