@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe_codec, chat, exact_dedup, max_score, mixing, token_counts, warc
+from kindred.llm import bpe_codec, chat, exact_dedup, jaccard_join, max_score, mixing, token_counts, warc
 from kindred.llm.common import scratch, table
 
 
@@ -37,8 +37,12 @@ def op9_bpe_codec(spark, sf_dir):
     return bpe_codec.digests(bpe_codec.round_trip(table(spark, sf_dir, "documents")))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op5_max_score, op8_exact_dedup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op5_max_score, op8_exact_dedup, op9_bpe_codec, op10_jaccard_join)}
 
 
 def oracle_sql():
