@@ -17,6 +17,7 @@ empty table gives an empty result. Extra columns are not read. A conversation is
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ VOCABULARY = "byte_bpe_50k.json"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CONTROL = r"(?=\||/?s>|/?INST\])"
 #: Characters that are encoded together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 17
 
 
 def escaped(text: str) -> str:
@@ -77,6 +78,8 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 @lru_cache(1)
 def encoder(path: str):
+    """The library's encoder, in the task's own thread: its pool would take other tasks' cores and memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
