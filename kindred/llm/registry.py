@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe_codec, chat, exact_dedup, jaccard_join, max_score, mixing, token_counts, warc
+from kindred.llm import bpe_codec, chat, exact_dedup, jaccard_join, max_score, mixing, token_counts, toxicity, warc
 from kindred.llm.common import scratch, table
 
 
@@ -29,6 +29,11 @@ def op5_max_score(spark, sf_dir):
     return max_score.top_k(vectors, vectors.where(f"vec_id % {max_score.EVERY} = 0"))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op5_max_score, op8_exact_dedup, op9_bpe_codec, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op5_max_score, op6_toxicity, op8_exact_dedup, op9_bpe_codec, op10_jaccard_join)}
 
 
 def oracle_sql():
