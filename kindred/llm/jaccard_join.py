@@ -5,11 +5,11 @@
 2. A linked pair has 3/4 of the shingles of either side in common, and common shingles are shared ones. A document
    of which fewer than 3/4 are shared has no link and leaves; for most texts this ends the work.
 3. Documents with the same set are one class (they are linked anyway); classes go on.
-4. Stars: classes that agree in one of a few minimum hashes are compared with the least class of their group. That
-   joins families of near copies in time proportional to their size.
+4. Stars: classes that agree in one of a few minimum hashes are compared with one class of their group. That joins
+   families of near copies in time proportional to their size.
 5. Tiles: classes meet under a shingle of their prefixes, the rarest shingles first. Two linked classes share one:
-   the rarest common shingle is in both prefixes. Only pairs in a size band (3/4 to 4/3) whose classes are not yet
-   in one star are compared, and no tile emits pairs from within a joined family.
+   the rarest common shingle is in both prefixes. Only pairs in a size band (3/4 to 4/3), with enough shared
+   shingles after that place and not joined yet are compared; no tile emits pairs from within a joined family.
 6. A pair is compared by bitmaps first: a bit that one side has and the other lacks stands for at least one
    element that is not common, which bounds the overlap from above. The rest meet by exact intersection of sorted
    arrays. Links then give components.
@@ -214,8 +214,8 @@ def band_bits(n: int) -> int:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """A row for each distinct set that can have a link: set_id, n, first (smallest doc_id), entries, map, stars (minimum hashes), prefix (shingles under which it meets others)."""
-    names = ["set_id", "n", "first", "entries", "map", "stars", "prefix"]
+    """A row for each distinct set that can have a link: set_id, n, first (smallest doc_id), entries, shared (their number), map, stars (minimum hashes), prefix (shingles under which it meets others)."""
+    names = ["set_id", "n", "first", "entries", "shared", "map", "stars", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,10 +228,10 @@ def _classes(docs: DataFrame) -> DataFrame:
                 prefixes.append(value[order[: len(value) - int(least_overlap(n)) + 1]].astype(np.int64))
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], pa.array(maps, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], pa.array([len(e) // 6 for e in batch.column("entries").to_pylist()], pa.int64()), pa.array(maps, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names)
 
     groups = docs.where("entries is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first("entries").alias("entries"), F.first("ranks").alias("ranks"))
-    return groups.mapInArrow(run, "set_id binary, n long, first long, entries binary, map binary, stars array<long>, prefix array<long>")
+    return groups.mapInArrow(run, "set_id binary, n long, first long, entries binary, shared long, map binary, stars array<long>, prefix array<long>")
 
 
 def _again(key: str):
@@ -271,28 +271,31 @@ def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * common >= NUMERATOR * (n + m - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    small = classes.select("set_id", "n", "map", (F.octet_length("entries") / 6).cast("long").alias("shared"))
-    ends = lambda x: small.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "map", "shared")])
-    close = pairs.join(ends("a"), "a").join(ends("b"), "b").where(_in_band("n_a", "n_b")).mapInArrow(bounded, "a binary, b binary")
+    close = pairs.join(side("a", "n", "map", "shared"), "a").join(side("b", "n", "map", "shared"), "b").where(_in_band("n_a", "n_b")).mapInArrow(bounded, "a binary, b binary")
     return close.join(side("a", "n", "entries"), "a").join(side("b", "n", "entries"), "b").mapInArrow(exact, "a binary, b binary")
 
 
 def _stars(classes: DataFrame) -> DataFrame:
-    """Pairs of each class with the least class that has the same minimum hash."""
-    keyed = classes.select("set_id", F.explode("stars").alias("key")).withColumn("again", F.xxhash64("key"))
-    middle = keyed.groupBy("key").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", _again("key"), "a")
-    return keyed.join(middle, ["key", "again"]).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    """Pairs of each class with one class of its minimum hash: that with the smallest part of unshared shingles, likely what the others were copied from."""
+    keyed = classes.select("set_id", (F.col("shared") / F.col("n")).alias("part"), F.explode("stars").alias("key")).withColumn("again", F.xxhash64("key"))
+    middle = keyed.groupBy("key").agg(F.max(F.struct("part", "set_id")).alias("most"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", _again("key"), F.col("most.set_id").alias("a"))
+    return keyed.join(middle, ["key", "again"]).where("a <> set_id").select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
 
 
 def _tiles(classes: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs of classes of a size band that share a shingle of their prefixes and are not in one star."""
-    star = stars.groupBy("b").agg(F.min("a").alias("star")).select(F.col("b").alias("set_id"), "star")
-    placed = classes.select("set_id", "n", "prefix").join(star, "set_id", "left").select("set_id", "n", F.coalesce("star", "set_id").alias("star"), F.explode("prefix").alias("key"))
-    placed = placed.withColumn("again", F.xxhash64("key"))
+    """Pairs of classes of a size band that share a shingle of their prefixes and that stars have not joined.
+
+    If a shingle is the first in order that two sets have in common, then no more than what follows it is common.
+    A pair is only emitted under shingles that leave enough for a link; its first common shingle always does.
+    """
+    star = components(stars).toDF("set_id", "star")
+    placed = classes.select("set_id", "n", "shared", F.posexplode("prefix").alias("at", "key")).join(star, "set_id", "left")
+    placed = placed.select("set_id", "n", (F.col("shared") - F.col("at")).alias("follow"), F.coalesce("star", "set_id").alias("star"), "key", _again("key"))
     most = placed.groupBy("key", "star").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("stars"), F.max_by("star", F.struct("size", "star")).alias("main"))
     mixed = written(placed.join(most.where("stars > 1").select("key", _again("key"), "main"), ["key", "again"]), "tiles")
     x, y = mixed.where("star <> main").alias("x"), mixed.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.star") != F.col("y.star")) & ((F.col("y.star") == F.col("y.main")) | (F.col("x.set_id") < F.col("y.set_id"))) & _in_band("x.n", "y.n"))
+    enough = (NUMERATOR + DENOMINATOR) * F.least("x.follow", "y.follow") >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.star") != F.col("y.star")) & ((F.col("y.star") == F.col("y.main")) | (F.col("x.set_id") < F.col("y.set_id"))) & _in_band("x.n", "y.n") & enough)
     return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
