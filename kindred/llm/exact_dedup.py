@@ -47,23 +47,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sortable(x) for x in ([f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [])
         )
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    body, ident = normalised(F.col("row")[text_col]), F.col("row")[id_col]
-    rest = [F.col("row")[f.name] for f in docs.schema.fields if f.name not in (id_col, text_col) and sortable(f.dataType)]
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    text, ident = F.col(names[text_col]), F.col(names[id_col])
+    kinds = {names[f.name]: f.dataType for f in docs.schema.fields}
+    rest = [F.col(c) for c, kind in kinds.items() if c not in (names[id_col], names[text_col]) and sortable(kind)]
     # the text travels once: as the group's key, and in the row only where normalising has changed it
-    kept = rows.select(
-        F.md5(body).alias("h"),
-        body.alias("body"),
-        F.struct(ident.isNull().alias("a"), ident.alias("b"), F.nullif(F.col("row")[text_col], body).alias("c"), *[c.alias(f"d{i}") for i, c in enumerate(rest)]).alias("rank"),
-        F.col("row").withField(text_col, F.nullif(F.col("row")[text_col], body)).withField("is null: text", F.col("row")[text_col].isNull()).alias("row"),
-    )
+    changed = F.nullif(text, F.col("body"))
+    kept = docs.toDF(*names.values()).withColumn("body", normalised(text)).select(
+        F.md5("body").alias("h"),
+        "body",
+        F.struct(ident.isNull(), ident, changed, *rest).alias("rank"),
+        F.struct(*[(changed if c == names[text_col] else F.col(c)).alias(c) for c in kinds], text.isNull().alias("void")).alias("row"),
+    )
     first = kept.groupBy("h", "body").agg(F.min_by("row", "rank").alias("row"))
-    return first.select(
-        *[
-            F.when(~F.col("row")["is null: text"], F.coalesce(F.col("row")[c], F.col("body"))).alias(c) if c == text_col else F.col("row")[c].alias(c)
-            for c in docs.columns
-        ]
-    )
+    whole = F.when(~F.col("row.void"), F.coalesce(F.col("row")[names[text_col]], F.col("body")))
+    return first.select(*[(whole if c == text_col else F.col("row")[names[c]]).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from kindred.llm import bpe_codec, chat, exact_dedup, jaccard_join, max_score, mixing, token_counts, toxicity, warc
+import corpus_pipeline
+from kindred.llm import bpe_codec, chat, exact_dedup, jaccard_join, lm_scoring, max_score, mixing, token_counts, toxicity, warc
 from kindred.llm.common import scratch, table
 
 
@@ -34,6 +35,10 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
@@ -46,8 +51,12 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op5_max_score, op6_toxicity, op8_exact_dedup, op9_bpe_codec, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_warc, op4_mixing, op5_max_score, op6_toxicity, op7_lm_scoring, op8_exact_dedup, op9_bpe_codec, op10_jaccard_join, pipeline)}
 
 
 def oracle_sql():
