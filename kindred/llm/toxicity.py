@@ -21,6 +21,7 @@ them on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +39,8 @@ WINDOW, HIDDEN, FOLDS = 32, 8, 4
 WORD_BITS, GRAM_BITS, GRAMS = 19, 18, (4, 5)
 INPUTS = 1 + 2 * len(GRAMS)
 PRIOR, EPOCHS, BATCH, RATE = 4.0, 12, 128, 0.02
+#: Bytes of text that training reads at a time.
+TRAIN_BYTES = 1 << 19
 #: Windows that run through the network together.
 TOGETHER = 4096
 U = np.uint64
@@ -255,27 +258,36 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """A model from labelled whole texts."""
     if not len(texts) or toxic.min() == toxic.max():
         return Model([], None)
-    fold = np.arange(len(texts)) % FOLDS
-    parts, total = [], None
-    for k in range(FOLDS):
-        data = [t.encode("utf-8", "surrogatepass") for t, f in zip(texts, fold, strict=True) if f == k]
-        words = read(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
-        counts = _counts(words, toxic[fold == k])
-        parts.append((words, counts, toxic[fold == k]))
-        total = counts if total is None else [a + b for a, b in zip(total, counts, strict=True)]
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    chunks, size = [[] for _ in range(FOLDS)], [TRAIN_BYTES] * FOLDS
+    for k, d in enumerate(data):  # a few hundred documents of one fold at a time
+        if size[k % FOLDS] >= TRAIN_BYTES:
+            chunks[k % FOLDS].append([])
+            size[k % FOLDS] = 0
+        chunks[k % FOLDS][-1].append(k)
+        size[k % FOLDS] += len(d)
+
+    def words_of(chunk: list[int]) -> Words:
+        return read(np.frombuffer(b"".join(data[k] for k in chunk), np.uint8), np.concatenate([[0], np.cumsum([len(data[k]) for k in chunk])]).astype(np.int64))
+
+    per_fold = [reduce(lambda x, y: [a + b for a, b in zip(x, y, strict=True)], (_counts(words_of(c), toxic[c]) for c in fold)) for fold in chunks if fold]
+    total = reduce(lambda x, y: [a + b for a, b in zip(x, y, strict=True)], per_fold)
     share = float(toxic.mean())
     xs, masks, ys = [], [], []
-    for words, counts, y in parts:
-        x = inputs(words, _evidence([a - b for a, b in zip(total, counts, strict=True)], share))
-        first, size, text = windows(words.counts)
-        evidence = x.max(axis=1) if len(x) else np.zeros(0, np.float32)
-        xw, mask = gathered(x, first, size)
-        peak = np.where(mask, evidence[np.minimum(first + np.arange(WINDOW)[:, None], max(len(x) - 1, 0))] if len(x) else 0, -np.inf).max(axis=0)
-        order = np.lexsort((-peak, text))
-        pick = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
-        xs.append(xw[:, pick])
-        masks.append(mask[:, pick])
-        ys.append(y[text[pick]])
+    for fold, own in zip([f for f in chunks if f], per_fold, strict=True):
+        tables = _evidence([a - b for a, b in zip(total, own, strict=True)], share)
+        for chunk in fold:
+            words = words_of(chunk)
+            x = inputs(words, tables)
+            first, size, text = windows(words.counts)
+            evidence = x.max(axis=1) if len(x) else np.zeros(0, np.float32)
+            xw, mask = gathered(x, first, size)
+            peak = np.where(mask, evidence[np.minimum(first + np.arange(WINDOW)[:, None], max(len(x) - 1, 0))] if len(x) else 0, -np.inf).max(axis=0)
+            order = np.lexsort((-peak, text))
+            pick = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
+            xs.append(xw[:, pick])
+            masks.append(mask[:, pick])
+            ys.append(toxic[chunk][text[pick]])
     network = Network()
     network.fit(np.concatenate(xs, axis=1), np.concatenate(masks, axis=1), np.concatenate(ys).astype(np.float32))
     return Model(_evidence(total, share), network)
