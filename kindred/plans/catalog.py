@@ -1,6 +1,626 @@
-"""The registered queries of the linkage engine and their SQL twins."""
+"""The registered queries of the linkage engine, one for each operator, and their SQL twins.
+
+A query runs over the whole driver tables (or the company feeds that sources.demo derives from them). Arrays come
+out as joined texts and doubles rounded to six places, so that two engines can be compared.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.functions import text as T
+from kindred.functions.phonetic import phonetic
+from kindred.functions.scripts import fold_all
+from kindred.operators import blocking, checks, decide, evaluate, folds, model, pairs, profile
+from kindred.operators.golden import golden_join, golden_match
+from kindred.operators.normalize import FIELDS, normalize
+from kindred.plans import oracles as O
+from kindred.sources import demo, tsv
+from kindred.sources.scratch import scratch
+from kindred.streaming import link
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NATIVE = tuple(f for f in FIELDS if f != "name_phonetic")
+GRID = [0.2, 0.4, 0.6, 0.8]
+TOP = 3
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return demo.view(spark, d, demo.RECORDS)
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    return demo.view(spark, d, demo.TRUTH)
+
+
+def normal(spark: SparkSession, d: str, only: tuple[str, ...] = NATIVE) -> DataFrame:
+    return normalize(records(spark, d), every_script=False, only=only)
+
+
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = normal(spark, d)
+    return n.where("source = 'S1'"), n.where("source <> 'S1'")
+
+
+def golden(spark: SparkSession, d: str) -> DataFrame:
+    return golden_join(*sides(spark, d))
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    return demo.view(spark, d, demo.SOURCE1).select(F.col("entity_id").alias("s1_id"))
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.place_channel(*sides(spark, d), "postal_code_guess").select("s1_id", "match_id")
+
+
+def features(spark: SparkSession, d: str, jaro: bool = False) -> DataFrame:
+    return pairs.features(candidates(spark, d), *sides(spark, d), jaro=jaro)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    score = F.round(0.5 * F.col("gram_jaccard") + 0.3 * F.col("edit") + 0.2 * F.col("address_overlap"), 6)
+    return features(spark, d).select("s1_id", "match_id", score.alias("score"))
+
+
+def truth_lists(spark: SparkSession, d: str) -> DataFrame:
+    return decide.lists(entities(spark, d), truth(spark, d))
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    return demo.view(spark, d, O.RESULTS)
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# ---- sources and sinks
+
+
+def feed_file(spark: SparkSession, d: str) -> str:
+    path = scratch(spark, "feed")
+    rows = records(spark, d).where("source <> 'S1'").select("entity_id", "business_name", "business_address", "country")
+    rows.write.options(sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+def lists_file(spark: SparkSession, d: str) -> str:
+    path = scratch(spark, "results")
+    tsv.write_results(truth_lists(spark, d).coalesce(1), path)  # one file, whose lines can be numbered
+    return path
+
+
+FEED = O.over("SELECT entity_id, business_name, business_address, country FROM records WHERE source <> 'S1'")
+
+
+@query("R1_tsv_scan", FEED)
+def _(spark, d):
+    return tsv.read_tsv(spark, feed_file(spark, d))
+
+
+@query("R2_path_layout", "SELECT 'source' || i AS name, 'f/train_source' || i || '.tsv' AS path FROM range(1, 4) t(i) UNION ALL SELECT 'ground_truth', 'f/train_ground_truth.tsv'")
+def _(spark, d):
+    return spark.createDataFrame(list(tsv.paths("f").items()), "name string, path string")
+
+
+@query("R3_id_column", O.over("SELECT source1_entity_id AS entity_id FROM lists", O.TRUTH_LISTS))
+def _(spark, d):
+    return tsv.read_ids(spark, lists_file(spark, d))
+
+
+@query("R4_result_lines", O.over("SELECT source1_entity_id AS s1_id, matched_entity_ids AS ids, true AS tab, row_number() OVER (ORDER BY source1_entity_id) + 1 AS line FROM lists", O.TRUTH_LISTS))
+def _(spark, d):
+    path = scratch(spark, "results")
+    tsv.write_results(truth_lists(spark, d).orderBy("source1_entity_id").coalesce(1), path)
+    return tsv.result_rows(tsv.lines(spark, path))
+
+
+@query("R5_existence", "SELECT true AS there, false AS elsewhere")
+def _(spark, d):
+    return spark.createDataFrame([(tsv.exists(spark, f"{d}/orders.parquet"), tsv.exists(spark, f"{d}/no-such-table"))], "there boolean, elsewhere boolean")
+
+
+@query("R6_valid_utf8", "SELECT true AS valid")
+def _(spark, d):
+    return spark.createDataFrame([(tsv.is_valid_utf8(spark, feed_file(spark, d)),)], "valid boolean")
+
+
+@query("R7_parquet_scan", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 5000").select("c_custkey", "c_name")
+
+
+@query("W1_markdown_report")
+def _(spark, d):
+    rows = records(spark, d)
+    lines = profile.markdown(rows, truth_lists(spark, d), normal(spark, d, only=("normalized_name", "postal_code_guess", "city_guess", "country")).drop("source", "business_name", "business_address"))
+    return spark.createDataFrame(list(enumerate(lines)), "line long, text string")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("W2_candidate_file", O.over("SELECT source1_entity_id || chr(9) || coalesce((SELECT string_agg(match_id, ',' ORDER BY match_id) FROM place WHERE s1_id = source1_entity_id), '') AS line FROM lists UNION ALL SELECT 'source1_entity_id' || chr(9) || 'candidate_entity_ids'", O.TRUTH_LISTS, O.PAIRS))
+def _(spark, d):
+    path = scratch(spark, "candidates")
+    tsv.write_results(tsv.candidate_cells(entities(spark, d), candidates(spark, d)).coalesce(1), path)
+    return read_lines(spark, path)
+
+
+@query("W3_matching_file", O.over("SELECT source1_entity_id || chr(9) || matched_entity_ids AS line FROM lists UNION ALL SELECT 'source1_entity_id' || chr(9) || 'matched_entity_ids'", O.TRUTH_LISTS))
+def _(spark, d):
+    return read_lines(spark, lists_file(spark, d))
+
+
+# ---- projections, filters, predicates
+
+
+@query("P1_projection", O.over("SELECT entity_id, business_name FROM records"))
+def _(spark, d):
+    return records(spark, d).select("entity_id", "business_name")
+
+
+@query("P2_filter_first", O.over("SELECT entity_id, business_name FROM records WHERE regexp_matches(business_name, '[^\\x00-\\x7F]') ORDER BY entity_id LIMIT 3"))
+def _(spark, d):
+    return profile.first_rows(records(spark, d).where(T.is_non_ascii(F.col("business_name"))).select("entity_id", "business_name"))
+
+
+@query("P3_null_to_empty", O.over("SELECT entity_id, raw_name, raw_address FROM n"))
+def _(spark, d):
+    return records(spark, d).select("entity_id", T.known(F.col("business_name")).alias("raw_name"), T.known(F.col("business_address")).alias("raw_address"))
+
+
+@query("P4_blank", O.over("SELECT entity_id, name_missing, address_missing FROM n"))
+def _(spark, d):
+    return records(spark, d).select("entity_id", T.is_blank(F.col("business_name")).alias("name_missing"), T.is_blank(F.col("business_address")).alias("address_missing"))
+
+
+@query("P5_non_ascii", O.over("SELECT entity_id, coalesce(regexp_matches(business_name, '[^\\x00-\\x7F]'), false) AS non_ascii FROM records"))
+def _(spark, d):
+    return records(spark, d).select("entity_id", T.is_non_ascii(F.col("business_name")).alias("non_ascii"))
+
+
+@query("P6_prefix", O.over("SELECT left(entity_id, 3) AS prefix, count(*) AS n FROM records GROUP BY 1"))
+def _(spark, d):
+    c = F.col("entity_id")
+    return records(spark, d).select(F.when(c.startswith("S1-"), "S1-").when(c.startswith("S2-"), "S2-").when(c.startswith("S3-"), "S3-").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("P7_head", O.over("SELECT * FROM records ORDER BY entity_id LIMIT 3"))
+def _(spark, d):
+    return profile.first_rows(records(spark, d))
+
+
+@query("P8_sample", O.over(f"SELECT entity_id FROM records ORDER BY md5(entity_id), entity_id LIMIT {profile.SAMPLE}"))
+def _(spark, d):
+    return profile.sample(records(spark, d)).select("entity_id")
+
+
+# ---- scalar functions
+
+
+def one_field(name: str, column: str, array: bool = False, oracle: str | None = None) -> None:
+    @query(name, oracle or O.field(column, array=array))
+    def _(spark, d):
+        value = F.array_join(column, "|") if array else F.col(column)
+        return normal(spark, d, only=(column,)).select("entity_id", value.alias(column))
+
+
+@query("N1_fold", f"SELECT doc_id, {O.fold('text')} AS folded FROM documents")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query("N1_fold_every_script", f"SELECT doc_id, {O.fold('text')} AS folded FROM documents")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fold_all(F.col("text")).alias("folded"))
+
+
+def on_documents(name: str, make, sql: str) -> None:
+    @query(name, f"SELECT doc_id, {sql} AS value FROM documents")
+    def _(spark, d):
+        return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", make(F.col("text")).alias("value"))
+
+
+on_documents("N2_lowercase", lambda c: F.lower(T.fold(c)), f"lower({O.fold('text')})")
+on_documents("N3_ampersand", T.spell_ampersand, "replace(text, '&', ' and ')")
+on_documents("N4_leading_punctuation", lambda c: T.strip_leading(T.fold(c)), rf"regexp_replace({O.fold('text')}, '^[^\w]+', '')")
+on_documents("N5_punctuation", T.blank_punctuation, f"translate(text, {O.q(T.PUNCTUATION)}, {O.q(' ' * len(T.PUNCTUATION))})")
+on_documents("N6_white_space", lambda c: T.collapse(T.fold(c)), rf"trim(regexp_replace({O.fold('text')}, '\s+', ' ', 'g'))")
+one_field("N7_normalized_name", "normalized_name")
+one_field("N8_tokens", "name_tokens", True)
+one_field("N9_legal_forms", "aggressive_normalized_name")
+one_field("N9_tokens_no_suffix", "name_tokens_no_suffix", True)
+one_field("N11_char_ngrams", "name_char_ngrams", True)
+one_field("A5_street_words", "normalized_address")
+one_field("A5_address_tokens", "address_tokens", True)
+one_field("A6_postal_code", "postal_code_guess")
+one_field("A7_city", "city_guess")
+one_field("A8_street_number", "street_number_guess")
+one_field("A9_country", "country")
+
+
+@query("N10_phonetic")
+def _(spark, d):
+    return normal(spark, d, only=("normalized_name",)).select("entity_id", phonetic(F.col("normalized_name")).alias("name_phonetic"))
+
+
+@query("A1_4_plain_address", O.over("SELECT entity_id, plain_address FROM n"))
+def _(spark, d):
+    return records(spark, d).select("entity_id", T.normalized_text(T.fold(T.known(F.col("business_address")))).alias("plain_address"))
+
+
+@query("A10_missing_flags", O.over("SELECT entity_id, name_missing, address_missing, postal_code_guess = '' AS postal_missing, city_guess = '' AS city_missing FROM n"))
+def _(spark, d):
+    flags = ("name_missing", "address_missing", "postal_missing", "city_missing")
+    return normal(spark, d, only=flags).select("entity_id", *flags)
+
+
+@query("normalized_record")
+def _(spark, d):
+    return normalize(records(spark, d))
+
+
+# ---- joins
+
+
+@query("J1_golden_predicate", O.over("SELECT t.s1_id, t.match_id, g.s1_id IS NOT NULL AS golden FROM truth t LEFT JOIN golden g USING (s1_id, match_id)", O.GOLDEN))
+def _(spark, d):
+    a, b = sides(spark, d)
+    side = lambda df, x, y: df.select(F.col("entity_id").alias(x), F.struct("aggressive_normalized_name", "country", "normalized_address", "postal_code_guess").alias(y))
+    both = truth(spark, d).join(side(a, "s1_id", "a"), "s1_id").join(side(b, "match_id", "b"), "match_id")
+    return both.select("s1_id", "match_id", golden_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("golden"))
+
+
+@query("J2_golden_join", O.over("SELECT s1_id, match_id FROM golden", O.GOLDEN))
+def _(spark, d):
+    return golden(spark, d)
+
+
+@query("J3_missing_and_extra", O.over("SELECT entity_id AS s1_id, 'missing' AS what FROM records WHERE source = 'S1' AND entity_id NOT IN (SELECT s1_id FROM truth) UNION ALL SELECT DISTINCT s1_id, 'extra' FROM truth WHERE s1_id NOT IN (SELECT entity_id FROM records WHERE source = 'S1')"))
+def _(spark, d):
+    need, seen = entities(spark, d), truth(spark, d).select("s1_id").distinct()
+    return need.join(seen, "s1_id", "left_anti").withColumn("what", F.lit("missing")).unionByName(seen.join(need, "s1_id", "left_anti").withColumn("what", F.lit("extra")))
+
+
+@query("J4_unknown_ids", O.over("SELECT match_id FROM truth WHERE match_id NOT IN (SELECT entity_id FROM records WHERE source = 'S2')"))
+def _(spark, d):
+    known = records(spark, d).where("source = 'S2'").select(F.col("entity_id").alias("match_id"))
+    return truth(spark, d).select("match_id").join(known, "match_id", "left_anti")
+
+
+@query("J5_not_among_candidates", O.over("SELECT DISTINCT s1_id FROM (SELECT * FROM golden EXCEPT SELECT * FROM place)", O.GOLDEN, O.PAIRS))
+def _(spark, d):
+    return golden(spark, d).join(candidates(spark, d), ["s1_id", "match_id"], "left_anti").select("s1_id").distinct()
+
+
+SIZES = O.over("SELECT s1_id, truths, guesses FROM sizes", O.GOLDEN, O.SCORES)
+
+
+@query("J6_outer_alignment", SIZES)
+def _(spark, d):
+    size = lambda df, c: df.groupBy("s1_id").agg(F.count(F.lit(1)).alias(c))
+    both = size(truth(spark, d), "truths").join(size(golden(spark, d), "guesses"), "s1_id", "full_outer")
+    return both.select("s1_id", F.coalesce("truths", F.lit(0)).alias("truths"), F.coalesce("guesses", F.lit(0)).alias("guesses"))
+
+
+@query("J7_intersection_size", O.over("SELECT s1_id, hits FROM every", O.GOLDEN, O.SCORES))
+def _(spark, d):
+    return evaluate.entity_scores(truth(spark, d), golden(spark, d), entities(spark, d)).select("s1_id", "hits")
+
+
+def fold_of(x: str, n: int) -> str:
+    return f"(('0x' || substr(md5({x}), 1, 8))::BIGINT % {n})::INTEGER"
+
+
+@query("J8_group_leakage", O.over(f"SELECT s1_id FROM truth GROUP BY s1_id HAVING bool_or({fold_of('match_id', 5)} = 0) AND bool_or({fold_of('match_id', 5)} <> 0)"))
+def _(spark, d):
+    rows = folds.hash_folds(truth(spark, d), "match_id", 5)  # folds that ignore the groups, so that some leak
+    return folds.leaked_groups(rows.where("fold <> 0"), rows.where("fold = 0"), "s1_id")
+
+
+TOKEN = f"""words AS (SELECT source, entity_id, unnest(list_distinct(name_tokens_no_suffix)) AS word FROM n),
+rare AS (SELECT word FROM words WHERE source <> 'S1' GROUP BY word HAVING count(*) <= {blocking.MOST_RECORDS}),
+token AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM words a JOIN words b USING (word) JOIN rare USING (word) WHERE a.source = 'S1' AND b.source <> 'S1')"""
+LEAST = "list_min(list_transform(name_char_ngrams, lambda g: md5('{0}:' || g)))"
+BANDS = " UNION ALL ".join(f"SELECT source, entity_id, '{b}:' || md5({' || '.join(LEAST.format(b * blocking.ROWS + r) for r in range(blocking.ROWS))}) AS band FROM n WHERE normalized_name <> ''" for b in range(blocking.BANDS))
+MINHASH = f"bands AS ({BANDS}), minhash AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM bands a JOIN bands b USING (band) WHERE a.source = 'S1' AND b.source <> 'S1')"
+
+
+def channel(name: str, table: str) -> str:
+    return f"SELECT s1_id, match_id, '{name}' AS channel FROM {table}"
+
+
+@query("J9_token_channel", O.over(channel("token", "token"), TOKEN))
+def _(spark, d):
+    return blocking.token_channel(*sides(spark, d))
+
+
+@query("J10_minhash_channel", O.over(channel("minhash", "minhash"), MINHASH))
+def _(spark, d):
+    return blocking.minhash_channel(*sides(spark, d))
+
+
+@query("J11_postal_channel", O.over(channel("postal_code_guess", "place"), O.PAIRS))
+def _(spark, d):
+    return blocking.place_channel(*sides(spark, d), "postal_code_guess")
+
+
+@query("J11_city_channel", O.over(f"SELECT s1_id, match_id, 'street_number_guess' AS channel FROM ({O.place_pairs('street_number_guess')})"))
+def _(spark, d):
+    return blocking.place_channel(*sides(spark, d), "street_number_guess")
+
+
+@query("J12_phonetic_channel")
+def _(spark, d):
+    n = normalize(records(spark, d), every_script=False)
+    return blocking.phonetic_channel(n.where("source = 'S1'"), n.where("source <> 'S1'"))
+
+
+@query("J13_channel_union", O.over("SELECT s1_id, match_id, string_agg(channel, '|' ORDER BY channel) AS channels FROM (SELECT *, 'token' AS channel FROM token UNION ALL SELECT *, 'postal_code_guess' FROM place) GROUP BY ALL", TOKEN, O.PAIRS))
+def _(spark, d):
+    a, b = sides(spark, d)
+    found = blocking.union(blocking.token_channel(a, b), blocking.place_channel(a, b, "postal_code_guess"))
+    return found.select("s1_id", "match_id", F.array_join("channels", "|").alias("channels"))
+
+
+# ---- aggregates
+
+
+@query("G1_row_counts", O.over("SELECT source, count(*) AS rows FROM records GROUP BY 1"))
+def _(spark, d):
+    return profile.counts(records(spark, d)).select("source", "rows")
+
+
+@query("G2_missing", O.over("SELECT source, rows, column_name AS \"column\", missing, round(100 * missing / rows, 6) AS percent FROM (SELECT source, count(*) AS rows, count(*) FILTER (name_missing) AS business_name, count(*) FILTER (address_missing) AS business_address, count(*) FILTER (country = '') AS country FROM n GROUP BY 1) UNPIVOT (missing FOR column_name IN (business_name, business_address, country))"))
+def _(spark, d):
+    return profile.missing(records(spark, d)).select("source", "rows", "column", "missing", *r6("percent"))
+
+
+@query("G3_distinct_ids", O.over("SELECT source, count(DISTINCT entity_id) AS ids FROM records GROUP BY 1"))
+def _(spark, d):
+    return profile.counts(records(spark, d)).select("source", "ids")
+
+
+HISTOGRAM = O.over("SELECT CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END AS matches, count(*) AS entities FROM lists GROUP BY 1 ORDER BY 1", O.TRUTH_LISTS)
+SHARES = "shares AS (SELECT count(*) AS entities, count(*) FILTER (matched_entity_ids = '') AS none, count(*) FILTER (matched_entity_ids <> '' AND NOT contains(matched_entity_ids, ',')) AS one, count(*) FILTER (contains(matched_entity_ids, ',')) AS many FROM lists)"
+
+
+@query("G4_match_histogram", HISTOGRAM)
+def _(spark, d):
+    return profile.match_histogram(truth_lists(spark, d))
+
+
+@query("S1_sorted_histogram", HISTOGRAM)
+def _(spark, d):
+    return profile.match_histogram(truth_lists(spark, d))
+
+
+@query("G5_match_shares", O.over("SELECT entities, none, one, many, round(100 * none / entities, 6) AS none_percent, round(100 * one / entities, 6) AS one_percent, round(100 * many / entities, 6) AS many_percent FROM shares", O.TRUTH_LISTS, SHARES))
+def _(spark, d):
+    return profile.match_shares(truth_lists(spark, d)).select("entities", "none", "one", "many", *r6("none_percent", "one_percent", "many_percent"))
+
+
+@query("G6_one_to_many", O.over("SELECT round(one / greatest(many, 1), 6) AS one_to_many FROM shares", O.TRUTH_LISTS, SHARES))
+def _(spark, d):
+    return profile.match_shares(truth_lists(spark, d)).select(*r6("one_to_many"))
+
+
+NON = "count(*) FILTER (regexp_matches({0}, '[^\\x00-\\x7F]'))"
+
+
+@query("G7_encoding", O.over(f"SELECT source, count(*) AS rows, {NON.format('business_name')} AS names, {NON.format('business_address')} AS addresses, round(100 * {NON.format('business_name')} / count(*), 6) AS names_percent FROM records GROUP BY 1"))
+def _(spark, d):
+    return profile.encoding(records(spark, d)).select("source", "rows", "names", "addresses", *r6("names_percent"))
+
+
+@query("G8_countries", O.over("SELECT source, string_agg(DISTINCT coalesce(country, 'NULL'), ',' ORDER BY coalesce(country, 'NULL')) AS countries FROM records GROUP BY 1"))
+def _(spark, d):
+    return profile.encoding(records(spark, d)).select("source", "countries")
+
+
+@query("G9_macro_f_beta", O.over(f"SELECT count(*) AS entities, round(coalesce(avg({O.F_BETA}), 0), 6) AS macro_f_beta FROM every", O.GOLDEN, O.SCORES))
+def _(spark, d):
+    return evaluate.macro_f_beta(truth(spark, d), golden(spark, d), entities(spark, d)).select("entities", *r6("macro_f_beta"))
+
+
+@query("G9_entity_scores", O.over(f"SELECT s1_id, truths, guesses, hits, round({O.F_BETA}, 6) AS f_beta FROM every", O.GOLDEN, O.SCORES))
+def _(spark, d):
+    return evaluate.entity_scores(truth(spark, d), golden(spark, d), entities(spark, d)).select("s1_id", "truths", "guesses", "hits", *r6("f_beta"))
+
+
+@query("G10_result_summary", rf"WITH {O.ROWS} SELECT count(*) AS rows, count(*) FILTER (NOT regexp_matches(ids, '[^\s]')) AS empty, count(*) FILTER (regexp_matches(ids, '[^\s]')) AS filled FROM rows WHERE tab")
+def _(spark, d):
+    return checks.summary(results(spark, d))
+
+
+@query("G11_repeated_keys", f"WITH {O.ROWS} SELECT s1_id, count(*) AS rows FROM rows WHERE tab GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    return results(spark, d).where("tab").groupBy("s1_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
+@query("G12_repeats_in_lists", f"WITH {O.ROWS} SELECT line, s1_id FROM rows WHERE tab AND len(string_split(ids, ',')) <> len(list_distinct(string_split(ids, ',')))")
+def _(spark, d):
+    return results(spark, d).where("tab").where(F.size(F.split("ids", ",")) != F.size(F.array_distinct(F.split("ids", ",")))).select("line", "s1_id")
+
+
+@query("G13_last_row_wins", f"WITH {O.ROWS}, {O.LAST} SELECT s1_id, id FROM last")
+def _(spark, d):
+    return checks.last_lists(results(spark, d))
+
+
+@query("G14_examples", O.finding("C5", "error", "SELECT s1_id AS x FROM rows WHERE tab GROUP BY 1 HAVING count(*) > 1", O.ROWS))
+def _(spark, d):
+    return checks.row_rules(results(spark, d)).where("rule = 'C5'")
+
+
+@query("S2_sorted_offenders", f"WITH {O.ROWS}, {O.LISTED} SELECT DISTINCT id FROM listed WHERE id LIKE 'S1-%' OR NOT (id LIKE 'S2-%' OR id LIKE 'S3-%') ORDER BY id LIMIT 5")
+def _(spark, d):
+    ids = checks.listed_ids(results(spark, d)).select("id").distinct()
+    return ids.where(checks.kind(F.col("id")).isNotNull()).orderBy("id").limit(checks.EXAMPLES)
+
+
+@query("S3_set_operations", O.over("SELECT 'union' AS what, count(*) AS n FROM (SELECT * FROM truth UNION SELECT * FROM golden) UNION ALL SELECT 'difference', count(*) FROM (SELECT * FROM truth EXCEPT SELECT * FROM golden) UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM truth INTERSECT SELECT * FROM golden)", O.GOLDEN))
+def _(spark, d):
+    a, b = truth(spark, d), golden(spark, d)
+    sets = {"union": a.union(b).distinct(), "difference": a.subtract(b), "intersection": a.intersect(b)}
+    return reduce(DataFrame.unionByName, [s.agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "n") for w, s in sets.items()])
+
+
+@query("G15_candidate_recall", O.over("SELECT count(*) AS true_pairs, count(p.s1_id) AS covered, round(count(p.s1_id) / count(*), 6) AS recall FROM truth t LEFT JOIN place p USING (s1_id, match_id)", O.PAIRS))
+def _(spark, d):
+    return blocking.recall(candidates(spark, d), truth(spark, d)).select("true_pairs", "covered", *r6("recall"))
+
+
+WEIGHTS = """spread AS (SELECT entity_id AS id, unnest(list_distinct(name_tokens_no_suffix)) AS word FROM n),
+weights AS (SELECT id, s.word, ln(((SELECT count(*) FROM n) + 1) / (df + 1)) + 1 AS weight FROM spread s JOIN (SELECT word, count(*) AS df FROM spread GROUP BY 1) USING (word))"""
+
+
+@query("G16_tf_idf", O.over("SELECT id, word, round(weight, 6) AS weight FROM weights", WEIGHTS))
+def _(spark, d):
+    return pairs.weights(normal(spark, d)).select("id", "word", *r6("weight"))
+
+
+# ---- windows, features, decisions
+
+
+@query("S4_top_candidates", O.over(f"SELECT s1_id, match_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, match_id)::INTEGER AS place FROM scored) WHERE place <= {TOP}", O.PAIRS, O.SCORED))
+def _(spark, d):
+    return blocking.prune(scored(spark, d), TOP)
+
+
+@query("S5_margins", O.over("SELECT s1_id, match_id, best, round(best - coalesce(next, 0), 6) AS margin FROM (SELECT s1_id, match_id, score AS best, row_number() OVER w AS place, lead(score) OVER w AS next FROM scored WINDOW w AS (PARTITION BY s1_id ORDER BY score DESC, match_id)) WHERE place = 1", O.PAIRS, O.SCORED))
+def _(spark, d):
+    return decide.margins(scored(spark, d)).select("s1_id", "match_id", "best", *r6("margin"))
+
+
+def feature(name: str, column: str, sql: str) -> None:
+    @query(name, O.over(f"SELECT s1_id, match_id, {sql} AS {column} {O.SIDES}", O.PAIRS))
+    def _(spark, d):
+        value = F.round(column, 6) if column in ("token_jaccard", "gram_jaccard", "edit", "address_overlap") else F.col(column)
+        return features(spark, d).select("s1_id", "match_id", value.alias(column))
+
+
+SHORT = "array_to_string(list_transform({0}, lambda w: left(w, 1)), '')"
+feature("F1_token_jaccard", "token_jaccard", f"round({O.JACCARD.format('a.name_tokens_no_suffix', 'b.name_tokens_no_suffix')}, 6)")
+feature("F1_gram_jaccard", "gram_jaccard", f"round({O.JACCARD.format('a.name_char_ngrams', 'b.name_char_ngrams')}, 6)")
+feature("F2_levenshtein", "edit", f"round({O.EDIT.format('a.normalized_name', 'b.normalized_name')}, 6)")
+feature("F5_acronym", "acronym", " OR ".join(f"(len({x}) > 1 AND {SHORT.format(x)} = array_to_string({y}, ''))" for x, y in (("a.name_tokens_no_suffix", "b.name_tokens_no_suffix"), ("b.name_tokens_no_suffix", "a.name_tokens_no_suffix"))))
+feature("F6_address_overlap", "address_overlap", f"round({O.OVERLAP.format('a.address_tokens', 'b.address_tokens')}, 6)")
+feature("F6_same_city", "same_city", "a.city_guess = b.city_guess AND a.city_guess <> ''")
+feature("F7_missing", "missing", " || ".join(f"CAST(({x}.{c})::INTEGER AS STRING)" for x in "ab" for c in ("name_missing", "address_missing", "postal_code_guess = ''", "city_guess = ''")).replace("(a.postal_code_guess = '')", "(a.postal_code_guess = '')"))
+
+
+@query("F3_jaro_winkler", O.over(f"SELECT s1_id, match_id, round(jaro_winkler_similarity(a.normalized_name, b.normalized_name), 6) AS jaro_winkler {O.SIDES}", O.PAIRS))
+def _(spark, d):
+    return features(spark, d, jaro=True).select("s1_id", "match_id", *r6("jaro_winkler"))
+
+
+@query("F4_cosine", O.over("SELECT s1_id, match_id, round(coalesce((SELECT sum(x.weight * y.weight) FROM weights x JOIN weights y ON x.word = y.word WHERE x.id = s1_id AND y.id = match_id) / ((SELECT sqrt(sum(weight * weight)) FROM weights WHERE id = s1_id) * (SELECT sqrt(sum(weight * weight)) FROM weights WHERE id = match_id)), 0), 6) AS cosine FROM place", O.PAIRS, WEIGHTS))
+def _(spark, d):
+    w = pairs.weights(normal(spark, d))
+    return pairs.cosine(candidates(spark, d), w, w).select("s1_id", "match_id", *r6("cosine"))
+
+
+@query("V1_hash_folds", O.over(f"SELECT s1_id, match_id, {fold_of('s1_id', 5)} AS fold FROM truth"))
+def _(spark, d):
+    return folds.hash_folds(truth(spark, d), "s1_id")
+
+
+@query("V1_balanced_folds")
+def _(spark, d):
+    return folds.balanced_folds(truth(spark, d), "s1_id").groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("V2_leakage_check", "SELECT true AS no_leakage")
+def _(spark, d):
+    rows = folds.hash_folds(truth(spark, d), "s1_id")
+    return spark.createDataFrame([(folds.has_no_leakage(rows.where("fold <> 0"), rows.where("fold = 0"), "s1_id"),)], "no_leakage boolean")
+
+
+@query("V3_pair_classifier")
+def _(spark, d):
+    rows = model.labelled(features(spark, d), truth(spark, d)).persist()
+    return model.score(model.train_rounds(rows), rows).select("s1_id", "match_id", "label", *r6("score"))
+
+
+@query("V4_calibration")
+def _(spark, d):
+    rows = scored(spark, d).join(truth(spark, d).withColumn("label", F.lit(1.0)), ["s1_id", "match_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0))).persist()
+    return model.calibrated(model.calibrator(rows), rows).select("s1_id", "match_id", "score", *r6("calibrated"))
+
+
+@query("V5_thresholds", O.over(f"SELECT threshold, round(avg({O.F_BETA}), 6) AS macro_f_beta FROM (SELECT g.threshold, e.entity_id, (SELECT count(*) FROM truth t WHERE t.s1_id = e.entity_id) AS truths, count(s.s1_id) AS guesses, count(t.s1_id) AS hits FROM (SELECT unnest({GRID}::DOUBLE[]) AS threshold) g CROSS JOIN (SELECT entity_id FROM records WHERE source = 'S1') e LEFT JOIN scored s ON s.s1_id = e.entity_id AND s.score >= g.threshold LEFT JOIN truth t ON t.s1_id = s.s1_id AND t.match_id = s.match_id GROUP BY 1, 2) GROUP BY 1", O.PAIRS, O.SCORED))
+def _(spark, d):
+    return decide.thresholds(scored(spark, d), truth(spark, d), entities(spark, d), GRID).select("threshold", *r6("macro_f_beta"))
+
+
+@query("V6_entity_lists", O.over("SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(s.match_id, ',' ORDER BY s.match_id), '') AS matched_entity_ids FROM (SELECT entity_id FROM records WHERE source = 'S1') e LEFT JOIN (SELECT * FROM scored WHERE score >= 0.6) s ON s.s1_id = e.entity_id GROUP BY 1", O.PAIRS, O.SCORED))
+def _(spark, d):
+    return decide.lists(entities(spark, d), decide.decide(scored(spark, d), 0.6))
+
+
+# ---- rules for result files
+
+
+def rule(name: str, code: str, severity: str, offenders: str, make, *before: str) -> None:
+    @query(name, O.finding(code, severity, offenders, *before))
+    def _(spark, d):
+        return make(spark, d).where(F.col("rule") == code)
+
+
+rule("C4_row_without_tab", "C4", "error", "SELECT line AS x FROM rows WHERE NOT tab", lambda s, d: checks.row_rules(results(s, d)), O.ROWS)
+rule("C5_repeated_row", "C5", "error", "SELECT s1_id AS x FROM rows WHERE tab GROUP BY 1 HAVING count(*) > 1", lambda s, d: checks.row_rules(results(s, d)), O.ROWS)
+rule("C6_repeated_id", "C6", "error", "SELECT s1_id AS x FROM rows WHERE tab AND len(string_split(ids, ',')) <> len(list_distinct(string_split(ids, ',')))", lambda s, d: checks.row_rules(results(s, d)), O.ROWS)
+rule("C7_own_source", "C7", "error", "SELECT id AS x FROM listed WHERE id LIKE 'S1-%'", lambda s, d: checks.id_rules(results(s, d)), O.ROWS, O.LISTED)
+rule("C8_no_source", "C8", "error", "SELECT id AS x FROM listed WHERE NOT (id LIKE 'S1-%' OR id LIKE 'S2-%' OR id LIKE 'S3-%')", lambda s, d: checks.id_rules(results(s, d)), O.ROWS, O.LISTED)
+rule("C9_unknown_id", "C9", "error", "SELECT id AS x FROM listed WHERE (id LIKE 'S2-%' OR id LIKE 'S3-%') AND id NOT IN (SELECT entity_id FROM records)", lambda s, d: checks.id_rules(results(s, d), records(s, d).where("source <> 'S1'")), O.NORMAL, O.ROWS, O.LISTED)
+rule("C10_missing_entity", "C10", "error", "SELECT entity_id AS x FROM records WHERE source = 'S1' AND entity_id NOT IN (SELECT s1_id FROM rows WHERE tab)", lambda s, d: checks.entity_rules(results(s, d), records(s, d).where("source = 'S1'")), O.NORMAL, O.ROWS)
+rule("C11_extra_entity", "C11", "error", "SELECT s1_id AS x FROM rows WHERE tab AND s1_id NOT IN (SELECT entity_id FROM records WHERE source = 'S2')", lambda s, d: checks.entity_rules(results(s, d), records(s, d).where("source = 'S2'")), O.NORMAL, O.ROWS)
+rule("C12_not_candidate", "C12", "warning", "SELECT s1_id AS x FROM (SELECT * FROM last EXCEPT SELECT * FROM truth)", lambda s, d: checks.subset_rule(results(s, d), truth(s, d).select(F.xxhash64("match_id").alias("line"), F.lit(True).alias("tab"), "s1_id", F.col("match_id").alias("ids")).transform(lambda t: t.groupBy("s1_id").agg(F.max("line").alias("line"), F.lit(True).alias("tab"), F.concat_ws(",", F.collect_set("ids")).alias("ids")))), O.NORMAL, O.ROWS, O.LAST)
+
+
+@query("C1_3_header", "SELECT 'C1' AS rule UNION ALL SELECT 'C2' UNION ALL SELECT 'C3'")
+def _(spark, d):
+    found = checks.header_findings(spark, f"{d}/no-such-file", checks.MATCHING)
+    for header in ("source1_entity_id,matched_entity_ids", "source1_entity_id\tsomething_else", "Source1_Entity_Id \tmatched_entity_ids"):
+        path = scratch(spark, "header")
+        spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(path)
+        found += checks.header_findings(spark, path, checks.MATCHING)
+    return spark.createDataFrame([(f[0],) for f in found], "rule string")
+
+
+@query("C13_15_whole_check")
+def _(spark, d):
+    folder, matching = scratch(spark, "test"), scratch(spark, "matching")
+    for k, where in ((1, "source = 'S1'"), (2, "source = 'S2'"), (3, "source = 'S3'")):
+        records(spark, d).where(where).select("entity_id", "business_name", "business_address", "country").coalesce(1).write.options(sep="\t", header=True).csv(f"{folder}/test_source{k}.tsv")
+    tsv.write_results(truth_lists(spark, d).coalesce(1), matching)
+    return checks.validate(spark, matching, f"{matching}-none", folder, check_ids=True)
+
+
+@query("stream_golden_join", O.over("SELECT s1_id, match_id FROM golden", O.GOLDEN))
+def _(spark, d):
+    source, sink, marks = (scratch(spark, x) for x in ("arrivals", "links", "marks"))
+    rows = records(spark, d)
+    rows.where("source <> 'S1'").write.parquet(source)
+    linked = link.golden_stream(link.record_stream(spark, source, rows.schema), sides(spark, d)[0])
+    linked.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.schema(linked.schema).parquet(sink)
