@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe
-from kindred.llm.common import slices
+from kindred.llm.common import in_arrow, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Ids that the decoder turns into bytes at a time.
@@ -102,7 +102,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = ["".join(decode(x, path)) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+    return rows.transform(in_arrow, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

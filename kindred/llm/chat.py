@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import partitions
+from kindred.llm.common import in_arrow, partitions
 
 VOCABULARY = "byte_bpe_50k.json"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -142,7 +142,7 @@ def format_conversations(rows: DataFrame, path: str | None = None) -> DataFrame:
         if group:
             yield packed(group)
 
-    return dealt.mapInArrow(run, "conv_id long, formatted string, tokens binary, loss_mask binary, loss_spans array<long>")
+    return dealt.transform(in_arrow, run, "conv_id long, formatted string, tokens binary, loss_mask binary, loss_spans array<long>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *[pa.array(list(c), pa.string() if n.endswith("sha256") else pa.int64()) for n, c in zip(names[1:], columns, strict=True)]], names)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.transform(in_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "</s>[INST] ok [/INST]"

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import wordhash
-from kindred.llm.common import partitions, slices, utf8, written
+from kindred.llm.common import in_arrow, partitions, slices, utf8, written
 from kindred.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -120,7 +120,7 @@ def _deal(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
                 )
                 number += 1
 
-    return docs.mapInArrow(run, "bucket int, slice long, entries binary, docs binary")
+    return docs.transform(in_arrow, run, "bucket int, slice long, entries binary, docs binary")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -163,7 +163,7 @@ def _shared(dealt: DataFrame, bucket_bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "slice", "entries", "docs"])
 
     p = partitions(dealt.sparkSession)
-    return dealt.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(run, dealt.schema)
+    return dealt.repartitionById(p, F.pmod("bucket", F.lit(p))).sortWithinPartitions("bucket").transform(in_arrow, run, dealt.schema)
 
 
 def _documents(shared: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _documents(shared: DataFrame) -> DataFrame:
             column = lambda c: info.column(c).chunk(0) if info.num_rows else pa.array([], info.schema.field(c).type)
             yield pa.RecordBatch.from_arrays([column("doc_id"), column("n"), column("set_id"), pa.array(entries, pa.binary()), pa.array(ranks, pa.binary())], names)
 
-    return shared.repartition(partitions(shared.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(run, "doc_id long, n long, set_id binary, entries binary, ranks binary")
+    return shared.repartition(partitions(shared.sparkSession), "slice").sortWithinPartitions("slice").transform(in_arrow, run, "doc_id long, n long, set_id binary, entries binary, ranks binary")
 
 
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
@@ -231,7 +231,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], pa.array([len(e) // 6 for e in batch.column("entries").to_pylist()], pa.int64()), pa.array(maps, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names)
 
     groups = docs.where("entries is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first("entries").alias("entries"), F.first("ranks").alias("ranks"))
-    return groups.mapInArrow(run, "set_id binary, n long, first long, entries binary, shared long, map binary, stars array<long>, prefix array<long>")
+    return groups.transform(in_arrow, run, "set_id binary, n long, first long, entries binary, shared long, map binary, stars array<long>, prefix array<long>")
 
 
 def _again(key: str):
@@ -271,8 +271,8 @@ def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * common >= NUMERATOR * (n + m - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = pairs.join(side("a", "n", "map", "shared"), "a").join(side("b", "n", "map", "shared"), "b").where(_in_band("n_a", "n_b")).mapInArrow(bounded, "a binary, b binary")
-    return close.join(side("a", "n", "entries"), "a").join(side("b", "n", "entries"), "b").mapInArrow(exact, "a binary, b binary")
+    close = pairs.join(side("a", "n", "map", "shared"), "a").join(side("b", "n", "map", "shared"), "b").where(_in_band("n_a", "n_b")).transform(in_arrow, bounded, "a binary, b binary")
+    return close.join(side("a", "n", "entries"), "a").join(side("b", "n", "entries"), "b").transform(in_arrow, exact, "a binary, b binary")
 
 
 def _stars(classes: DataFrame) -> DataFrame:

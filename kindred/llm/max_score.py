@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.common import in_arrow
+
 SCALE, K, EVERY = 1024, 10, 100
 QUERY_BLOCK, SHARD_ROWS, SEED_ROWS = 2048, 8192, 64
 #: Terms probed between two looks at what is still competitive.
@@ -114,7 +116,7 @@ def block_pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
             [pa.array(np.repeat(ids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found]) if len(found) else np.zeros(0, np.int64)), pa.array([int(s) for _, scores in found for s in scores], pa.int64())], ["query_id", "vec_id", "score"]
         )
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.transform(in_arrow, run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:

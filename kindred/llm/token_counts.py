@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kindred.llm import bpe
-from kindred.llm.common import lengths, slices
+from kindred.llm.common import in_arrow, lengths, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 CONTEXT = 1024
@@ -69,4 +69,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = count([t or "" for t in text.to_pylist()], path)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths(text)), pa.array(n), pa.array(n > context)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.transform(in_arrow, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

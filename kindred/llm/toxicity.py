@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import wordhash
-from kindred.llm.common import slices, utf8
+from kindred.llm.common import in_arrow, slices, utf8
 
 #: Labelled documents that training reads at most.
 TRAIN_ROWS = 6000
@@ -39,8 +39,8 @@ WINDOW, HIDDEN, FOLDS = 32, 8, 4
 WORD_BITS, GRAM_BITS, GRAMS = 19, 18, (4, 5)
 INPUTS = 1 + 2 * len(GRAMS)
 PRIOR, EPOCHS, BATCH, RATE = 4.0, 12, 128, 0.02
-#: Bytes of text that training reads at a time.
-TRAIN_BYTES = 1 << 19
+#: Bytes of text that training and scoring read at a time.
+TRAIN_BYTES, SCORE_BYTES = 1 << 19, 1 << 20
 #: Windows that run through the network together.
 TOGETHER = 4096
 U = np.uint64
@@ -307,11 +307,11 @@ def score(docs: DataFrame, model: Model, parts: int = 4, part: int = 2) -> DataF
     rows = docs.select(docs["doc_id"].alias("doc_id"), held_out(docs["doc_id"], parts, part).alias("held_out"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCORE_BYTES):
             p, at = model.score(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(at)], ["doc_id", "held_out", "score", "predicted", "worst_word"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, worst_word long")
+    return rows.transform(in_arrow, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, worst_word long")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -320,8 +320,8 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, f"c{at}"):
+        for batch in slices(batches, f"c{at}", SCORE_BYTES):
             p, _ = model.score(*utf8(batch.column(f"c{at}")))
             yield batch.filter(pa.array(p < THRESHOLD))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.transform(in_arrow, run, plain.schema).toDF(*docs.columns)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm.common import in_arrow
+
 #: Smaller payloads are all stored; records in an archive file at most; gzip level.
 LEAST_BYTES, FILE_RECORDS, LEVEL = 0, 20_000, 4
 DATE = "1970-01-01T00:00:00Z"
@@ -88,10 +90,10 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -
             ]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
-    stored = rows.mapInArrow(compressed, "page_id long, url string, body string, stored binary, digest string, size int")
+    stored = rows.transform(in_arrow, compressed, "page_id long, url string, body string, stored binary, digest string, size int")
     again = (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     chosen = stored.join(first, ["body", "size"]).select("page_id", "url", F.when(~again, F.col("stored")).alias("stored"), "digest", "size", "first")
-    records = chosen.mapInArrow(revisits, "record binary").select(F.col("record").cast("string").alias("value"))
+    records = chosen.transform(in_arrow, revisits, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -207,7 +209,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kinds)
 
-    return files.mapInArrow(run, schema)
+    return files.transform(in_arrow, run, schema)
 
 
 def digests(archive: DataFrame) -> DataFrame:
