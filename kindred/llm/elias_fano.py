@@ -6,7 +6,8 @@ search for a successor among the few numbers of one high part.
 
 A trie level holds the words of all contexts one after the other. Each context's words are made relative to it
 (context number above, word below), which makes the whole level increasing; pointers to where each context begins
-are a second, monotone sequence. Values are quantised to 16 bits.
+are a second, monotone sequence. With words of 32 bits the high part is the context number itself. Values are quantised
+to 16 bits.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ class EliasFano:
         self.ones_before, self.zeros_before = ones, np.arange(len(ones), dtype=np.int64) * 64 - ones
 
     @staticmethod
-    def parts(values: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray]:
+    def parts(values: np.ndarray, universe: int, bits: int | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+        """The number of low bits (the usual one, unless given), the packed low bits, the words of the high bits."""
         n = len(values)
-        bits = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
+        bits = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1) if bits is None else bits
         low = np.zeros(0, np.uint8)
-        if bits and n:
+        if bits == 32:
+            low = values.astype(np.uint32).view(np.uint8)
+        elif bits and n:
             field = (values[:, None] >> np.arange(bits, dtype=U)) & U(1)
             low = np.packbits(field.astype(np.uint8).reshape(-1), bitorder="little")
         high = (values >> U(bits)).astype(np.int64) + np.arange(n)
@@ -57,6 +61,8 @@ class EliasFano:
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), U)
+        if self.low_bits == 32:
+            return self.low[: 4 * self.n].view("<u4")[i].astype(U)
         at = i * self.low_bits
         byte, out = at >> 3, np.zeros(len(i), U)
         for k in range((self.low_bits + 14) // 8):
@@ -67,28 +73,34 @@ class EliasFano:
         high = self.select(i, True) - i
         return (high.astype(U) << U(self.low_bits)) | self.lows(i)
 
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each x the place of its successor, the end of the numbers of its high part, and its low part."""
+        top = len(self.high) * 64 - self.n - 1  # the last high part that the unary bits know
+        high, low = np.minimum(x >> U(self.low_bits), U(top)).astype(np.int64), x & U((1 << self.low_bits) - 1)
+        a = np.where(high > 0, self.select(np.maximum(high - 1, 0), False) - (high - 1), 0)
+        stop = self.select(high, False) - high
+        b, open_ = stop.copy(), np.flatnonzero(a < stop)
+        while len(open_):
+            middle = (a[open_] + b[open_]) >> 1
+            less = self.lows(middle) < low[open_]
+            a[open_[less]] = middle[less] + 1
+            b[open_[~less]] = middle[~less]
+            open_ = open_[a[open_] < b[open_]]
+        return a, stop, low
+
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first number that is not below x; n if there is none."""
         if not self.n or not len(x):
             return np.zeros(len(x), np.int64)
-        top = len(self.high) * 64 - self.n - 1  # the last high part that the unary bits know
-        high, low = np.minimum(x >> U(self.low_bits), U(top)).astype(np.int64), x & U((1 << self.low_bits) - 1)
-        start = np.where(high > 0, self.select(np.maximum(high - 1, 0), False) - (high - 1), 0)
-        stop = self.select(high, False) - high
-        a, b = start.copy(), stop.copy()
-        for _ in range(int((stop - start).max()).bit_length()):
-            middle = (a + b) >> 1
-            less = (self.lows(np.minimum(middle, self.n - 1)) < low) & (a < b)
-            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
-        return a
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of x; -1 where it is not among the numbers."""
-        at = self.successor(x)
-        if not self.n:
+        if not self.n or not len(x):
             return np.full(len(x), -1)
+        at, stop, low = self._search(x)
         inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(inside) == x), inside, -1)
+        return np.where((at < stop) & (self.lows(inside) == low), inside, -1)
 
 
 class Trie:
@@ -120,7 +132,7 @@ class Trie:
         pointers = np.append(starts, len(contexts)).astype(U)
         seqs = [
             EliasFano.parts(top.astype(U), 1 << context_bits),
-            EliasFano.parts((rank << U(word_bits)) | words.astype(U), max(len(top), 1) << word_bits),
+            EliasFano.parts((rank << U(word_bits)) | words.astype(U), max(len(top), 1) << word_bits, 32 if word_bits == 32 else None),
             EliasFano.parts(pointers, len(contexts) + 1),
         ]
         head = struct.pack(cls.HEAD, b"EFTRIE01", word_bits, len(top), len(contexts), *[s[0] for s in seqs], *[len(s[1]) for s in seqs])
@@ -150,7 +162,10 @@ class Trie:
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The quantised value of each (context, word); -1 where the trie has it not."""
-        rank = self.contexts.find(context.astype(U))
+        if not len(context):
+            return np.zeros(0, np.int64)
+        fresh = np.concatenate([[True], context[1:] != context[:-1]])  # sorted queries look a context up once
+        rank = self.contexts.find(context[fresh].astype(U))[np.cumsum(fresh) - 1]
         place = self.words.find((np.maximum(rank, 0).astype(U) << U(self.word_bits)) | word.astype(U))
         found = (rank >= 0) & (place >= 0)
         return np.where(found, self.values[np.maximum(place, 0)].astype(np.int64) if len(self.values) else -1, -1)

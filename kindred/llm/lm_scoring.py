@@ -21,7 +21,7 @@ buckets as packed arrays, at most one entry a document for a word or pair, so th
    the base, of log10 c over contexts, and what the unseen pairs need.
 3. Slices come together again and add up their sums with N and V.
 
-Words are told apart by 48 bits of hash and their bucket, pairs by 64 bits and their bucket.
+Words are told apart by 48 bits of hash and their bucket, pairs by 56 bits and their bucket.
 
 Defined results: a null text counts as empty (one token, its end); a null id is not held out; rows that repeat count
 each; without training texts every probability is p1 with c = N = V = 0; an empty table gives an empty result.
@@ -41,15 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import wordhash
-from kindred.llm.common import partitions, slices, utf8, written
+from kindred.llm.common import in_arrow, partitions, slices, utf8, written
 from kindred.llm.elias_fano import Trie
 from kindred.llm.toxicity import held_out
 
 SEEN = 0.7
 #: Quantised log10 in steps of 1 / STEP.
 STEP = 4096
-SLICE_BYTES, SLICE_ROWS = 1 << 20, 8192
-WORD_BITS, PAIR_WORD_BITS, PAIR_CONTEXT_BITS = 48, 40, 24
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 8192
+WORD_BITS, PAIR_WORD_BITS, PAIR_CONTEXT_BITS = 48, 32, 24
+PAIR_BYTES = (PAIR_WORD_BITS + PAIR_CONTEXT_BITS) // 8
 U = np.uint64
 #: The end of a text as a token, and its beginning as a context: fixed hashes beside those of words.
 FINISH, BEGIN = U(0x5EED_0000_0000_0001), U(0x5EED_0000_0000_0002)
@@ -134,7 +135,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch
 
 
 ROWS = "bucket int, slice long, kind int, data binary"
-INFO, WORDS, UNSEEN_CONTEXT, UNSEEN_WORD, PAIR_SUMS, WORD_SUMS, TOTALS = range(7)
+INFO, WORDS, UNSEEN, PAIR_SUMS, WORD_SUMS, TOTALS = range(6)
 
 
 def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -164,15 +165,15 @@ def dealt_pairs(rows: DataFrame, buckets: int) -> DataFrame:
             held = np.asarray(part.column("held_out"))
             key = (before >> U(64 - PAIR_CONTEXT_BITS) << U(PAIR_WORD_BITS)) | (word & U((1 << PAIR_WORD_BITS) - 1))
             owner, key, word, before, n = summed(owner, key, word, before)
-            bucket = (wordhash.seeded(key, 5) >> U(32)) % U(buckets)
+            bucket = (wordhash.mix(before + U(3) * word) >> U(32)) % U(buckets)
             out = []
             for b, at in by_bucket(bucket):
                 open_ = at[held[owner[at]]]
-                data = packed(owner[at], (key[at], 8), (n[at], 4)) + planes(held[runs(owner[at])[0]].astype(U), 1)
+                data = packed(owner[at], (key[at], PAIR_BYTES), (n[at], 4)) + planes(held[runs(owner[at])[0]].astype(U), 1)
                 out.append((b, number, WORDS, data + planes(word[open_], 8) + planes(before[open_], 8)))
             yield rows_of(out)
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.transform(in_arrow, run, ROWS)
 
 
 def dealt_words(rows: DataFrame, buckets: int) -> DataFrame:
@@ -190,7 +191,7 @@ def dealt_words(rows: DataFrame, buckets: int) -> DataFrame:
             info = struct.pack("<I", part.num_rows) + planes(np.asarray(ids).astype(np.int64).view(U), 8) + planes(nulls.astype(U), 1) + planes(held.astype(U), 1) + planes(counts.astype(U), 4)
             yield rows_of([*out, (number % buckets, number, INFO, info)])
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.transform(in_arrow, run, ROWS)
 
 
 def coded(count: np.ndarray, up: bool) -> np.ndarray:
@@ -199,49 +200,50 @@ def coded(count: np.ndarray, up: bool) -> np.ndarray:
     return np.minimum(np.ceil(exact - 1e-9) if up else np.floor(exact + 1e-9), 65535).astype(np.int64)
 
 
-def per_run(owner: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    docs, sizes = runs(owner)
-    starts = np.cumsum(sizes) - sizes
-    return [docs, *[np.add.reduceat(c, starts) if len(starts) else c[:0] for c in columns]]
-
-
 def pair_buckets(dealt: DataFrame, buckets: int) -> DataFrame:
     """Counts, a trie and lookups in each pair bucket: sums for slices, and the words of unseen pairs for word buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches, "bucket"):
-            parts = []
+        for bucket, rows in groups(batches, "bucket"):
+            docs, sizes, keys, times, helds, words, befores = ([] for _ in range(7))
             for r in rows:
                 reader = Reader(r["data"])
-                owner, key, n = unpacked(reader, 8, 4)
-                _, sizes = runs(owner)
-                held = np.repeat(reader.array(len(sizes), 1).astype(bool), sizes)
-                open_ = int(held.sum())
-                parts.append((r["slice"], owner, key, n.astype(np.int64), held, reader.array(open_, 8), reader.array(open_, 8)))
-            seen = np.concatenate([p[2][~p[4]] for p in parts])
-            times = np.concatenate([p[3][~p[4]] for p in parts])
-            order = np.argsort(seen)
-            names, sizes = runs(seen[order])
-            count = np.add.reduceat(times[order], np.cumsum(sizes) - sizes) if len(names) else times[:0]
-            trie = Trie.mapped(Trie.image(names >> U(PAIR_WORD_BITS), names & U((1 << PAIR_WORD_BITS) - 1), coded(count, False), PAIR_CONTEXT_BITS, PAIR_WORD_BITS))
+                many, n = reader.number(), reader.number()
+                docs.append(reader.array(many, 2))
+                sizes.append(reader.array(many, 4).astype(np.int64))
+                keys.append(reader.array(n, PAIR_BYTES))
+                times.append(reader.array(n, 4).astype(np.int64))
+                helds.append(reader.array(many, 1).astype(bool))
+                open_ = int(sizes[-1][helds[-1]].sum())
+                words.append(reader.array(open_, 8))
+                befores.append(reader.array(open_, 8))
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+            docs, sizes, n, held = np.concatenate(docs), np.concatenate(sizes), np.concatenate(times), np.concatenate(helds)
+            held = np.repeat(held, sizes)
+            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+            count = np.bincount(place[~held], n[~held], len(distinct)).astype(np.int64)
+            names = distinct[count > 0]
+            short = U((1 << PAIR_WORD_BITS) - 1)
+            trie = Trie.mapped(Trie.image(names >> U(PAIR_WORD_BITS), names & short, coded(count[count > 0], False), PAIR_CONTEXT_BITS, PAIR_WORD_BITS))
+            value = trie.lookup(distinct >> U(PAIR_WORD_BITS), distinct & short)[place]
+            missed, starts = value < 0, np.cumsum(sizes) - sizes
+            total, many = np.add.reduceat(np.where(missed, 0, value) * n, starts), np.add.reduceat(missed * n, starts)
             out = []
-            for number, owner, key, n, held, word, before in parts:
-                value = trie.lookup(key >> U(PAIR_WORD_BITS), key & U((1 << PAIR_WORD_BITS) - 1))
-                missed = value < 0
-                docs, total, many = per_run(owner, np.where(missed, 0, value) * n, missed * n)
-                out.append((-1, number, PAIR_SUMS, struct.pack("<I", len(docs)) + planes(docs.astype(U), 2) + planes(total.view(U), 8) + planes(many.view(U), 4)))
-                if missed.any():
-                    miss = missed[held]
-                    who, often, word, before = owner[held][miss], n[held][miss], word[miss], before[miss]
-                    for kind, what in ((UNSEEN_CONTEXT, before), (UNSEEN_WORD, word)):
-                        for b, at in by_bucket((what >> U(32)) % U(buckets)):
-                            out.append((b, number, kind, packed(who[at], (what[at] & U((1 << WORD_BITS) - 1), WORD_BITS // 8), (often[at].view(U), 4))))
-                if sum(len(x[3]) for x in out) > 1 << 24:
-                    yield rows_of(out)
-                    out = []
+            for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
+                out.append((-1, r["slice"], PAIR_SUMS, struct.pack("<I", b - a) + planes(docs[a:b], 2) + planes(total[a:b].view(U), 8) + planes(many[a:b].view(U), 4)))
+            miss = missed[held]
+            if miss.any():
+                slice_of = np.repeat(np.array([r["slice"] for r in rows], np.int64), np.diff(cuts))
+                who = np.repeat((slice_of << 16 | docs.astype(np.int64)).view(U), sizes)[held][miss]
+                often, word, before = n[held][miss].view(U), np.concatenate(words)[miss], np.concatenate(befores)[miss]
+                who, often = np.concatenate([who, who]), np.concatenate([often, often])
+                what, is_word = np.concatenate([before, word]), np.repeat(np.array([0, 1], U), len(word))
+                for b, at in by_bucket((what >> U(32)) % U(buckets)):
+                    data = struct.pack("<I", len(at)) + planes(who[at], 8) + planes(what[at] & U((1 << WORD_BITS) - 1), WORD_BITS // 8) + planes(often[at], 4) + planes(is_word[at], 1)
+                    out.append((b, bucket, UNSEEN, data))
             yield rows_of(out)
 
-    return together(dealt, "bucket").mapInArrow(run, ROWS)
+    return dealt_to(dealt).transform(in_arrow, run, ROWS)
 
 
 def word_buckets(dealt: DataFrame) -> DataFrame:
@@ -250,48 +252,56 @@ def word_buckets(dealt: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches, "bucket"):
-            parts, out = [], []
+            whos, words, times, kinds, helds, out = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int8)], [np.zeros(0, bool)], []
             for r in rows:
+                reader = Reader(r["data"])
                 if r["kind"] == INFO:
                     out.append((bucket, r["slice"], INFO, r["data"]))
-                    continue
-                reader = Reader(r["data"])
-                owner, word, n = unpacked(reader, WORD_BITS // 8, 4)
-                held = np.ones(len(owner), bool)
-                if r["kind"] == WORDS:
+                elif r["kind"] == WORDS:
+                    owner, word, n = unpacked(reader, WORD_BITS // 8, 4)
                     _, sizes = runs(owner)
-                    held = np.repeat(reader.array(len(sizes), 1).astype(bool), sizes)
-                parts.append((r["slice"], r["kind"], owner, word, n.astype(np.int64), held))
-            seen = np.concatenate([np.zeros(0, U), *[p[3][~p[5]] for p in parts]])
-            times = np.concatenate([np.zeros(0, np.int64), *[p[4][~p[5]] for p in parts]])
-            order = np.argsort(seen)
-            names, sizes = runs(seen[order])
-            count = np.add.reduceat(times[order], np.cumsum(sizes) - sizes) if len(names) else times[:0]
-            token = names != (BEGIN & short)
-            out.append((bucket, -1, TOTALS, struct.pack("<QQ", int(count[token].sum()), int(token.sum()))))
-            for number, kind, owner, word, n, _ in parts:
-                at = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
-                c = np.where(names[at] == word, count[at], 0) if len(names) else np.zeros(len(word), np.int64)
-                begin, finish = word == (BEGIN & short), word == (FINISH & short)
-                log1, code, known = np.log10(c + 1.0), np.where(c > 0, coded(c, True), 0), c > 0
-                if kind == WORDS:
-                    columns = (n * known * ~begin, np.where(begin, 0, n * log1), n * code * ~finish)
-                elif kind == UNSEEN_CONTEXT:
-                    columns = (n * known, np.zeros(len(n)), -(n * code))
+                    whos.append((np.int64(r["slice"]) << 16 | owner).view(U))
+                    words.append(word)
+                    times.append(n)
+                    kinds.append(np.zeros(len(n), np.int8))
+                    helds.append(np.repeat(reader.array(len(sizes), 1).astype(bool), sizes))
                 else:
-                    columns = (n, n * log1, n * 0)
-                docs, a, b, c_ = per_run(owner, columns[0].astype(np.int64), columns[1].astype(np.float64), columns[2].astype(np.int64))
-                out.append((kind, number, WORD_SUMS, struct.pack("<I", len(docs)) + planes(docs.astype(U), 2) + planes(a.view(U), 4) + planes(b.view(U), 8) + planes(c_.view(U), 8)))
-                if sum(len(x[3]) for x in out) > 1 << 24:
-                    yield rows_of(out)
-                    out = []
+                    n = reader.number()
+                    whos.append(reader.array(n, 8))
+                    words.append(reader.array(n, WORD_BITS // 8))
+                    times.append(reader.array(n, 4))
+                    kinds.append(1 + reader.array(n, 1).astype(np.int8))
+                    helds.append(np.ones(n, bool))
+            who, word, n, kind, held = (np.concatenate(x) for x in (whos, words, times, kinds, helds))
+            n = n.astype(np.int64)
+            distinct, place = np.unique(word, return_inverse=True)
+            count = np.bincount(place[~held], n[~held], len(distinct)).astype(np.int64)
+            token = (count > 0) & (distinct != (BEGIN & short))
+            out.append((bucket, -1, TOTALS, struct.pack("<QQ", int(count[token].sum()), int(token.sum()))))
+            log1, code = np.log10(count + 1.0), np.where(count > 0, coded(count, True), 0)
+            known, log1, code, begin, finish = (count > 0)[place], log1[place], code[place], word == (BEGIN & short), word == (FINISH & short)
+            text = kind == 0
+            columns = (
+                n * (known & text & ~begin), n * log1 * (text & ~begin), n * code * ((text & ~finish) - 1 * (kind == 1)),
+                n * (known & (kind == 1)), n * log1 * (kind == 2),
+            )
+            owners, at = np.unique(who, return_inverse=True)
+            sums = [np.bincount(at, c, len(owners)) for c in columns]
+            slice_ids, many = runs((owners >> U(16)).astype(np.int64))
+            cuts = np.concatenate([[0], np.cumsum(many)])
+            for s, a, b in zip(slice_ids.tolist(), cuts, cuts[1:], strict=False):
+                whole = [c[a:b].astype(np.int64).view(U) for c in (sums[0], sums[2], sums[3])]
+                data = struct.pack("<I", b - a) + planes(owners[a:b] & U(65535), 2) + planes(whole[0], 4) + planes(whole[1], 8) + planes(whole[2], 4) + planes(sums[1][a:b].view(U), 8) + planes(sums[4][a:b].view(U), 8)
+                out.append((bucket, s, WORD_SUMS, data))
             yield rows_of(out)
 
-    return together(dealt, "bucket").mapInArrow(run, ROWS)
+    return dealt_to(dealt).transform(in_arrow, run, ROWS)
 
 
-def together(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key)
+def dealt_to(df: DataFrame) -> DataFrame:
+    """Buckets in turn over the partitions, and sorted."""
+    p = partitions(df.sparkSession)
+    return df.repartitionById(p, F.pmod("bucket", F.lit(p))).sortWithinPartitions("bucket")
 
 
 def totals(sums: DataFrame) -> tuple[int, int]:
@@ -305,7 +315,7 @@ def totals(sums: DataFrame) -> tuple[int, int]:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unseen_pairs, for each row."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col], parts, part).alias("held_out"), docs[text_col].alias("text"))
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)
     pairs = written(pair_buckets(dealt_pairs(rows, buckets), buckets), "pairs")
     unseen = pairs.where(F.col("kind") != PAIR_SUMS)
     sums = written(word_buckets(dealt_words(rows, buckets).unionByName(unseen)), "words")
@@ -329,19 +339,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 if r["kind"] == PAIR_SUMS:
                     pair_codes[at] += reader.array(many, 8).view(np.int64)
                     unseen[at] += reader.array(many, 4).view(np.int64)
-                    continue
-                a, b, c = reader.array(many, 4).view(np.int64), reader.array(many, 8).view(float), reader.array(many, 8).view(np.int64)
-                contexts[at] += c
-                if r["bucket"] == WORDS:
-                    known[at] += a
-                    base[at] += b
-                elif r["bucket"] == UNSEEN_CONTEXT:
-                    of_known[at] += a
                 else:
-                    unseen_log[at] += b
+                    known[at] += reader.array(many, 4).view(np.int64)
+                    contexts[at] += reader.array(many, 8).view(np.int64)
+                    of_known[at] += reader.array(many, 4).view(np.int64)
+                    base[at] += reader.array(many, 8).view(float)
+                    unseen_log[at] += reader.array(many, 8).view(float)
             score = (pair_codes - contexts) / STEP + (n_tokens - unseen) * log_seen + of_known * log_new + unseen_log - unseen * log_size
             columns = [pa.array(ids.view(np.int64), mask=nulls.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(np.full(size, n_all)), pa.array(base - n_tokens * log_size), pa.array(score), pa.array(unseen)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    back = together(sums.where(F.col("kind") != TOTALS).unionByName(pairs.where(F.col("kind") == PAIR_SUMS)), "slice")
-    return back.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, unseen_pairs long")
+    back = sums.where(F.col("kind") != TOTALS).unionByName(pairs.where(F.col("kind") == PAIR_SUMS))
+    back = back.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
+    return back.transform(in_arrow, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, unseen_pairs long")
