@@ -18,7 +18,7 @@ def keyed(df: DataFrame, key: Column, ident: str = "entity_id") -> DataFrame:
 
 def on_key(left: DataFrame, right: DataFrame, channel: str) -> DataFrame:
     """s1_id, match_id, channel of the records that share a key."""
-    a, b = left.toDF("s1_id", "key"), right.toDF("match_id", "key")
+    a, b = left.select(F.col("id").alias("s1_id"), "key"), right.select(F.col("id").alias("match_id"), "key")
     return a.join(b, "key").select("s1_id", "match_id", F.lit(channel).alias("channel")).distinct()
 
 
@@ -28,9 +28,9 @@ def rare_keys(keys: DataFrame, most: int) -> DataFrame:
     return keys.join(rare, "key", "left_semi")
 
 
-def token_channel(left: DataFrame, right: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
-    """Records that share a word of their names that few records of the right side have."""
-    words = lambda df: keyed(df.select("entity_id", F.explode(F.array_distinct("name_tokens_no_suffix")).alias("word")), F.col("word"))
+def token_channel(left: DataFrame, right: DataFrame, field: str = "name_tokens_no_suffix", most: int = MOST_RECORDS) -> DataFrame:
+    """Records that share a word that few records of the right side have."""
+    words = lambda df: keyed(df.select("entity_id", F.explode(F.array_distinct(field)).alias("word")), F.col("word"))
     return on_key(words(left), rare_keys(words(right), most), "token")
 
 

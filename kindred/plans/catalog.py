@@ -336,7 +336,7 @@ def _(spark, d):
     return folds.leaked_groups(rows.where("fold <> 0"), rows.where("fold = 0"), "s1_id")
 
 
-TOKEN = f"""words AS (SELECT source, entity_id, unnest(list_distinct(name_tokens_no_suffix)) AS word FROM n),
+TOKEN = f"""words AS (SELECT source, entity_id, unnest(list_distinct(address_tokens)) AS word FROM n),
 rare AS (SELECT word FROM words WHERE source <> 'S1' GROUP BY word HAVING count(*) <= {blocking.MOST_RECORDS}),
 token AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM words a JOIN words b USING (word) JOIN rare USING (word) WHERE a.source = 'S1' AND b.source <> 'S1')"""
 LEAST = "list_min(list_transform(name_char_ngrams, lambda g: md5('{0}:' || g)))"
@@ -350,7 +350,7 @@ def channel(name: str, table: str) -> str:
 
 @query("J9_token_channel", O.over(channel("token", "token"), TOKEN))
 def _(spark, d):
-    return blocking.token_channel(*sides(spark, d))
+    return blocking.token_channel(*sides(spark, d), "address_tokens")
 
 
 @query("J10_minhash_channel", O.over(channel("minhash", "minhash"), MINHASH))
@@ -377,7 +377,7 @@ def _(spark, d):
 @query("J13_channel_union", O.over("SELECT s1_id, match_id, string_agg(channel, '|' ORDER BY channel) AS channels FROM (SELECT *, 'token' AS channel FROM token UNION ALL SELECT *, 'postal_code_guess' FROM place) GROUP BY ALL", TOKEN, O.PAIRS))
 def _(spark, d):
     a, b = sides(spark, d)
-    found = blocking.union(blocking.token_channel(a, b), blocking.place_channel(a, b, "postal_code_guess"))
+    found = blocking.union(blocking.token_channel(a, b, "address_tokens"), blocking.place_channel(a, b, "postal_code_guess"))
     return found.select("s1_id", "match_id", F.array_join("channels", "|").alias("channels"))
 
 
