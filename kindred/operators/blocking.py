@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: A token that more records have is no key: pairs grow with the square of a key's size.
 MOST_RECORDS = 50
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 4, 6
 
 
 def keyed(df: DataFrame, key: Column, ident: str = "entity_id") -> DataFrame:
@@ -46,15 +46,25 @@ def phonetic_channel(left: DataFrame, right: DataFrame) -> DataFrame:
     return on_key(keyed(left, key), keyed(right, key), "phonetic")
 
 
+def _digits(row: int):
+    return lambda h: F.substring(h, 4 * row + 1, 4)
+
+
 def signature(grams: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """MinHash band keys of an array of n-grams: the least md5 of the seeded grams, `rows` of them a band."""
-    least = lambda k: F.array_min(F.transform(grams, lambda g: F.md5(F.concat(F.lit(f"{k}:"), g))))
-    return F.array(*[F.concat(F.lit(f"{b}:"), F.md5(F.concat(*[least(b * rows + r) for r in range(rows)]))) for b in range(bands)])
+    """MinHash band keys of an array of n-grams: one md5 a gram and band, of which each 4 hex digits are a hash (8 rows a band at most)."""
+
+    def band(b: int) -> Column:
+        hashes = F.transform(grams, lambda g: F.md5(F.concat(F.lit(f"{b}:"), g)))
+        least = lambda hs: F.concat(F.lit(f"{b}:"), *[F.array_min(F.transform(hs, _digits(r))) for r in range(rows)])
+        return F.element_at(F.transform(F.array(hashes), least), 1)  # bound to a variable, so that each md5 is computed once
+
+    return F.array(*[band(b) for b in range(bands)])
 
 
-def minhash_channel(left: DataFrame, right: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Records whose name n-grams agree in a MinHash band."""
-    keys = lambda df: keyed(df.where(F.size("name_char_ngrams") > 0).select("entity_id", F.explode(signature(F.col("name_char_ngrams"), bands, rows)).alias("band")), F.col("band"))
+def minhash_channel(left: DataFrame, right: DataFrame, grams: Column | None = None, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Records whose n-grams (of the name, or as given) agree in a MinHash band."""
+    grams = F.col("name_char_ngrams") if grams is None else grams
+    keys = lambda df: keyed(df.where(F.size(grams) > 0).select("entity_id", F.explode(signature(grams, bands, rows)).alias("band")), F.col("band"))
     return on_key(keys(left), keys(right), "minhash")
 
 

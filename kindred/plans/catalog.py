@@ -339,9 +339,11 @@ def _(spark, d):
 TOKEN = f"""words AS (SELECT source, entity_id, unnest(list_distinct(address_tokens)) AS word FROM n),
 rare AS (SELECT word FROM words WHERE source <> 'S1' GROUP BY word HAVING count(*) <= {blocking.MOST_RECORDS}),
 token AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM words a JOIN words b USING (word) JOIN rare USING (word) WHERE a.source = 'S1' AND b.source <> 'S1')"""
-LEAST = "list_min(list_transform(name_char_ngrams, lambda g: md5('{0}:' || g)))"
-BANDS = " UNION ALL ".join(f"SELECT source, entity_id, '{b}:' || md5({' || '.join(LEAST.format(b * blocking.ROWS + r) for r in range(blocking.ROWS))}) AS band FROM n WHERE normalized_name <> ''" for b in range(blocking.BANDS))
-MINHASH = f"bands AS ({BANDS}), minhash AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM bands a JOIN bands b USING (band) WHERE a.source = 'S1' AND b.source <> 'S1')"
+WHOLE = "normalized_name || ' ' || normalized_address"
+GRAMS = f"SELECT source, entity_id, list_transform(range(1, length({WHOLE}) + 1), lambda i: substr(' ' || {WHOLE} || ' ', i, 3)) AS g FROM n"
+LEAST = "list_min(list_transform(g, lambda x: substr(md5('{0}:' || x), {1}, 4)))"
+BANDS = " UNION ALL ".join(f"SELECT source, entity_id, '{b}:' || {' || '.join(LEAST.format(b, 4 * r + 1) for r in range(blocking.ROWS))} AS band FROM grams" for b in range(blocking.BANDS))
+MINHASH = f"grams AS ({GRAMS}), bands AS ({BANDS}), minhash AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM bands a JOIN bands b USING (band) WHERE a.source = 'S1' AND b.source <> 'S1')"
 
 
 def channel(name: str, table: str) -> str:
@@ -355,7 +357,7 @@ def _(spark, d):
 
 @query("J10_minhash_channel", O.over(channel("minhash", "minhash"), MINHASH))
 def _(spark, d):
-    return blocking.minhash_channel(*sides(spark, d))
+    return blocking.minhash_channel(*sides(spark, d), T.char_grams(F.concat_ws(" ", "normalized_name", "normalized_address")))
 
 
 @query("J11_postal_channel", O.over(channel("postal_code_guess", "place"), O.PAIRS))
