@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kindred.functions.text import PUNCTUATION
+from kindred.functions.text import PUNCTUATION, bound
 
 # Words that a city does not begin with.
 UNIT_WORDS = ("unit", "suite", "apt", "apartment", "block")
@@ -31,6 +31,10 @@ def street_number(address: Column) -> Column:
 
 def city(raw: Column, words: Column, postal: Column) -> Column:
     """The part before the one that holds the postal code, else the last but one; failing that, a word."""
+    return bound(F.struct(raw.alias("raw"), words.alias("words"), postal.alias("postal")), lambda s: _city(s["raw"], s["words"], s["postal"]))
+
+
+def _city(raw: Column, words: Column, postal: Column) -> Column:
     parts = F.filter(F.transform(F.split(raw, ","), stripped), lambda p: p != "")
     many = F.size(parts) >= 2
     with_code = F.array_position(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.contains(p, postal)), True).cast("int")

@@ -37,6 +37,11 @@ def latin_letters() -> tuple[str, str]:
 LATIN_FROM, LATIN_TO = latin_letters()
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside a lambda a column expression is computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def known(c: Column) -> Column:
     """Null as the empty text."""
     return F.coalesce(c, F.lit(""))
@@ -97,10 +102,14 @@ def without_legal_forms(normal: Column) -> Column:
 
 def char_grams(normal: Column, n: int = 3) -> Column:
     """Runs of n characters of the padded text, in order, repeats kept."""
-    padded = F.concat(F.lit(" "), normal, F.lit(" "))
-    many = F.length(normal) + 3 - n
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.substring(padded, i, n))
-    return F.when(normal == "", F.array().cast("array<string>")).when(many < 1, F.array(padded)).otherwise(runs)
+
+    def runs(text: Column) -> Column:
+        padded = F.concat(F.lit(" "), text, F.lit(" "))
+        many = F.length(text) + 3 - n
+        every = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.substring(padded, i, n))
+        return F.when(text == "", F.array().cast("array<string>")).when(many < 1, F.array(padded)).otherwise(every)
+
+    return bound(normal, runs)
 
 
 def expand_street_words(normal: Column) -> Column:

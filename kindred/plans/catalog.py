@@ -53,7 +53,11 @@ def normal(spark: SparkSession, d: str, only: tuple[str, ...] = NATIVE) -> DataF
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    n = normal(spark, d)
+    """Source 1 and the others, normalized once into a table that every later step reads only the columns of that it needs."""
+    path = scratch(spark, "normalized")
+    made = normal(spark, d)
+    made.write.parquet(path)
+    n = spark.read.schema(made.schema).parquet(path)
     return n.where("source = 'S1'"), n.where("source <> 'S1'")
 
 
@@ -70,7 +74,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str, jaro: bool = False) -> DataFrame:
-    return pairs.features(candidates(spark, d), *sides(spark, d), jaro=jaro)
+    both = sides(spark, d)
+    return pairs.features(blocking.place_channel(*both, "postal_code_guess"), *both, jaro=jaro)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
