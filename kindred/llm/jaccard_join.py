@@ -1,7 +1,7 @@
 """An exact n-gram Jaccard join of whole texts, down to connected components.
 
-1. Every text's distinct shingles are hashed and dealt to buckets in packed blobs. A bucket finds the shingles
-   that two or more documents have, and sends those back to their documents with a rank by frequency.
+1. The distinct shingles of slices of texts are hashed, counted and dealt to buckets in packed blobs. A bucket
+   finds those that two or more documents have, and sends them back to the slices with a rank by frequency.
 2. A linked pair has 3/4 of the shingles of either side in common, and common shingles are shared ones. A document
    of which fewer than 3/4 are shared has no link and leaves; for most texts this ends the work.
 3. Documents with the same set are one class (they are linked anyway); classes go on.
@@ -67,23 +67,21 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[starts], np.diff(np.append(starts, len(owner)))
 
 
-def _blob(docs: np.ndarray, low: np.ndarray, rank: np.ndarray | None = None) -> bytes:
-    """Entries of one bucket and slice, sorted by document: runs of documents, then 5 bytes a shingle, then its rank."""
-    owners, sizes = _runs(docs)
-    return b"".join([struct.pack("<I", len(owners)), owners.astype("<u2").tobytes(), sizes.astype("<u4").tobytes(), (low & U(0xFFFFFFFF)).astype("<u4").tobytes(), (low >> U(32)).astype("u1").tobytes(), b"" if rank is None else rank.astype("u1").tobytes()])
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers in `width` bytes, all first bytes first, so that small numbers compress away."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _entries(blob: bytes, ranked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    (runs,) = struct.unpack_from("<I", blob)
-    sizes = np.frombuffer(blob, "<u4", runs, 4 + 2 * runs)
-    n, at = int(sizes.sum()), 4 + 6 * runs
-    docs = np.repeat(np.frombuffer(blob, "<u2", runs, 4), sizes)
-    low = np.frombuffer(blob, "<u4", n, at).astype(U) | (np.frombuffer(blob, "u1", n, at + 4 * n).astype(U) << U(32))
-    return docs, low, np.frombuffer(blob, "u1", n, at + 5 * n) if ranked else None
+def _numbers(data: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").reshape(-1)
 
 
 def _deal(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
-    """Rows for buckets (bucket, slice, entries), and for each slice one with its documents (ids, sizes, set ids)."""
+    """Rows for buckets (bucket, slice, entries): the distinct shingles of a slice of documents, each with the number of its
+    documents there. And for each slice a row with its documents: ids, sizes, set ids, and their shingles as places among the
+    distinct ones. A shingle of very many documents so weighs as one entry a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -95,29 +93,30 @@ def _deal(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
                 keys = (np.repeat(np.arange(len(many), dtype=U), many) << U(BITS)) | (found >> U(64 - BITS))
                 keys.sort()
                 keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-                owner, value = (keys >> U(BITS)).astype(np.int64), keys & U((1 << BITS) - 1)
-                n = np.bincount(owner, minlength=len(many))
-                lanes = np.zeros((2, len(many)), U)
+                value = keys & U((1 << BITS) - 1)
+                n = np.bincount((keys >> U(BITS)).astype(np.int64), minlength=len(many))
+                lanes, ends = np.zeros((2, len(many)), U), np.cumsum(n)
                 for lane in (0, 1):
                     sums = np.concatenate([np.zeros(1, U), np.cumsum(wordhash.seeded(value, lane + 1))])
-                    ends = np.cumsum(n)
                     lanes[lane] = sums[ends] - sums[ends - n]
                 sets = [lanes[:, k].tobytes() for k in range(len(many))]
-                bucket = (value >> U(BITS - bucket_bits)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                low, owner, bucket = value[order] & U((1 << LOW) - 1), owner[order], bucket[order]
-                names, sizes = _runs(bucket)
+                distinct, place, times = np.unique(value, return_inverse=True, return_counts=True)
+                names, sizes = _runs(distinct >> U(BITS - bucket_bits))
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
-                blobs = [_blob(owner[a:b], low[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                blobs = [struct.pack("<I", b - a) + _planes(distinct[a:b], LOW // 8) + _planes(times[a:b], 4) for a, b in zip(cuts, cuts[1:], strict=False)]
                 info = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sets, pa.binary())], ["doc_id", "n", "set_id"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, info.schema) as writer:
                     writer.write_batch(info)
+                head = struct.pack("<III", len(names), len(distinct), len(place)) + names.astype("<u4").tobytes() + cuts[:-1].astype("<u4").tobytes()
                 rows, slice_id = len(blobs) + 1, first + number
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(names.astype(np.int32), -1 - number % 1024), pa.int32()), pa.array([slice_id] * rows, pa.int64()), pa.array([*blobs, None], pa.binary()), pa.array([None] * len(blobs) + [sink.getvalue().to_pybytes()], pa.binary())],
+                    [
+                        pa.array(np.append(names.astype(np.int32), -1 - number % 1024), pa.int32()), pa.array([slice_id] * rows, pa.int64()),
+                        pa.array([*blobs, head + _planes(place, 4)], pa.binary()), pa.array([None] * len(blobs) + [sink.getvalue().to_pybytes()], pa.binary()),
+                    ],
                     ["bucket", "slice", "entries", "docs"],
-                )
+                )
                 number += 1
 
     return docs.transform(in_arrow, run, "bucket int, slice long, entries binary, docs binary")
@@ -137,28 +136,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, rows
 
 
-def _shared(dealt: DataFrame, bucket_bits: int) -> DataFrame:
-    """Of each bucket the entries that two or more documents have, with a rank by frequency; a slice's documents pass."""
+def _shared(dealt: DataFrame) -> DataFrame:
+    """Of each bucket and slice the shingles that two or more documents have (place in the blob, low bits), with a rank by frequency; a slice's documents pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _grouped(batches, "bucket"):
             out: list[tuple] = []
             if bucket < 0:
-                out = [(bucket, r["slice"], None, r["docs"]) for r in rows]
+                out = [(bucket, r["slice"], r["entries"], r["docs"]) for r in rows]
             else:
-                parts = [_entries(r["entries"]) for r in rows]
-                low = np.concatenate([p[1] for p in parts])
+                sizes = [struct.unpack_from("<I", r["entries"])[0] for r in rows]
+                low = np.concatenate([_numbers(r["entries"], 4, n, LOW // 8) for r, n in zip(rows, sizes, strict=True)])
+                own = np.concatenate([_numbers(r["entries"], 4 + n * LOW // 8, n, 4) for r, n in zip(rows, sizes, strict=True)]).astype(np.int64)
                 order = np.argsort(low)
-                _, sizes = _runs(low[order])
+                _, groups = _runs(low[order])
                 times = np.empty(len(low), np.int64)
-                times[order] = np.repeat(sizes, sizes)
-                rank = np.minimum(np.round(8 * np.log2(times)), 255)
+                times[order] = np.repeat(np.add.reduceat(own[order], np.cumsum(groups) - groups), groups)
+                rank = np.minimum(np.round(8 * np.log2(times)), 255).astype(np.uint8)
                 at = 0
-                for r, (docs, own, _) in zip(rows, parts, strict=True):
-                    keep = times[at : at + len(own)] > 1
-                    if keep.any():
-                        out.append((bucket >> (bucket_bits - (BITS - LOW)), r["slice"], _blob(docs[keep], own[keep], rank[at : at + len(own)][keep]), None))
-                    at += len(own)
+                for r, n in zip(rows, sizes, strict=True):
+                    keep = np.flatnonzero(times[at : at + n] > 1)
+                    if len(keep):
+                        out.append((bucket, r["slice"], struct.pack("<I", len(keep)) + _planes(keep, 4) + _planes(low[at : at + n][keep], LOW // 8) + rank[at : at + n][keep].tobytes(), None))
+                    at += n
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "slice", "entries", "docs"])
 
@@ -166,26 +166,29 @@ def _shared(dealt: DataFrame, bucket_bits: int) -> DataFrame:
     return dealt.repartitionById(p, F.pmod("bucket", F.lit(p))).sortWithinPartitions("bucket").transform(in_arrow, run, dealt.schema)
 
 
-def _documents(shared: DataFrame) -> DataFrame:
+def _documents(shared: DataFrame, bucket_bits: int) -> DataFrame:
     """doc_id, n, set_id, and for documents that can have a link: entries (their shared shingles, sorted) and ranks."""
     names = ["doc_id", "n", "set_id", "entries", "ranks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "slice"):
-            info = pa.ipc.open_stream(next(r["docs"] for r in rows if r["docs"] is not None)).read_all().combine_chunks()
+            (whole,) = [r for r in rows if r["docs"] is not None]
+            info = pa.ipc.open_stream(whole["docs"]).read_all().combine_chunks()
             n = np.asarray(info.column("n"))
-            docs, value, rank = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.uint8)]
+            buckets, distinct, total = struct.unpack_from("<III", whole["entries"])
+            starts = dict(zip(np.frombuffer(whole["entries"], "<u4", buckets, 12).tolist(), np.frombuffer(whole["entries"], "<u4", buckets, 12 + 4 * buckets).tolist(), strict=True))
+            place = _numbers(whole["entries"], 12 + 8 * buckets, total, 4).astype(np.int64)
+            known, value, rank = np.zeros(distinct, bool), np.zeros(distinct, U), np.zeros(distinct, np.uint8)
             for r in rows:
-                if r["entries"] is not None:
-                    d, low, k = _entries(r["entries"], True)
-                    docs.append(d.astype(np.int64))
-                    value.append(low | U(r["bucket"] << LOW))
-                    rank.append(k)
-            docs, value, rank = np.concatenate(docs), np.concatenate(value), np.concatenate(rank)
-            order = np.argsort((docs.astype(U) << U(BITS)) | value)
-            value, rank = value[order], rank[order]
-            many = np.bincount(docs, minlength=len(n))
-            stop = np.cumsum(many)
+                if r["docs"] is None:
+                    (k,) = struct.unpack_from("<I", r["entries"])
+                    at = starts[r["bucket"]] + _numbers(r["entries"], 4, k, 4).astype(np.int64)
+                    known[at] = True
+                    value[at] = _numbers(r["entries"], 4 + 4 * k, k, LOW // 8) | U((r["bucket"] >> (bucket_bits - (BITS - LOW))) << LOW)
+                    rank[at] = np.frombuffer(r["entries"], np.uint8, k, 4 + 4 * k + k * LOW // 8)
+            here = known[place]
+            many = np.bincount(np.repeat(np.arange(len(n)), n)[here], minlength=len(n))
+            value, rank, stop = value[place[here]], rank[place[here]], np.cumsum(many)
             alive = (n > 0) & (many >= least_overlap(n))
             entries = [pack(value[b - m : b]) if a else None for a, b, m in zip(alive, stop, many, strict=True)]
             ranks = [rank[b - m : b].tobytes() if a else None for a, b, m in zip(alive, stop, many, strict=True)]
@@ -304,7 +307,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     bucket_bits = min(24, max(BITS - LOW, math.ceil(math.log2(4 * partitions(spark)))))
-    table = written(_documents(_shared(_deal(rows, size, bucket_bits), bucket_bits)), "documents")
+    table = written(_documents(_shared(_deal(rows, size, bucket_bits)), bucket_bits), "documents")
     classes = written(_classes(table), "classes")
     near = written(_linked(_stars(classes), classes), "stars")
     links = near.unionByName(_linked(_tiles(classes, near), classes))
