@@ -16,7 +16,7 @@ from kindred.functions import text as T
 from kindred.functions.phonetic import phonetic
 from kindred.functions.scripts import fold_all
 from kindred.operators import blocking, checks, decide, evaluate, folds, model, pairs, profile
-from kindred.operators.golden import golden_join, golden_match
+from kindred.operators.golden import EITHER, KEYS, golden_join, golden_match
 from kindred.operators.normalize import FIELDS, normalize
 from kindred.plans import oracles as O
 from kindred.sources import demo, tsv
@@ -41,7 +41,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    return demo.view(spark, d, demo.RECORDS)
+    """The feeds. The tables below are single small files, which one task would read: their rows are spread over the cores."""
+    return demo.view(spark, d, demo.RECORDS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -52,17 +53,17 @@ def normal(spark: SparkSession, d: str, only: tuple[str, ...] = NATIVE) -> DataF
     return normalize(records(spark, d), every_script=False, only=only)
 
 
-def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, d: str, only: tuple[str, ...] = NATIVE) -> tuple[DataFrame, DataFrame]:
     """Source 1 and the others, normalized once into a table that every later step reads only the columns of that it needs."""
     path = scratch(spark, "normalized")
-    made = normal(spark, d)
+    made = normal(spark, d, only)
     made.write.parquet(path)
     n = spark.read.schema(made.schema).parquet(path)
     return n.where("source = 'S1'"), n.where("source <> 'S1'")
 
 
 def golden(spark: SparkSession, d: str) -> DataFrame:
-    return golden_join(*sides(spark, d))
+    return golden_join(*sides(spark, d, KEYS + EITHER))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +71,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.place_channel(*sides(spark, d), "postal_code_guess").select("s1_id", "match_id")
+    return blocking.place_channel(*sides(spark, d, KEYS + EITHER), "postal_code_guess").select("s1_id", "match_id")
 
 
 def features(spark: SparkSession, d: str, jaro: bool = False) -> DataFrame:
@@ -357,17 +358,17 @@ def channel(name: str, table: str) -> str:
 
 @query("J9_token_channel", O.over(channel("token", "token"), TOKEN))
 def _(spark, d):
-    return blocking.token_channel(*sides(spark, d), "address_tokens")
+    return blocking.token_channel(*sides(spark, d, ("address_tokens",)), "address_tokens")
 
 
 @query("J10_minhash_channel", O.over(channel("minhash", "minhash"), MINHASH))
 def _(spark, d):
-    return blocking.minhash_channel(*sides(spark, d), T.char_grams(F.concat_ws(" ", "normalized_name", "normalized_address")))
+    return blocking.minhash_channel(*sides(spark, d, ("normalized_name", "normalized_address")), T.char_grams(F.concat_ws(" ", "normalized_name", "normalized_address")))
 
 
 @query("J11_postal_channel", O.over(channel("postal_code_guess", "place"), O.PAIRS))
 def _(spark, d):
-    return blocking.place_channel(*sides(spark, d), "postal_code_guess")
+    return blocking.place_channel(*sides(spark, d, KEYS + EITHER), "postal_code_guess")
 
 
 @query("J11_city_channel", O.over(f"SELECT s1_id, match_id, 'street_number_guess' AS channel FROM ({O.place_pairs('street_number_guess')})"))
