@@ -84,8 +84,8 @@ def _deal(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
     distinct ones. A shingle of very many documents so weighs as one entry a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        number = 0
+        task = TaskContext.get().partitionId()
+        first, number = task << 32, 0
         for wide in slices(batches, "text", SLICE_BYTES):
             for start in range(0, wide.num_rows, SLICE_ROWS):
                 part = wide.slice(start, SLICE_ROWS)
@@ -112,7 +112,7 @@ def _deal(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
                 rows, slice_id = len(blobs) + 1, first + number
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.append(names.astype(np.int32), -1 - number % 1024), pa.int32()), pa.array([slice_id] * rows, pa.int64()),
+                        pa.array(np.append(names.astype(np.int32), -1 - (7919 * task + number) % 65_536), pa.int32()), pa.array([slice_id] * rows, pa.int64()),
                         pa.array([*blobs, head + _planes(place, 4)], pa.binary()), pa.array([None] * len(blobs) + [sink.getvalue().to_pybytes()], pa.binary()),
                     ],
                     ["bucket", "slice", "entries", "docs"],
