@@ -22,7 +22,7 @@ import numpy as np
 
 #: States that a worker compiles (later ones are simulated, as a lazy automaton does when its cache is full),
 #: neighbour pairs that it remembers, and pieces.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 60_000, 200_000, 600_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 40_000, 100_000, 400_000
 CHUNK = 512
 
 

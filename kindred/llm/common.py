@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at a time (one longer text is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,10 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 
 
 def release() -> None:
-    """Returns freed memory to the system, which allocators keep otherwise."""
+    """Returns freed memory to the system, which allocators keep otherwise, and drops tables that are soon made again."""
+    from kindred.llm import wordhash
+
+    wordhash._powers.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -44,13 +44,14 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i for i < n, modulo 2 ** 64."""
     if not _powers or len(_powers[0][0]) < n:
-        size = 1 << max(16, n.bit_length())
+        size = -(-n // 65_536) * 65_536
         one = np.ones(size, U)
         for table, base in ((one, BASE), (inverse := one.copy(), INVERSE)):
             done, step = 1, base
             while done < size:
-                table[done : 2 * done] = table[:done] * U(step)
-                done, step = 2 * done, step * step % (1 << 64)
+                more = min(done, size - done)
+                table[done : done + more] = table[:more] * U(step)
+                done, step = done + more, step * step % (1 << 64)
         _powers[0] = (one, inverse)
     return _powers[0]
 
