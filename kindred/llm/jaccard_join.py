@@ -1,4 +1,4 @@
-"""An exact n-gram Jaccard join of whole texts, down to connected components.
+"""An exact n-gram Jaccard join of whole texts: links, their number for each document, and connected components.
 
 1. The distinct shingles of slices of texts are hashed, counted and dealt to buckets in packed blobs. A bucket
    finds those that two or more documents have, and sends them back to the slices with a rank by frequency.
@@ -13,6 +13,9 @@
 6. A pair is compared by bitmaps first: a bit that one side has and the other lacks stands for at least one
    element that is not common, which bounds the overlap from above. The rest meet by exact intersection of sorted
    arrays. Links then give components.
+7. Families: for components, a joined family needs no more. For links, all pairs of its classes are compared: the
+   family is cut into blocks, and a pair of blocks counts common shingles exactly by a product of 0/1 matrices. A
+   cell returns its links, or only how many each class has, so that counting needs no row for each pair.
 
 No candidate is capped or dropped. Shingle hashes have 48 bits: the sets of two documents are compared by them,
 so one pair of texts of 1,000 words is misjudged by one shingle with a probability under 1e-8.
@@ -41,6 +44,7 @@ from kindred.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 8192
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
 BITS, LOW = 48, 40  # of a shingle's hash; of what is sent, as the bucket holds the rest
 STARS = 6
 U = np.uint64
@@ -217,8 +221,8 @@ def band_bits(n: int) -> int:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """A row for each distinct set that can have a link: set_id, n, first (smallest doc_id), entries, shared (their number), map, stars (minimum hashes), prefix (shingles under which it meets others)."""
-    names = ["set_id", "n", "first", "entries", "shared", "map", "stars", "prefix"]
+    """A row for each distinct set that can have a link: set_id, n, first (smallest doc_id), members (documents), entries, shared (their number), map, stars (minimum hashes), prefix (shingles under which it meets others)."""
+    names = ["set_id", "n", "first", "members", "entries", "shared", "map", "stars", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,10 +235,10 @@ def _classes(docs: DataFrame) -> DataFrame:
                 prefixes.append(value[order[: len(value) - int(least_overlap(n)) + 1]].astype(np.int64))
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], pa.array([len(e) // 6 for e in batch.column("entries").to_pylist()], pa.int64()), pa.array(maps, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], pa.array([len(e) // 6 for e in batch.column("entries").to_pylist()], pa.int64()), pa.array(maps, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names)
 
-    groups = docs.where("entries is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first("entries").alias("entries"), F.first("ranks").alias("ranks"))
-    return groups.transform(in_arrow, run, "set_id binary, n long, first long, entries binary, shared long, map binary, stars array<long>, prefix array<long>")
+    groups = docs.where("entries is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"), F.first("entries").alias("entries"), F.first("ranks").alias("ranks"))
+    return groups.transform(in_arrow, run, "set_id binary, n long, first long, members long, entries binary, shared long, map binary, stars array<long>, prefix array<long>")
 
 
 def _again(key: str):
@@ -285,13 +289,12 @@ def _stars(classes: DataFrame) -> DataFrame:
     return keyed.join(middle, ["key", "again"]).where("a <> set_id").select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
 
 
-def _tiles(classes: DataFrame, stars: DataFrame) -> DataFrame:
+def _tiles(classes: DataFrame, star: DataFrame) -> DataFrame:
     """Pairs of classes of a size band that share a shingle of their prefixes and that stars have not joined.
 
     If a shingle is the first in order that two sets have in common, then no more than what follows it is common.
     A pair is only emitted under shingles that leave enough for a link; its first common shingle always does.
     """
-    star = components(stars).toDF("set_id", "star")
     placed = classes.select("set_id", "n", "shared", F.posexplode("prefix").alias("at", "key")).join(star, "set_id", "left")
     placed = placed.select("set_id", "n", (F.col("shared") - F.col("at")).alias("follow"), F.coalesce("star", "set_id").alias("star"), "key", _again("key"))
     most = placed.groupBy("key", "star").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("stars"), F.max_by("star", F.struct("size", "star")).alias("main"))
@@ -302,25 +305,107 @@ def _tiles(classes: DataFrame, stars: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links lead to), for each row."""
-    spark = docs.sparkSession
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of the left with each of the right (arrays without repeats)."""
+    both = [*left, *right]
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, place, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    keep = times[place] > 1
+    owner, place = owner[keep], (np.cumsum(times > 1) - 1)[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, [start, start + COLUMNS])
+        cells = np.zeros((len(both), COLUMNS), np.float32)
+        cells[owner[a:b], place[a:b] - start] = 1
+        out += (cells[: len(left)] @ cells[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _families(classes: DataFrame, star: DataFrame, counts: bool) -> DataFrame:
+    """All links (a, b) between the classes of each star family; or with `counts`, rows (set_id, links) whose sums are each class's number of linked documents of other classes."""
+    rows = classes.select("set_id", "n", "members", "entries").join(star, "set_id").withColumn("again", _again("star"))
+    sizes = rows.groupBy("star").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("entries")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = rows.join(sizes.withColumn("again", _again("star")), ["star", "again"]).withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select(F.concat("star", F.encode(F.concat_ws(",", F.least("own", "other"), F.greatest("own", "other")), "UTF-8")).alias("cell"), (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("same"), "set_id", "n", "members", "entries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _grouped(batches, "cell"):
+            left, right = [r for r in found if not r["second"]], [r for r in found if r["second"]]
+            alone = found[0]["same"]
+            right = left if alone else right
+            if not left or not right:
+                continue
+            n, m = (np.array([r["n"] for r in side]) for side in (left, right))
+            common = overlaps(*[[unpack(r["entries"]) for r in side] for side in (left, right)])
+            hits = DENOMINATOR * common >= NUMERATOR * (n[:, None] + m - common)
+            if alone:
+                hits &= ~np.eye(len(left), dtype=bool)
+            if counts:
+                sums = [(r["set_id"], int(k)) for r, k in zip(left, hits @ np.array([r["members"] for r in right]), strict=True)]
+                if not alone:
+                    sums += [(r["set_id"], int(k)) for r, k in zip(right, hits.T @ np.array([r["members"] for r in left]), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sums], pa.binary()), pa.array([x[1] for x in sums], pa.int64())], ["set_id", "links"])
+            else:
+                for x, y in [(left[k], np.flatnonzero(hits[k])) for k in range(len(left))]:
+                    pairs = [sorted((x["set_id"], right[k]["set_id"])) for k in y.tolist() if not alone or x["set_id"] < right[k]["set_id"]]
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+    dealt = cells.repartition(partitions(classes.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.transform(in_arrow, run, "set_id binary, links long" if counts else "a binary, b binary")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents, their classes, the links of stars, the star families (set_id, star), and all links between classes of different families."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    bucket_bits = min(24, max(BITS - LOW, math.ceil(math.log2(4 * partitions(spark)))))
+    bucket_bits = min(24, max(BITS - LOW, math.ceil(math.log2(4 * partitions(docs.sparkSession)))))
     table = written(_documents(_shared(_deal(rows, size, bucket_bits)), bucket_bits), "documents")
     classes = written(_classes(table), "classes")
     near = written(_linked(_stars(classes), classes), "stars")
-    links = near.unionByName(_linked(_tiles(classes, near), classes))
+    star = components(near).toDF("set_id", "star")
+    return table, classes, near, star, _linked(_tiles(classes, star), classes)
+
+
+def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """set_id, component_id for each class."""
     found = components(links).toDF("set_id", "label")
     whole = classes.select("set_id", "first").join(found, "set_id", "left").select("set_id", "first", F.coalesce("label", "set_id").alias("label"))
     least = written(whole, "labels").withColumn("again", _again("label"))
     smallest = least.groupBy("label").agg(F.min("first").alias("component_id")).select("label", _again("label"), "component_id")
-    named = written(least.join(smallest, ["label", "again"]).select("set_id", "component_id"), "named")
+    return written(least.join(smallest, ["label", "again"]).select("set_id", "component_id"), "named")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links lead to), for each row."""
+    table, classes, near, _, across = _joined(docs, id_col, text_col, size)
+    named = _named(classes, near.unionByName(across))
     linked = table.where("entries is not null").select("doc_id", "n", "set_id").join(named, "set_id")
     alone = table.where("entries is null")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def jaccard_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, n_links (the rows that it is linked with), component_id, for each row."""
+    table, classes, near, star, across = _joined(docs, id_col, text_col, size)
+    across = written(across, "across")
+    named = _named(classes, near.unionByName(across))
+    ends = across.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(across.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+    beyond = ends.join(classes.select(F.col("set_id").alias("other"), F.col("members").alias("links")), "other").select("set_id", "links")
+    links = _families(classes, star, counts=True).unionByName(beyond).groupBy("set_id").agg(F.sum("links").alias("links"))
+    totals = classes.select("set_id", "members").join(links, "set_id", "left").join(named, "set_id").select("set_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    linked = table.where("entries is not null").select("doc_id", "n", "set_id").join(written(totals, "totals"), "set_id")
+    alone = table.where("entries is null")
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id")))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """All links between classes, (a, b) with a < b, and the membership (set_id, doc_id): documents of one class are linked as well."""
+    table, classes, _, star, across = _joined(docs, id_col, text_col, size)
+    return _families(classes, star, counts=False).unionByName(across), table.where("entries is not null").select("set_id", "doc_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The rows of docs whose id is the smallest of their component (rows without an id stay); all columns."""
     names = jaccard_components(docs, id_col, text_col, size)

@@ -48,7 +48,7 @@ def op9_bpe_codec(spark, sf_dir):
 
 
 def op10_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_counts(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark, sf_dir):

@@ -73,6 +73,34 @@ def test_equals_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} - {None} == want - {None}
 
 
+def linked_rows(rows):
+    """For each row, the rows that it is linked with."""
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: (common := len(sets[a] & sets[b])) and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common)
+    return [{b for b in range(len(rows)) if b != a and near(a, b)} for a in range(len(rows))]
+
+
+def test_links_within_and_between_families(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    family = [" ".join(w if rng.random() > 0.02 else f"y{rng.randrange(99)}" for w in base) for _ in range(40)]
+    rows = [*corpus(3), *enumerate([*family, family[0], family[0].upper(), "lone words", ""], 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = linked_rows(rows)
+    got = {r.doc_id: r for r in J.jaccard_counts(df).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(w) for (i, _), w in zip(rows, want)}
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.values()) == sorted(brute(rows))
+    links, members = J.jaccard_links(df)
+    of = {}
+    for r in members.collect():
+        of.setdefault(bytes(r.set_id), []).append(r.doc_id)
+    pairs = [(bytes(r.a), bytes(r.b)) for r in links.collect()]
+    assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+    found = {(x, y) for a, b in pairs for x in of[a] for y in of[b]} | {(x, y) for ids in of.values() for x in ids for y in ids if x != y}
+    assert found | {(y, x) for x, y in found} == {(rows[k][0], rows[m][0]) for k, w in enumerate(want) for m in w}
+
+
 def test_empty_table(spark):
     assert run(spark, [])[0] == []
 
