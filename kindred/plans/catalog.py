@@ -376,6 +376,16 @@ def _(spark, d):
     return blocking.place_channel(*sides(spark, d), "street_number_guess")
 
 
+@query("J11_street_number_channel", O.over(f"SELECT s1_id, match_id, 'street_number_guess' AS channel FROM ({O.place_pairs('street_number_guess')})"))
+def _(spark, d):
+    return blocking.place_channel(*sides(spark, d, KEYS + ("street_number_guess",)), "street_number_guess")
+
+
+@query("J11_city_guess_channel", O.over(f"SELECT s1_id, match_id, 'city_guess' AS channel FROM ({O.place_pairs('city_guess')})"))
+def _(spark, d):
+    return blocking.place_channel(*sides(spark, d, KEYS + ("city_guess",)), "city_guess")
+
+
 @query("J12_phonetic_channel")
 def _(spark, d):
     n = normalize(records(spark, d), every_script=False)

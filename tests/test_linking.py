@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.operators import blocking, decide, evaluate, folds, model, pairs
 from kindred.operators.golden import golden_join, golden_match
 from kindred.operators.normalize import normalize
+from kindred.plans import catalog
 
 NATIVE = ("normalized_name", "aggressive_normalized_name", "name_tokens_no_suffix", "name_char_ngrams", "normalized_address", "address_tokens", "postal_code_guess", "city_guess", "street_number_guess", "name_missing", "address_missing", "postal_missing", "city_missing", "country")
 # name, address, country of either side, and whether they match
@@ -116,6 +117,13 @@ def test_channels_recall_and_pruning(spark):
     assert {r.s1_id: round(r.cosine, 6) for r in pairs.cosine(found, w, w).collect()}["S1-2"] == 1.0
 
 
+def test_city_channel_needs_no_house_number(spark):
+    data = "/root/testdata/sf0.001"
+    names = catalog.normal(spark, data, ("raw_address", "street_number_guess")).withColumnRenamed("entity_id", "match_id")
+    found = catalog.QUERIES["J11_city_guess_channel"](spark, data).where("channel = 'city_guess'").join(names, "match_id")
+    assert not found.where("raw_address LIKE 'Unit 4, %' AND street_number_guess = ''").isEmpty()
+
+
 def test_decisions(spark):
     rows = [("a", "x", 0.9), ("a", "y", 0.85), ("b", "z", 0.7), ("c", "w", 0.1)]
     scored = spark.createDataFrame(rows, "s1_id string, match_id string, score double")
