@@ -50,7 +50,7 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normal(spark: SparkSession, d: str, only: tuple[str, ...] = NATIVE) -> DataFrame:
-    return normalize(records(spark, d), every_script=False, only=only)
+    return normalize(records(spark, d), only=only)
 
 
 def sides(spark: SparkSession, d: str, only: tuple[str, ...] = NATIVE) -> tuple[DataFrame, DataFrame]:
@@ -388,7 +388,7 @@ def _(spark, d):
 
 @query("J12_phonetic_channel")
 def _(spark, d):
-    n = normalize(records(spark, d), every_script=False)
+    n = normalize(records(spark, d))
     return blocking.phonetic_channel(n.where("source = 'S1'"), n.where("source <> 'S1'"))
 
 

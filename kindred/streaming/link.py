@@ -18,4 +18,4 @@ def record_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def golden_stream(stream: DataFrame, known: DataFrame) -> DataFrame:
     """s1_id, match_id of arriving records against normalized known ones. A stream-static join: it keeps no state."""
-    return golden_join(known, normalize(stream, every_script=False, only=NATIVE))
+    return golden_join(known, normalize(stream, only=NATIVE))

@@ -9,6 +9,7 @@ from kindred.operators import blocking, decide, evaluate, folds, model, pairs
 from kindred.operators.golden import golden_join, golden_match
 from kindred.operators.normalize import normalize
 from kindred.plans import catalog
+from kindred.streaming import link
 
 NATIVE = ("normalized_name", "aggressive_normalized_name", "name_tokens_no_suffix", "name_char_ngrams", "normalized_address", "address_tokens", "postal_code_guess", "city_guess", "street_number_guess", "name_missing", "address_missing", "postal_missing", "city_missing", "country")
 # name, address, country of either side, and whether they match
@@ -124,6 +125,15 @@ def test_city_channel_needs_no_house_number(spark):
     assert not found.where("raw_address LIKE 'Unit 4, %' AND street_number_guess = ''").isEmpty()
 
 
+def test_stream_links_names_of_other_scripts(spark, tmp_path):
+    schema = "entity_id string, business_name string, business_address string, country string"
+    known = spark.createDataFrame([("S1-1", "राम Ltd", "1 Main St", "IN"), ("S1-2", "Traders", "1 Main St", "IN"), ("S1-3", "Москва Inc", "2 Oak Ave", "RU")], schema)
+    spark.createDataFrame([("S2-1", "राम", "1 Main Street", "IN"), ("S2-2", "राम Traders", "1 Main St", "IN"), ("S2-3", "МОСКВА", "2 Oak Avenue", "RU")], schema).write.parquet(f"{tmp_path}/in")
+    linked = link.golden_stream(link.record_stream(spark, f"{tmp_path}/in", known.schema), normalize(known))
+    linked.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [("S1-1", "S2-1"), ("S1-3", "S2-3")]
+
+
 def test_decisions(spark):
     rows = [("a", "x", 0.9), ("a", "y", 0.85), ("b", "z", 0.7), ("c", "w", 0.1)]
     scored = spark.createDataFrame(rows, "s1_id string, match_id string, score double")
