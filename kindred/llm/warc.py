@@ -8,7 +8,9 @@ line separator is an empty gzip member, which decompresses to nothing.
 Reading. `read_archive` walks a file record by record, compressed or not. Checks: the gzip checksum, the version
 line, the header fields, Content-Length, the closing blank lines and the payload digest. Where one fails it looks
 for the next place at which a whole valid record begins (a gzip member or a version line), goes on from there and
-reports the bytes between as a quarantined gap.
+reports the bytes between as a quarantined gap. Inside a gzip member, also one that is cut or fails its checksum, the
+valid records are found in the same way in what can be inflated; of a broken member, the record that ends where it
+does is not trusted.
 
 Defined results: a null html is an empty payload; a null page_id counts as the largest; rows that repeat the
 smallest id of a payload are all responses; control characters and blanks in a url are percent-encoded; an empty
@@ -110,21 +112,25 @@ class Gap(NamedTuple):
 
 
 BEGINS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 STEP = 1 << 16
 
 
-def unpacked(data: bytes, start: int) -> tuple[bytes, int] | None:
-    """The contents of the gzip member at start and its end; None if a check of it fails."""
+def unpacked(data: bytes, start: int) -> tuple[bytes, int, bool]:
+    """What can be had of the contents of the gzip member at start, where reading ended, and whether all checks of the member passed."""
     unpacker, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not unpacker.eof:
-            if at >= len(data):
-                return None
-            parts.append(unpacker.decompress(data[at : at + STEP]))
-            at += STEP
-    except zlib.error:
-        return None
-    return b"".join(parts), min(at, len(data)) - len(unpacker.unused_data)
+    while not unpacker.eof and at < len(data):
+        piece, before = data[at : at + STEP], unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(piece))
+        except zlib.error:  # the piece again, byte by byte, up to the error
+            for k in range(len(piece)):
+                try:
+                    parts.append(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    return b"".join(parts), at + k, False
+        at += len(piece)
+    return b"".join(parts), at - len(unpacker.unused_data), unpacker.eof
 
 
 def parsed(data: bytes, start: int) -> Record | None:
@@ -133,7 +139,8 @@ def parsed(data: bytes, start: int) -> Record | None:
     if head < 0 or not re.match(rb"WARC/1\.[01]\r\n", data[start : start + 10]):
         return None
     try:
-        fields = dict(line.split(": ", 1) for line in data[start:head].decode().split("\r\n")[1:])
+        lines = re.sub(r"\r\n[ \t]+", " ", data[start:head].decode()).split("\r\n")[1:]
+        fields = {name.strip(): value.strip() for name, value in (line.split(":", 1) for line in lines)}
         size = int(fields["Content-Length"])
     except (ValueError, KeyError, UnicodeDecodeError):
         return None
@@ -147,39 +154,50 @@ def parsed(data: bytes, start: int) -> Record | None:
     return Record(start, end + 4, fields, payload)
 
 
-def at_place(data: bytes, start: int) -> tuple[list[Record], int] | None:
-    """The records of the member, or the record, that begins at start, and where it ends."""
-    if data[start : start + 3] == b"\x1f\x8b\x08":
-        if (got := unpacked(data, start)) is None:
-            return None
-        inner, end = got
-        records, at = [], 0
-        while at < len(inner):
-            if (r := parsed(inner, at)) is None:
-                return None
-            records.append(Record(start, end, r.fields, r.payload))
-            at = r.end
-        return records, end
-    r = parsed(data, start)
-    return None if r is None else ([r], r.end)
+def at_place(data: bytes, start: int) -> tuple[list[Record | Gap], int, bool] | None:
+    """The records (and inner gaps) of the member, or the record, that begins at start, where reading ended, and whether that is its end. None if no record of it is valid."""
+    if data[start : start + 3] != b"\x1f\x8b\x08":
+        r = parsed(data, start)
+        return None if r is None else ([r], r.end, True)
+    inner, end, whole = unpacked(data, start)
+    found: list[Record | Gap] = []
+    at = bad = 0
+    while at < len(inner):
+        r = parsed(inner, at)
+        if r is None or (not whole and r.end == len(inner)):  # nothing confirms a record that ends where a broken member does
+            nearest = VERSION.search(inner, at + 1)
+            at = nearest.start() if nearest else len(inner)
+            continue
+        if at > bad and whole:
+            found.append(Gap(start, end))
+        found.append(Record(start, end, r.fields, r.payload))
+        at = bad = r.end
+    if not any(isinstance(x, Record) for x in found) and (inner or not whole):
+        return None
+    if whole and bad < len(inner):
+        found.append(Gap(start, end))
+    return found, end, whole
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
-    """The records of one file in order, and the gaps of bytes that belong to no valid record."""
-    at = 0
+    """The records of one file in order, and the gaps of bytes that belong to no valid record. A gap inside a whole gzip member has the member's bounds; a broken member is a gap up to the next valid place, after the records that it gave."""
+    at = bad = 0
+    given: list[Record | Gap] = []  # by the last broken member; where it is stored without compression, they are met again
     while at < len(data):
-        got, bad = at_place(data, at), at
-        while got is None:
-            found = BEGINS.search(data, at + 1)
-            if found is None:
-                yield Gap(bad, len(data))
-                return
-            at = found.start()
-            got = at_place(data, at)
-        if at > bad:
-            yield Gap(bad, at)
-        yield from got[0]
-        at = got[1]
+        got = at_place(data, at)
+        if got is not None and not any(x[2:] == got[0][0][2:] for x in given if got[0] and data[at : at + 3] != b"\x1f\x8b\x08"):
+            if at > bad:
+                yield Gap(bad, at)
+            yield from got[0]
+            bad = at
+            if got[2]:
+                at = bad = got[1]
+                continue
+            given = got[0]
+        found = BEGINS.search(data, at + 1)
+        at = found.start() if found else len(data)
+    if at > bad:
+        yield Gap(bad, len(data))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:

@@ -61,3 +61,28 @@ def test_salvage_skips_only_what_is_damaged():
         assert ids == [warc.PAGE % k for k in range(5)] and len(gaps) == 3 and gaps[0] == (0, 4)
     assert read(b"") == ([], []) and read(b"nothing") == ([], [(0, 7)])
     assert read(warc.EMPTY_MEMBER * 2) == ([], [])
+
+
+def test_salvage_inside_members_of_many_records():
+    records = built(False)
+    one = warc.member(b"".join(records))
+    ids = lambda *ks: [warc.PAGE % k for k in ks]
+    assert read(one) == (ids(*range(6)), [])
+    bad = warc.member(b"".join([*records[:2], records[2].replace(b"x2x2", b"x2y2", 1), *records[3:]]))
+    assert read(bad) == (ids(0, 1, 3, 4, 5), [(0, len(bad))])
+    assert read(warc.member(b"junk" + records[0] + b"tail"))[0] == ids(0)
+    packer = warc.zlib.compressobj(0, warc.zlib.DEFLATED, 31)
+    stored = packer.compress(b"".join(records)) + packer.flush()
+    cut = stored[: stored.index(b"x4x4")]
+    for data, behind in ((cut, b""), (cut, one), (cut, b"junk")):
+        got, gaps = read(data + behind)
+        assert got == ids(0, 1, 2, 3) + (ids(*range(6)) if behind == one else []) and gaps == [(0, len(cut) + (len(behind) if behind == b"junk" else 0))]
+    wrong = one[:-8] + bytes(4) + one[-4:]
+    assert read(wrong) == (ids(0, 1, 2, 3, 4), [(0, len(wrong))])
+
+
+def test_headers_without_blanks_and_folded():
+    plain = built(False)[1]
+    head, _, rest = plain.partition(b"\r\n\r\n")
+    assert read(head.replace(b": ", b":") + b"\r\n\r\n" + rest)[0] == [warc.PAGE % 1]
+    assert read(head.replace(b"application/http; ", b"application/http;\r\n\t") + b"\r\n\r\n" + rest)[0] == [warc.PAGE % 1]
