@@ -34,6 +34,22 @@ def token_channel(left: DataFrame, right: DataFrame, field: str = "name_tokens_n
     return on_key(words(left), rare_keys(words(right), most), "token")
 
 
+def whole_token_channel(left: DataFrame, right: DataFrame, field: str = "name_tokens_no_suffix", most: int = MOST_RECORDS) -> DataFrame:
+    """As token_channel, but a record keeps a key however large the table is: words beyond the limit count in pairs, and a right record without a rare word or pair meets those with all its words."""
+    words = lambda df: keyed(df.select("entity_id", F.explode(F.array_distinct(field)).alias("word")), F.col("word"))
+    common = words(right).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("key")
+
+    def couples(df: DataFrame) -> DataFrame:
+        some = words(df).join(common, "key", "left_semi")
+        return some.toDF("id", "x").join(some.toDF("id", "y"), "id").where("x < y").select("id", F.concat_ws(" ", "x", "y").alias("key"))
+
+    whole = lambda df: keyed(df, F.concat_ws(" ", F.array_sort(F.array_distinct(field))))
+    rare, rare_couples = rare_keys(words(right), most), rare_keys(couples(right), most)
+    rest = whole(right).join(rare.select("id").unionByName(rare_couples.select("id")), "id", "left_anti")
+    found = (on_key(words(left), rare, "token"), on_key(couples(left), rare_couples, "token"), on_key(whole(left), rest, "token"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def place_channel(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
     """Records of one country that share a postal code or city, and the first letter of the name."""
     key = F.when((F.col(field) != "") & (F.col("aggressive_normalized_name") != ""), F.concat_ws("|", "country", field, F.substring("aggressive_normalized_name", 1, 1)))

@@ -118,6 +118,16 @@ def test_channels_recall_and_pruning(spark):
     assert {r.s1_id: round(r.cosine, 6) for r in pairs.cosine(found, w, w).collect()}["S1-2"] == 1.0
 
 
+def test_frequent_tokens_keep_finer_keys(spark):
+    left = records(spark, [("S1-1", "Alpha Beta", "", "IT"), ("S1-2", "Alpha Gamma", "", "IT"), ("S1-3", "Alpha", "", "IT")])
+    right = records(spark, [*[(f"S2-{k}", "Alpha Beta", "", "IT") for k in range(3)], *[(f"S3-{k}", "Alpha Gamma", "", "IT") for k in range(2)], ("S3-9", "Alpha", "", "IT")])
+    ids = lambda df: sorted((r.s1_id, r.match_id) for r in df.collect())
+    want = sorted([*[("S1-1", f"S2-{k}") for k in range(3)], *[("S1-2", f"S3-{k}") for k in range(2)], ("S1-3", "S3-9")])
+    assert ids(blocking.token_channel(left, right, most=1)) == []
+    for most in (0, 1, 2):
+        assert ids(blocking.whole_token_channel(left, right, most=most)) == want
+
+
 def test_city_channel_needs_no_house_number(spark):
     data = "/root/testdata/sf0.001"
     names = catalog.normal(spark, data, ("raw_address", "street_number_guess")).withColumnRenamed("entity_id", "match_id")
