@@ -66,16 +66,12 @@ def read(data: np.ndarray, offsets: np.ndarray) -> Words:
     borders = np.concatenate([[0], 1 + np.cumsum(lens + 1)])
     borders[-1] = len(spaced)
     hashes, counts = wordhash.words(spaced, borders)
-    inside = ~wordhash.spaces()[spaced]
+    inside = wordhash.lowered()[spaced] != 32
     start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     stop = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-    up, down = wordhash.powers(len(spaced) + 8)
-    sums = np.zeros(len(spaced) + 1, U)
-    np.cumsum(wordhash.codes()[spaced] * up[: len(spaced)], out=sums[1:])
     grams = []
     for n in GRAMS:
-        many = len(spaced) - n + 1
-        bucket = (wordhash.mix((sums[n:] - sums[:many]) * down[:many]) >> U(64 - GRAM_BITS)).astype(np.int64) if many > 0 else np.zeros(0, np.int64)
+        bucket = (wordhash.grams(spaced, n) >> U(64 - GRAM_BITS)).astype(np.int64)
         grams.append((bucket, start - 1, np.maximum(stop - n + 2, start - 1)))
     return Words((hashes >> U(64 - WORD_BITS)).astype(np.int64), grams, counts)
 

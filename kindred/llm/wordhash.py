@@ -1,17 +1,21 @@
 """64-bit hashes of the words of whole Arrow columns, without a Python object per word.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. Its hash is a polynomial over random
-64-bit codes of its bytes, from differences of one running sum over the buffer, and a final mixing step.
+A word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. Its hash starts from its length and takes
+in eight bytes at a time, each time through a bijection of all 64 bits; what takes part in one step never meets another
+word's at the same place by its form alone, as in a polynomial over a ring. Words of up to eight bytes and equal length
+never collide. A word of more than LONG bytes goes through blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 5
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of the longest word that is hashed in lockstep with others.
+LONG = 256
 U = np.uint64
 
 
@@ -23,37 +27,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def codes() -> np.ndarray:
-    """A random code for each byte; capitals share their small letter's, white space has 0."""
-    out = mix(np.arange(1, 257, dtype=U) * U(BASE))
+def lowered() -> np.ndarray:
+    """What each byte counts as: capitals as their small letter, white space as a blank."""
+    out = np.arange(256, dtype=np.uint8)
     out[65:91] = out[97:123]
-    out[[*range(9, 14), 32]] = 0
+    out[9:14] = 32
     return out
 
 
-@lru_cache(1)
-def spaces() -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[[*range(9, 14), 32]] = True
-    return out
-
+#: The first k bytes of eight.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i for i < n, modulo 2 ** 64."""
-    if not _powers or len(_powers[0][0]) < n:
-        size = -(-n // 65_536) * 65_536
-        one = np.ones(size, U)
-        for table, base in ((one, BASE), (inverse := one.copy(), INVERSE)):
-            done, step = 1, base
-            while done < size:
-                more = min(done, size - done)
-                table[done : done + more] = table[:more] * U(step)
-                done, step = done + more, step * step % (1 << 64)
-        _powers[0] = (one, inverse)
-    return _powers[0]
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, with zeros after the end."""
+    text = np.concatenate([lowered()[data], np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", text, 0, (1,))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +50,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n, texts = len(data), len(offsets) - 1
     if n == 0:
         return np.zeros(0, U), np.zeros(texts, np.int64)
-    inside = ~spaces()[data]
+    inside = lowered()[data] != 32
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < n]
@@ -71,13 +60,26 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = inside[last]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(n)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(codes()[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U))
+    size, eight = stop - start, blocks(data)
+    hashes = mix(size.astype(U) * U(BASE))
+    hashes = mix(hashes ^ (eight[start] & FIRST[np.minimum(size, 8)]))
+    open_, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(open_):
+        left = size[open_] - done
+        hashes[open_] = mix(hashes[open_] ^ (eight[start[open_] + done] & FIRST[np.minimum(left, 8)]))
+        done += 8
+        open_ = open_[left > 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        hashes[k] = np.frombuffer(hashlib.blake2b(lowered()[data[start[k] : stop[k]]].tobytes(), digest_size=8).digest(), "<u8")[0]
     return hashes, np.diff(np.searchsorted(start, offsets))
 
 
+def grams(data: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of `size` bytes (8 at most)."""
+    many = max(0, len(data) - size + 1)
+    return mix(mix(np.full(many, (size * BASE) % (1 << 64), U)) ^ (blocks(data)[:many] & FIRST[size]))
+
+
 def seeded(h: np.ndarray, seed: int) -> np.ndarray:
     return mix(h ^ U((seed * BASE) % (1 << 64)))
 
@@ -89,15 +91,15 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     if total == 0:
         return np.zeros(0, U), np.zeros(len(counts), np.int64)
     rolled = np.zeros(total, U)
-    for k in range(size):
+    for k in range(min(size, total)):
         rolled[: total - k] = mix(rolled[: total - k]) + hashes[k:]
     many = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     take = np.arange(many.sum()) + np.repeat(ends - counts - (np.cumsum(many) - many), many)
     out = mix(rolled[take])
+    stops = np.cumsum(many)
     for k in np.flatnonzero((counts > 0) & (counts < size)):  # few: whole sequences
-        h = U(0)
+        h = np.zeros(1, U)
         for w in hashes[ends[k] - counts[k] : ends[k]]:
-            with np.errstate(over="ignore"):
-                h = mix(np.array([h]))[0] + w
-        out[np.cumsum(many)[k] - 1] = seeded(np.array([h]), int(counts[k]))[0]
+            h = mix(h) + w
+        out[stops[k] - 1] = seeded(h, int(counts[k]))[0]
     return out, many

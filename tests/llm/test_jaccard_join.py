@@ -132,3 +132,25 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 201), (201, 200), (202, 201)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {k: 0 for k in range(31)} | {100 + k: 100 for k in range(40)} | {200: 200, 201: 200, 202: 200}
+
+
+def test_tables_of_a_few_words(spark):
+    for text in ("one", "two words", "a b c", "a b c d", "a b c d e"):
+        assert run(spark, [(1, text)])[0] == brute([(1, text)])
+    rows = [(k, " ".join("abcdef"[: k % 5])) for k in range(12)]
+    assert run(spark, rows)[0] == brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in J.one_of_each(df.repartition(12)).collect()} == {0, 1, 2, 3, 4, 5, 10}
+
+
+def test_words_of_one_form_are_told_apart(spark):
+    """Complementary Thue-Morse words agree under any polynomial hash modulo 2 ** 64."""
+    rows = []
+    for size in (8, 64, 1024, 2048):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(size))
+        rows += [(len(rows), word), (len(rows) + 1, word.translate(str.maketrans("ab", "ba")))]
+    rows += [(90, "x" * 8), (91, "x" * 16), (92, "x" * 256), (93, "x" * 257), (94, "X" * 257), (95, "y" * 257)]
+    assert run(spark, rows)[0] == brute(rows)
+    data = "".join(t + " " for _, t in rows).encode()
+    hashes, many = wordhash.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert many.tolist() == [len(rows)] and len(set(hashes.tolist())) == len(rows) - 1
