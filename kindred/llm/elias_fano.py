@@ -4,10 +4,10 @@ A sequence of n increasing numbers below u keeps the low bits of each (about log
 in unary: number i sets bit high + i. Bit counts at word borders give select, and with it both access and the
 search for a successor among the few numbers of one high part.
 
-A trie level holds the words of all contexts one after the other. Each context's words are made relative to it
-(context number above, word below), which makes the whole level increasing; pointers to where each context begins
-are a second, monotone sequence. With words of 32 bits the high part is the context number itself. Values are quantised
-to 16 bits.
+The upper level of a trie holds the words, with 16-bit codes of a probability and a back-off each. The lower one holds
+the followers of all words one after the other, each made relative to its context (the context's number above, the
+follower below), which makes the whole level increasing. Pointers to where each context's followers begin are a third,
+monotone sequence. A query finds the word, reads the two pointers, and searches the follower's successor between them.
 """
 
 from __future__ import annotations
@@ -104,40 +104,37 @@ class EliasFano:
 
 
 class Trie:
-    """Two levels: contexts, and the words that follow each. Built from sorted (context, word) with a value each."""
+    """Two levels: words, each with a code of its probability and one of its back-off, and the words that follow each."""
 
     HEAD = "<8sQQQQQQQQQ"
 
     def __init__(self, buffer):
-        magic, word_bits, *sizes = struct.unpack_from(self.HEAD, buffer)
-        assert magic == b"EFTRIE01"
-        self.word_bits, at, seqs = word_bits, struct.calcsize(self.HEAD), []
+        magic, bits, *sizes = struct.unpack_from(self.HEAD, buffer)
+        assert magic == b"EFTRIE02"
+        self.bits, at, seqs = bits, struct.calcsize(self.HEAD), []
         n_top, n_low, top_bits, low_bits, ptr_bits, top_low, low_low, ptr_low = sizes
         view = memoryview(buffer)
-        for n, bits, low in ((n_top, top_bits, top_low), (n_low, low_bits, low_low), (n_top + 1, ptr_bits, ptr_low)):
+        for n, low_size, low in ((n_top, top_bits, top_low), (n_low, low_bits, low_low), (n_top + 1, ptr_bits, ptr_low)):
             (words,) = struct.unpack_from("<Q", view, at)
             high = np.frombuffer(view, U, words, at + 8)
             at += 8 + 8 * words
-            seqs.append(EliasFano(n, bits, np.frombuffer(view, np.uint8, low, at), high))
+            seqs.append(EliasFano(n, low_size, np.frombuffer(view, np.uint8, low, at), high))
             at += low + (-low) % 8
-        self.contexts, self.words, self.pointers = seqs
-        self.values = np.frombuffer(view, np.uint16, n_low, at)
+        self.words, self.followers, self.pointers = seqs
+        self.one, self.back, self.two = (np.frombuffer(view, np.uint16, n, at + 2 * k) for n, k in ((n_top, 0), (n_top, n_top), (n_low, 2 * n_top)))
 
     @classmethod
-    def image(cls, contexts: np.ndarray, words: np.ndarray, values: np.ndarray, context_bits: int, word_bits: int) -> bytes:
-        """The bytes of a trie. (contexts, words) sorted, without repeats."""
-        starts = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
-        top = contexts[starts]
-        rank = np.repeat(np.arange(len(top), dtype=U), np.diff(np.append(starts, len(contexts))))
-        pointers = np.append(starts, len(contexts)).astype(U)
+    def image(cls, words: np.ndarray, one: np.ndarray, back: np.ndarray, context: np.ndarray, follower: np.ndarray, two: np.ndarray, word_bits: int, follower_bits: int) -> bytes:
+        """The bytes of a trie. words: sorted, with their codes; (context, follower): sorted, without repeats, context a place among the words."""
+        pointers = np.searchsorted(context, np.arange(len(words) + 1)).astype(U)
         seqs = [
-            EliasFano.parts(top.astype(U), 1 << context_bits),
-            EliasFano.parts((rank << U(word_bits)) | words.astype(U), max(len(top), 1) << word_bits, 32 if word_bits == 32 else None),
-            EliasFano.parts(pointers, len(contexts) + 1),
+            EliasFano.parts(words.astype(U), 1 << word_bits),
+            EliasFano.parts((context.astype(U) << U(follower_bits)) | follower.astype(U), max(len(words), 1) << follower_bits, 32 if follower_bits == 32 else None),
+            EliasFano.parts(pointers, len(context) + 1),
         ]
-        head = struct.pack(cls.HEAD, b"EFTRIE01", word_bits, len(top), len(contexts), *[s[0] for s in seqs], *[len(s[1]) for s in seqs])
+        head = struct.pack(cls.HEAD, b"EFTRIE02", follower_bits, len(words), len(context), *[s[0] for s in seqs], *[len(s[1]) for s in seqs])
         body = b"".join(struct.pack("<Q", len(high)) + high.tobytes() + low.tobytes() + b"\0" * (-len(low) % 8) for _, low, high in seqs)
-        return head + body + values.astype("<u2").tobytes()
+        return head + body + b"".join(x.astype("<u2").tobytes() for x in (one, back, two))
 
     @classmethod
     def mapped(cls, image: bytes) -> Trie:
@@ -152,20 +149,44 @@ class Trie:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def children(self, context: np.ndarray) -> np.ndarray:
-        """How many words follow each context (0 if it is not in the trie)."""
-        rank = self.contexts.find(context.astype(U))
-        inside = np.maximum(rank, 0)
-        if not self.contexts.n:
-            return np.zeros(len(context), np.int64)
-        return np.where(rank >= 0, self.pointers.get(inside + 1).astype(np.int64) - self.pointers.get(inside).astype(np.int64), 0)
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The quantised value of each (context, word); -1 where the trie has it not."""
-        if not len(context):
-            return np.zeros(0, np.int64)
-        fresh = np.concatenate([[True], context[1:] != context[:-1]])  # sorted queries look a context up once
-        rank = self.contexts.find(context[fresh].astype(U))[np.cumsum(fresh) - 1]
-        place = self.words.find((np.maximum(rank, 0).astype(U) << U(self.word_bits)) | word.astype(U))
-        found = (rank >= 0) & (place >= 0)
-        return np.where(found, self.values[np.maximum(place, 0)].astype(np.int64) if len(self.values) else -1, -1)
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The node of each word; -1 where the trie has it not."""
+        return self.words.find(words.astype(U))
+
+    def probabilities(self, node: np.ndarray, unknown: int) -> np.ndarray:
+        """The codes of the nodes' own probabilities; `unknown` for no node."""
+        return np.where(node >= 0, self.one[np.maximum(node, 0)] if len(self.one) else 0, unknown)
+
+    def back_offs(self, node: np.ndarray) -> np.ndarray:
+        """The codes of the nodes' back-offs; 0 for no node."""
+        return np.where(node >= 0, self.back[np.maximum(node, 0)] if len(self.back) else 0, 0)
+
+    def children(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the followers of each node begin and end; nothing for no node."""
+        if not self.words.n:
+            return np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        inside = np.maximum(node, 0)
+        start, stop = (self.pointers.get(inside + k).astype(np.int64) for k in (0, 1))
+        return start, np.where(node >= 0, stop, start)
+
+    def below(self, node: np.ndarray, which: np.ndarray, follower: np.ndarray) -> np.ndarray:
+        """The code of each follower under node[which]; 0 where it is not there. The pointers bound a search for the follower's successor among those of its context."""
+        start, stop = self.children(node)
+        at, end = start[which], stop[which]
+        low, open_ = at.copy(), np.flatnonzero(at < end)
+        high = end.copy()
+        wanted = (np.maximum(node, 0)[which].astype(U) << U(self.bits)) | follower.astype(U)
+        read = self.followers.lows if self.followers.low_bits == self.bits else self.followers.get
+        if self.followers.low_bits == self.bits:  # then a context's numbers differ in their low bits alone
+            wanted &= U((1 << self.bits) - 1)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            less = read(middle) < wanted[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        out = np.zeros(len(which), np.int64)
+        inside = np.flatnonzero(low < end)
+        hit = inside[read(low[inside]) == wanted[inside]]
+        out[hit] = self.two[low[hit]]
+        return out

@@ -7,21 +7,26 @@ number of distinct tokens and p1(w) = (c(w) + 1) / (N + V + 1), the model is a b
              = (1 - SEEN) * p1(w)      if u was seen, but not the pair
              = p1(w)                   if u was not seen
 
-whose probabilities sum to at most 1 for every u (c of the beginning is the number of training texts). Counts are
-kept as quantised log10, rounded so that this stays true.
-
-The model grows with the corpus, so it is never gathered, broadcast or cut: it lies in shards, and the texts'
-n-grams come to them. Documents are hashed in slices; the distinct words and pairs of each document are dealt to
-buckets as packed arrays, at most one entry a document for a word or pair, so that a frequent one is no heavy key.
-
-1. A pair bucket counts its pairs over the training documents, builds its trie (contexts, then words relative to
-   their context) and looks all its entries up. It returns a sum per document, and sends the words of unseen pairs
-   (of held-out documents only) to the word buckets.
-2. A word bucket counts its words over the training documents, and returns sums per document: of log10(c + 1) for
-   the base, of log10 c over contexts, and what the unseen pairs need.
-3. Slices come together again and add up their sums with N and V.
-
-Words are told apart by 48 bits of hash and their bucket, pairs by 56 bits and their bucket.
+whose probabilities sum to at most 1 for every u (c of the beginning is the number of training texts). The trie keeps
+log10 of these probabilities and of the back-offs 1 - SEEN in steps of 1 / STEP, rounded down, so that this stays true.
+
+The model grows with the corpus, so it is never gathered, broadcast or cut: it lies in shards, and the texts' n-grams
+come to them, counted per slice of text first, so that a frequent word or pair weighs one entry a slice.
+
+1. One pass over the documents cuts them into slices and writes a row for each: what identifies its documents, its
+   distinct words (sorted hashes), and its tokens as places among them. Everything later reads these rows, so that
+   nothing depends on the order in which an input gives its rows twice.
+2. Each slice sends each bucket a partial trie: the words that are at home there (a range of hashes), with their
+   counts and their distinct followers. A bucket adds up the partial tries, builds its trie (words with smoothed
+   probability and back-off, monotone pointers, followers relative to their context) and looks up what each slice has
+   sent: the word by successor search, its followers within the pointers' bounds. The answers go back to the slice.
+3. A context with more than half a bucket's load of all tokens is dealt over several buckets by its follower; each
+   of them gets the context's count from each slice. These contexts are at most 2 for each bucket.
+4. A slice meets its answers, walks its tokens (pair, or back-off and word) and adds up each document.
+
+Words are told apart by 48 bits of hash, the followers of a context by 32. A shard's image lies in an anonymous memory
+map: the tries of all shards as files would add more than the input to the disk that this takes. The largest task
+holds a bucket's entries, about 1.2 times the input over the number of shuffle partitions: give 100 to a GB.
 
 Defined results: a null text counts as empty (one token, its end); a null id is not held out; rows that repeat count
 each; without training texts every probability is p1 with c = N = V = 0; an empty table gives an empty result.
@@ -33,6 +38,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +52,13 @@ from kindred.llm.elias_fano import Trie
 from kindred.llm.toxicity import held_out
 
 SEEN = 0.7
-#: Quantised log10 in steps of 1 / STEP.
-STEP = 4096
+#: Quantised log10 in steps of 1 / STEP, and its largest code.
+STEP, LARGEST = 4096, 65535
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 8192
-WORD_BITS, PAIR_WORD_BITS, PAIR_CONTEXT_BITS = 48, 32, 24
-PAIR_BYTES = (PAIR_WORD_BITS + PAIR_CONTEXT_BITS) // 8
+WORD_BITS, FOLLOWER_BITS = 48, 32
 U = np.uint64
 #: The end of a text as a token, and its beginning as a context: fixed hashes beside those of words.
-FINISH, BEGIN = U(0x5EED_0000_0000_0001), U(0x5EED_0000_0000_0002)
+FINISH, BEGIN = U(0x5EED_0000_0001), U(0xB5EED_0000_002)
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -61,6 +66,11 @@ def planes(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
+def steps(values: np.ndarray) -> bytes:
+    """Sorted word hashes as the differences of neighbours."""
+    return planes(np.diff(values, prepend=U(0)), WORD_BITS // 8)
+
+
 class Reader:
     """Reads packed arrays in the order in which they were joined."""
 
@@ -77,70 +87,154 @@ class Reader:
         self.at += n * width
         return out.view("<u8").reshape(-1)
 
-
-def runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    return owner[starts], np.diff(np.append(starts, len(owner)))
-
-
-def packed(owner: np.ndarray, *columns: tuple[np.ndarray, int]) -> bytes:
-    """Entries in the order of their documents, as runs and planes."""
-    docs, sizes = runs(owner)
-    return struct.pack("<II", len(docs), len(owner)) + planes(docs, 2) + planes(sizes, 4) + b"".join(planes(c, w) for c, w in columns)
+    def words(self, n: int) -> np.ndarray:
+        return np.cumsum(self.array(n, WORD_BITS // 8), dtype=U)
 
 
-def unpacked(reader: Reader, *widths: int) -> list[np.ndarray]:
-    many, n = reader.number(), reader.number()
-    docs, sizes = reader.array(many, 2), reader.array(many, 4)
-    return [np.repeat(docs.astype(np.int64), sizes.astype(np.int64)), *[reader.array(n, w) for w in widths]]
+class Slice(NamedTuple):
+    """Of a slice: its distinct words (BEGIN among them), the place of each token there, tokens and held-out mark of each document."""
 
+    words: np.ndarray
+    tokens: np.ndarray
+    counts: np.ndarray
+    held: np.ndarray
 
-def summed(owner: np.ndarray, key: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
-    """Distinct (owner, key) in order, the further columns of each, and how often it stands there."""
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
-    owner, key = owner[order], key[order]
-    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
-    return [owner[first], key[first], *[m[order][first] for m in more], np.diff(np.append(first, len(key)))]
 
-
-def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    names, sizes = runs(bucket[order])
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    for name, a, b in zip(names.tolist(), cuts, cuts[1:], strict=False):
-        yield name, order[a:b]
-
-
-def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice: the document of each token, the token, and the token before it."""
+def tokens(part: pa.RecordBatch) -> Slice:
     hashes, counts = wordhash.words(*utf8(part.column("text")))
     ends = np.cumsum(counts + 1) - 1
-    all_tokens = np.full(len(hashes) + len(counts), FINISH, U)
-    inner = np.ones(len(all_tokens), bool)
+    every = np.full(len(hashes) + len(counts), FINISH, U)
+    inner = np.ones(len(every), bool)
     inner[ends] = False
-    all_tokens[inner] = hashes
-    before = np.concatenate([np.array([BEGIN], U), all_tokens[:-1]])
-    before[np.concatenate([[0], ends[:-1] + 1]) if len(counts) else []] = BEGIN
-    return np.repeat(np.arange(len(counts)), counts + 1), all_tokens, before
+    every[inner] = hashes >> U(64 - WORD_BITS)
+    words, place = np.unique(np.append(every, BEGIN), return_inverse=True)
+    return Slice(words, place[:-1], counts + 1, np.asarray(part.column("held_out")))
+
 
+def packed(s: Slice, ids: pa.Array) -> bytes:
+    head = struct.pack("<III", len(s.counts), len(s.words), len(s.tokens))
+    known = np.asarray(ids.fill_null(0)).astype(np.int64).view(U)
+    return head + planes(known, 8) + planes(np.asarray(ids.is_null()), 1) + planes(s.held, 1) + planes(s.counts, 4) + steps(s.words) + planes(s.tokens, 4)
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices with numbers that a repeated task gives again."""
-    first, number = TaskContext.get().partitionId() << 32, 0
-    for wide in slices(batches, "text", SLICE_BYTES):
-        for start in range(0, wide.num_rows, SLICE_ROWS):
-            yield first + number, wide.slice(start, SLICE_ROWS)
-            number += 1
 
+def unpacked(data: bytes) -> tuple[Slice, np.ndarray, np.ndarray]:
+    """The slice, its ids, and which of them are null."""
+    r = Reader(data)
+    docs, words, many = r.number(), r.number(), r.number()
+    ids, nulls, held, counts = r.array(docs, 8).view(np.int64), r.array(docs, 1).astype(bool), r.array(docs, 1).astype(bool), r.array(docs, 4).astype(np.int64)
+    return Slice(r.words(words), r.array(many, 4).astype(np.int64), counts, held), ids, nulls
 
-ROWS = "bucket int, slice long, kind int, data binary"
-INFO, WORDS, UNSEEN, PAIR_SUMS, WORD_SUMS, TOTALS = range(6)
 
+def cut(rows: DataFrame, buckets: int) -> DataFrame:
+    """A row for each slice: slice (a number), data, train_tokens, all_tokens, and its heavy contexts."""
 
-def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "slice", "kind", "data"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number = TaskContext.get().partitionId() << 32, 0
+        for wide in slices(batches, "text", SLICE_BYTES):
+            for start in range(0, wide.num_rows, SLICE_ROWS):
+                part = wide.slice(start, SLICE_ROWS)
+                s = tokens(part)
+                often = np.bincount(s.tokens, minlength=len(s.words))
+                often[np.searchsorted(s.words, FINISH)], often[np.searchsorted(s.words, BEGIN)] = 0, len(s.counts)
+                heavy = np.flatnonzero(often * 4 * buckets >= len(s.tokens))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([first + number], pa.int64()), pa.array([packed(s, part.column("doc_id"))], pa.binary()),
+                        pa.array([int(s.counts[~s.held].sum())], pa.int64()), pa.array([len(s.tokens)], pa.int64()),
+                        pa.array([s.words[heavy].astype(np.int64)], pa.list_(pa.int64())), pa.array([often[heavy]], pa.list_(pa.int64())),
+                    ],
+                    ["slice", "data", "train_tokens", "all_tokens", "heavy", "often"],
+                )
+                number += 1
+
+    return rows.transform(in_arrow, run, "slice long, data binary, train_tokens long, all_tokens long, heavy array<long>, often array<long>")
+
+
+class Deal(NamedTuple):
+    """How many buckets there are, and over how many of them each split context (sorted) is dealt."""
+
+    buckets: int
+    split: np.ndarray
+    over: np.ndarray
+
+    def home(self, words: np.ndarray) -> np.ndarray:
+        """The bucket of each word. It rises with the hash."""
+        return (((words >> U(WORD_BITS - 32)) * U(self.buckets)) >> U(32)).astype(np.int64)
+
+
+def deal(cuts: DataFrame, buckets: int) -> tuple[Deal, int]:
+    """The deal, and the number of training tokens. At most 2 * buckets contexts come to the driver."""
+    train, total = cuts.agg(F.sum("train_tokens"), F.sum("all_tokens")).first()
+    pairs = cuts.select(F.explode(F.arrays_zip("heavy", "often")).alias("x")).groupBy(F.col("x.heavy").alias("word")).agg(F.sum("x.often").alias("often"))
+    found = sorted((r.word, min(buckets, -(-2 * buckets * r.often // total))) for r in pairs.where(F.col("often") * (2 * buckets) > F.lit(total or 0)).collect())
+    return Deal(buckets, np.array([w for w, _ in found], U), np.array([n for _, n in found], np.int64)), train or 0
+
+
+class Layout(NamedTuple):
+    """The distinct pairs of a slice in the order in which they are sent, and what goes to each bucket.
+
+    context, follower: places among the words; token: which pair each token ends; a bucket has its words [a, b), pairs of
+    them [c, d), guests (contexts at home elsewhere) [e, f) and pairs of guests [g, h), with the number of followers of
+    each word and guest.
+    """
+
+    context: np.ndarray
+    follower: np.ndarray
+    token: np.ndarray
+    of_word: np.ndarray
+    guest: np.ndarray
+    of_guest: np.ndarray
+    bounds: list[tuple[int, int, int, int, int, int, int, int, int]]
+
+
+def before(s: Slice) -> np.ndarray:
+    """The place of the context of each token."""
+    out = np.empty_like(s.tokens)
+    out[1:] = s.tokens[:-1]
+    out[np.cumsum(s.counts) - s.counts] = np.searchsorted(s.words, BEGIN)
+    return out
+
+
+def layout(s: Slice, d: Deal) -> Layout:
+    pairs, token = np.unique(before(s) * len(s.words) + s.tokens, return_inverse=True)
+    context, follower = pairs // len(s.words), pairs % len(s.words)
+    home = d.home(s.words)
+    bucket = home[context]
+    if len(d.split):
+        at = np.minimum(np.searchsorted(d.split, s.words), len(d.split) - 1)
+        over = np.where(d.split[at] == s.words, d.over[at], 1)
+        wide = np.flatnonzero(over[context] > 1)
+        sub = (s.words[follower[wide]] & U((1 << FOLLOWER_BITS) - 1)).astype(np.int64) % over[context[wide]]
+        bucket[wide] = (bucket[wide] + sub) % d.buckets
+        shared = np.flatnonzero(over > 1)
+        guest = np.repeat(shared, over[shared] - 1)
+        turn = np.arange(len(guest)) - np.repeat(np.cumsum(over[shared] - 1) - (over[shared] - 1), over[shared] - 1) + 1
+        guest_bucket = (home[guest] + turn) % d.buckets
+        order = np.lexsort((guest, guest_bucket))
+        guest, guest_bucket = guest[order], guest_bucket[order]
+    else:
+        guest = guest_bucket = np.zeros(0, np.int64)
+    away = np.flatnonzero(bucket != home[context])
+    away = away[np.lexsort((away, bucket[away]))]
+    own = np.flatnonzero(bucket == home[context])
+    order = np.concatenate([own, away])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    of_word = np.bincount(context[own], minlength=len(s.words))
+    width = len(s.words)
+    slots = guest_bucket * width + guest
+    of_guest = np.bincount(np.searchsorted(slots, bucket[away] * width + context[away]), minlength=len(guest)) if len(guest) else np.zeros(0, np.int64)
+    names = np.unique(np.concatenate([home, guest_bucket]))
+    sides = [np.searchsorted(x, names, side) + shift for x, shift in ((home, 0), (home[context[own]], 0), (guest_bucket, 0), (bucket[away], len(own))) for side in ("left", "right")]
+    return Layout(context[order], follower[order], rank[token], of_word, guest, of_guest, list(zip(names.tolist(), *[x.tolist() for x in sides], strict=True)))
+
+
+ROWS = "bucket int, slice long, data binary, n long, v long"
+
+
+def rows_of(rows: list[tuple[int, int, bytes, int | None, int | None]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "slice", "data", "n", "v"])
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -156,199 +250,119 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, l
         yield now, rows
 
 
-def dealt_pairs(rows: DataFrame, buckets: int) -> DataFrame:
-    """The distinct pairs of each document, for pair buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in cut(batches):
-            owner, word, before = tokens(part)
-            held = np.asarray(part.column("held_out"))
-            key = (before >> U(64 - PAIR_CONTEXT_BITS) << U(PAIR_WORD_BITS)) | (word & U((1 << PAIR_WORD_BITS) - 1))
-            owner, key, word, before, n = summed(owner, key, word, before)
-            bucket = (wordhash.mix(before + U(3) * word) >> U(32)) % U(buckets)
-            out = []
-            for b, at in by_bucket(bucket):
-                open_ = at[held[owner[at]]]
-                data = packed(owner[at], (key[at], PAIR_BYTES), (n[at], 4)) + planes(held[runs(owner[at])[0]].astype(U), 1)
-                out.append((b, number, WORDS, data + planes(word[open_], 8) + planes(before[open_], 8)))
-            yield rows_of(out)
-
-    return rows.transform(in_arrow, run, ROWS)
-
-
-def dealt_words(rows: DataFrame, buckets: int) -> DataFrame:
-    """The distinct words of each document, for word buckets, and what the end needs to know of each slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in cut(batches):
-            owner, word, _ = tokens(part)
-            counts = np.bincount(owner, minlength=part.num_rows)
-            held = np.asarray(part.column("held_out"))
-            owner, word = np.concatenate([owner, np.arange(part.num_rows)]), np.concatenate([word, np.full(part.num_rows, BEGIN, U)])
-            owner, word, n = summed(owner, word)
-            out = [(b, number, WORDS, packed(owner[at], (word[at] & U((1 << WORD_BITS) - 1), WORD_BITS // 8), (n[at], 4)) + planes(held[runs(owner[at])[0]].astype(U), 1)) for b, at in by_bucket((word >> U(32)) % U(buckets))]
-            ids, nulls = part.column("doc_id").fill_null(0), np.asarray(part.column("doc_id").is_null())
-            info = struct.pack("<I", part.num_rows) + planes(np.asarray(ids).astype(np.int64).view(U), 8) + planes(nulls.astype(U), 1) + planes(held.astype(U), 1) + planes(counts.astype(U), 4)
-            yield rows_of([*out, (number % buckets, number, INFO, info)])
-
-    return rows.transform(in_arrow, run, ROWS)
-
-
-def coded(count: np.ndarray, up: bool) -> np.ndarray:
-    """log10 of counts in steps, rounded up or down."""
-    exact = np.log10(np.maximum(count, 1)) * STEP
-    return np.minimum(np.ceil(exact - 1e-9) if up else np.floor(exact + 1e-9), 65535).astype(np.int64)
-
-
-def pair_buckets(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Counts, a trie and lookups in each pair bucket: sums for slices, and the words of unseen pairs for word buckets."""
+def dealt(cuts: DataFrame, d: Deal) -> DataFrame:
+    """The partial tries of each slice, for the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in groups(batches, "bucket"):
-            docs, sizes, keys, times, helds, words, befores = ([] for _ in range(7))
-            for r in rows:
-                reader = Reader(r["data"])
-                many, n = reader.number(), reader.number()
-                docs.append(reader.array(many, 2))
-                sizes.append(reader.array(many, 4).astype(np.int64))
-                keys.append(reader.array(n, PAIR_BYTES))
-                times.append(reader.array(n, 4).astype(np.int64))
-                helds.append(reader.array(many, 1).astype(bool))
-                open_ = int(sizes[-1][helds[-1]].sum())
-                words.append(reader.array(open_, 8))
-                befores.append(reader.array(open_, 8))
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
-            docs, sizes, n, held = np.concatenate(docs), np.concatenate(sizes), np.concatenate(times), np.concatenate(helds)
-            held = np.repeat(held, sizes)
-            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(place[~held], n[~held], len(distinct)).astype(np.int64)
-            names = distinct[count > 0]
-            short = U((1 << PAIR_WORD_BITS) - 1)
-            trie = Trie.mapped(Trie.image(names >> U(PAIR_WORD_BITS), names & short, coded(count[count > 0], False), PAIR_CONTEXT_BITS, PAIR_WORD_BITS))
-            value = trie.lookup(distinct >> U(PAIR_WORD_BITS), distinct & short)[place]
-            missed, starts = value < 0, np.cumsum(sizes) - sizes
-            total, many = np.add.reduceat(np.where(missed, 0, value) * n, starts), np.add.reduceat(missed * n, starts)
-            out = []
-            for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
-                out.append((-1, r["slice"], PAIR_SUMS, struct.pack("<I", b - a) + planes(docs[a:b], 2) + planes(total[a:b].view(U), 8) + planes(many[a:b].view(U), 4)))
-            miss = missed[held]
-            if miss.any():
-                slice_of = np.repeat(np.array([r["slice"] for r in rows], np.int64), np.diff(cuts))
-                who = np.repeat((slice_of << 16 | docs.astype(np.int64)).view(U), sizes)[held][miss]
-                often, word, before = n[held][miss].view(U), np.concatenate(words)[miss], np.concatenate(befores)[miss]
-                who, often = np.concatenate([who, who]), np.concatenate([often, often])
-                what, is_word = np.concatenate([before, word]), np.repeat(np.array([0, 1], U), len(word))
-                for b, at in by_bucket((what >> U(32)) % U(buckets)):
-                    data = struct.pack("<I", len(at)) + planes(who[at], 8) + planes(what[at] & U((1 << WORD_BITS) - 1), WORD_BITS // 8) + planes(often[at], 4) + planes(is_word[at], 1)
-                    out.append((b, bucket, UNSEEN, data))
-            yield rows_of(out)
-
-    return dealt_to(dealt).transform(in_arrow, run, ROWS)
-
-
-def word_buckets(dealt: DataFrame) -> DataFrame:
-    """Counts in each word bucket: sums for slices, and the bucket's parts of N and V."""
-    short = U((1 << WORD_BITS) - 1)
+        for batch in batches:
+            for number, data in zip(batch.column("slice").to_pylist(), batch.column("data"), strict=True):
+                s = unpacked(data.as_py())[0]
+                x = layout(s, d)
+                train = np.repeat(~s.held, s.counts)
+                words = np.bincount(s.tokens[train], minlength=len(s.words))
+                words[np.searchsorted(s.words, BEGIN)] = int((~s.held).sum())
+                pairs = np.bincount(x.token[train], minlength=len(x.context))
+                short, out = s.words & U((1 << FOLLOWER_BITS) - 1), []
+                for name, a, b, c, e, f, g, h, k in x.bounds:
+                    blob = [struct.pack("<IIII", b - a, e - c, g - f, k - h), steps(s.words[a:b]), planes(words[a:b], 4), planes(x.of_word[a:b], 4)]
+                    blob += [steps(s.words[x.guest[f:g]]), planes(words[x.guest[f:g]], 4), planes(x.of_guest[f:g], 4)]
+                    blob += [planes(y, 4) for z in (slice(c, e), slice(h, k)) for y in (short[x.follower[z]], pairs[z])]
+                    out.append((name, number, b"".join(blob), None, None))
+                yield rows_of(out)
+
+    return cuts.select("slice", "data").transform(in_arrow, run, ROWS)
+
+
+def coded(over: np.ndarray) -> np.ndarray:
+    """The code of probabilities given as 1 / p, rounded so that none grows."""
+    return np.minimum(np.ceil(np.log10(over) * STEP - 1e-9), LARGEST).astype(np.uint16)
+
+
+def shards(rows: DataFrame, d: Deal, train_tokens: int) -> DataFrame:
+    """Adds up, builds and asks the trie of each bucket. For each slice: counts and codes of its words, codes of its pairs (0: unseen). For each bucket: its parts of N and V."""
+    unknown = int(coded(np.array([train_tokens + 1.0]))[0])
+    back = int(coded(np.array([1 / (1 - SEEN)]))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in groups(batches, "bucket"):
-            whos, words, times, kinds, helds, out = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int8)], [np.zeros(0, bool)], []
-            for r in rows:
-                reader = Reader(r["data"])
-                if r["kind"] == INFO:
-                    out.append((bucket, r["slice"], INFO, r["data"]))
-                elif r["kind"] == WORDS:
-                    owner, word, n = unpacked(reader, WORD_BITS // 8, 4)
-                    _, sizes = runs(owner)
-                    whos.append((np.int64(r["slice"]) << 16 | owner).view(U))
-                    words.append(word)
-                    times.append(n)
-                    kinds.append(np.zeros(len(n), np.int8))
-                    helds.append(np.repeat(reader.array(len(sizes), 1).astype(bool), sizes))
-                else:
-                    n = reader.number()
-                    whos.append(reader.array(n, 8))
-                    words.append(reader.array(n, WORD_BITS // 8))
-                    times.append(reader.array(n, 4))
-                    kinds.append(1 + reader.array(n, 1).astype(np.int8))
-                    helds.append(np.ones(n, bool))
-            who, word, n, kind, held = (np.concatenate(x) for x in (whos, words, times, kinds, helds))
-            n = n.astype(np.int64)
-            distinct, place = np.unique(word, return_inverse=True)
-            count = np.bincount(place[~held], n[~held], len(distinct)).astype(np.int64)
-            token = (count > 0) & (distinct != (BEGIN & short))
-            out.append((bucket, -1, TOTALS, struct.pack("<QQ", int(count[token].sum()), int(token.sum()))))
-            log1, code = np.log10(count + 1.0), np.where(count > 0, coded(count, True), 0)
-            known, log1, code, begin, finish = (count > 0)[place], log1[place], code[place], word == (BEGIN & short), word == (FINISH & short)
-            text = kind == 0
-            columns = (
-                n * (known & text & ~begin), n * log1 * (text & ~begin), n * code * ((text & ~finish) - 1 * (kind == 1)),
-                n * (known & (kind == 1)), n * log1 * (kind == 2),
+        for bucket, found in groups(batches, "bucket"):
+            words, often, many, followers, times, sizes = ([] for _ in range(6))
+            for row in found:
+                r = Reader(row["data"])
+                own, own_pairs, guests, guest_pairs = (r.number() for _ in range(4))
+                for n in (own, guests):
+                    words.append(r.words(n))
+                    often.append(r.array(n, 4).astype(np.int64))
+                    many.append(r.array(n, 4).astype(np.int64))
+                for n in (own_pairs, guest_pairs):
+                    followers.append(r.array(n, 4))
+                    times.append(r.array(n, 4).astype(np.int64))
+                sizes.append((row["slice"], own, guests, own_pairs + guest_pairs))
+                row["data"] = None
+            words, often, many, followers, times = (np.concatenate(x) for x in (words, often, many, followers, times))
+            distinct, place = np.unique(words, return_inverse=True)
+            count = np.bincount(place, often, len(distinct)).astype(np.int64)
+            pairs, at = np.unique((np.repeat(place, many).astype(U) << U(FOLLOWER_BITS)) | followers, return_inverse=True)
+            seen = np.bincount(at, times, len(pairs)).astype(np.int64)
+            token = (count > 0) & (d.home(distinct) == bucket) & (distinct != BEGIN)
+            kept, rank = np.flatnonzero(count > 0), np.cumsum(count > 0) - 1
+            context = (pairs >> U(FOLLOWER_BITS)).astype(np.int64)
+            there = seen > 0
+            trie = Trie.mapped(
+                Trie.image(
+                    distinct[kept], coded((train_tokens + 1) / (count[kept] + 1.0)), np.full(len(kept), back), rank[context[there]],
+                    pairs[there] & U((1 << FOLLOWER_BITS) - 1), coded(count[context[there]] / (SEEN * seen[there])), WORD_BITS, FOLLOWER_BITS,
+                )
             )
-            owners, at = np.unique(who, return_inverse=True)
-            sums = [np.bincount(at, c, len(owners)) for c in columns]
-            slice_ids, many = runs((owners >> U(16)).astype(np.int64))
-            cuts = np.concatenate([[0], np.cumsum(many)])
-            for s, a, b in zip(slice_ids.tolist(), cuts, cuts[1:], strict=False):
-                whole = [c[a:b].astype(np.int64).view(U) for c in (sums[0], sums[2], sums[3])]
-                data = struct.pack("<I", b - a) + planes(owners[a:b] & U(65535), 2) + planes(whole[0], 4) + planes(whole[1], 8) + planes(whole[2], 4) + planes(sums[1][a:b].view(U), 8) + planes(sums[4][a:b].view(U), 8)
-                out.append((bucket, s, WORD_SUMS, data))
+            node = trie.find(distinct)
+            one, less = trie.probabilities(node, unknown), trie.back_offs(node)
+            two = trie.below(node, context, pairs & U((1 << FOLLOWER_BITS) - 1))[at]
+            out, a, c = [(bucket, -1, None, int(count[token].sum()), int(token.sum()))], 0, 0
+            for number, own, guests, n in sizes:
+                at_words = place[a : a + own]
+                out.append((bucket, number, planes(count[at_words], 6) + planes(one[at_words], 2) + planes(less[at_words], 2) + planes(two[c : c + n], 2), None, None))
+                a, c = a + own + guests, c + n
             yield rows_of(out)
 
-    return dealt_to(dealt).transform(in_arrow, run, ROWS)
-
-
-def dealt_to(df: DataFrame) -> DataFrame:
-    """Buckets in turn over the partitions, and sorted."""
-    p = partitions(df.sparkSession)
-    return df.repartitionById(p, F.pmod("bucket", F.lit(p))).sortWithinPartitions("bucket")
+    p = partitions(rows.sparkSession)
+    return rows.repartitionById(p, F.pmod("bucket", F.lit(p))).sortWithinPartitions("bucket").transform(in_arrow, run, ROWS)
 
 
-def totals(sums: DataFrame) -> tuple[int, int]:
-    """N and V. Each bucket has one row."""
-    part = F.col("data")
-    rows = sums.where(F.col("kind") == TOTALS).select(*[sum((F.conv(F.substring(F.hex(part), 16 * k + 2 * b + 1, 2), 16, 10).cast("long") * (1 << (8 * b)) for b in range(7)), F.lit(0)).alias(f"t{k}") for k in (0, 1)])
-    n, v = rows.agg(F.sum("t0"), F.sum("t1")).first()
-    return n or 0, v or 0
+def summed(s: Slice, d: Deal, answers: dict[int, bytes], log_rest: float) -> tuple[np.ndarray, ...]:
+    """Of each document: known tokens, sum of log10(c + 1), score, unseen pairs."""
+    x = layout(s, d)
+    count, one, less = (np.zeros(len(s.words), np.int64) for _ in range(3))
+    two = np.zeros(len(x.context), np.int64)
+    for name, a, b, c, e, f, g, h, k in x.bounds:
+        r = Reader(answers[name])
+        for y, width in ((count, 6), (one, 2), (less, 2)):
+            y[a:b] = r.array(b - a, width)
+        two[c:e], two[h:k] = np.split(r.array(e - c + k - h, 2), [e - c])
+    new = two == 0
+    code = np.where(new, less[x.context] + one[x.follower], two)
+    starts = np.cumsum(s.counts) - s.counts
+    over = lambda values: np.add.reduceat(values, starts)  # noqa: E731  each document has a token
+    unseen = over(new[x.token].astype(np.int64))
+    return over((count > 0)[s.tokens].astype(np.int64)), over(np.log10(count + 1.0)[s.tokens]), unseen * log_rest - over(code[x.token]) / STEP, unseen
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unseen_pairs, for each row."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col], parts, part).alias("held_out"), docs[text_col].alias("text"))
-    buckets = 2 * partitions(docs.sparkSession)
-    pairs = written(pair_buckets(dealt_pairs(rows, buckets), buckets), "pairs")
-    unseen = pairs.where(F.col("kind") != PAIR_SUMS)
-    sums = written(word_buckets(dealt_words(rows, buckets).unionByName(unseen)), "words")
-    n_all, v_all = totals(sums)
-    log_size, log_seen, log_new = math.log10(n_all + v_all + 1), math.log10(SEEN), math.log10(1 - SEEN)
+    cuts = written(cut(rows, partitions(docs.sparkSession)), "slices", "zstd")
+    d, train_tokens = deal(cuts, partitions(docs.sparkSession))
+    answers = written(shards(dealt(cuts, d), d, train_tokens), "answers", "zstd")
+    n_all, v_all = answers.agg(F.sum("n"), F.sum("v")).first()
+    n_all, v_all = n_all or 0, v_all or 0
+    log_size, log_rest = math.log10(n_all + v_all + 1), math.log10((train_tokens + 1) / (n_all + v_all + 1))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "unseen_pairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groups(batches, "slice"):
-            reader = Reader(next(r["data"] for r in group if r["kind"] == INFO))
-            size = reader.number()
-            ids, nulls, held, tokens_ = (reader.array(size, w) for w in (8, 1, 1, 4))
-            n_tokens = tokens_.astype(np.int64)
-            known, base, contexts, unseen, of_known, unseen_log, pair_codes = (np.zeros(size, t) for t in (np.int64, float, np.int64, np.int64, np.int64, float, np.int64))
-            for r in sorted(group, key=lambda r: (r["kind"], r["bucket"], r["data"])):
-                if r["kind"] == INFO:
-                    continue
-                reader = Reader(r["data"])
-                many = reader.number()
-                at = reader.array(many, 2).astype(np.int64)
-                if r["kind"] == PAIR_SUMS:
-                    pair_codes[at] += reader.array(many, 8).view(np.int64)
-                    unseen[at] += reader.array(many, 4).view(np.int64)
-                else:
-                    known[at] += reader.array(many, 4).view(np.int64)
-                    contexts[at] += reader.array(many, 8).view(np.int64)
-                    of_known[at] += reader.array(many, 4).view(np.int64)
-                    base[at] += reader.array(many, 8).view(float)
-                    unseen_log[at] += reader.array(many, 8).view(float)
-            score = (pair_codes - contexts) / STEP + (n_tokens - unseen) * log_seen + of_known * log_new + unseen_log - unseen * log_size
-            columns = [pa.array(ids.view(np.int64), mask=nulls.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(np.full(size, n_all)), pa.array(base - n_tokens * log_size), pa.array(score), pa.array(unseen)]
+            s, ids, nulls = unpacked(next(r["data"] for r in group if r["bucket"] < 0))
+            known, base, score, unseen = summed(s, d, {r["bucket"]: r["data"] for r in group if r["bucket"] >= 0}, log_rest)
+            columns = [pa.array(ids, mask=nulls), pa.array(s.held), pa.array(s.counts), pa.array(known), pa.array(np.full(len(ids), n_all)), pa.array(base - s.counts * log_size), pa.array(score), pa.array(unseen)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    back = sums.where(F.col("kind") != TOTALS).unionByName(pairs.where(F.col("kind") == PAIR_SUMS))
+    back = cuts.select(F.lit(-1).alias("bucket"), "slice", "data").unionByName(answers.where("slice >= 0").select("bucket", "slice", "data"))
     back = back.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
     return back.transform(in_arrow, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, unseen_pairs long")

@@ -81,15 +81,60 @@ def test_elias_fano_equals_sorted_arrays():
 
 def test_trie_equals_a_dictionary(tmp_path):
     rng = np.random.default_rng(1)
-    key = np.unique((rng.integers(0, 500, 9000).astype(U) << U(40)) | rng.integers(0, 1 << 12, 9000).astype(U))
-    context, word, value = key >> U(40), key & U((1 << 40) - 1), rng.integers(0, 65536, len(key))
-    narrow = Trie.mapped(Trie.image(context, word, value, 24, 32))  # words as whole low parts
-    image = Trie.image(context, word, value, 24, 40)
-    (tmp_path / "trie").write_bytes(image)
-    known = dict(zip(key.tolist(), value.tolist()))
-    q, w = rng.integers(0, 600, 5000).astype(U), rng.integers(0, 1 << 12, 5000).astype(U)
-    for trie in (narrow, Trie.mapped(image), Trie.open(str(tmp_path / "trie"))):
-        assert trie.lookup(q, w).tolist() == [known.get((a << 40) | b, -1) for a, b in zip(q.tolist(), w.tolist())]
-        assert (trie.lookup(context, word) == value).all()
-        assert trie.children(np.arange(600, dtype=U)).tolist() == [int((context == U(k)).sum()) for k in range(600)]
-    assert Trie.mapped(Trie.image(key[:0], key[:0], value[:0], 24, 40)).lookup(q, w).max() == -1
+    words = np.unique(rng.integers(0, 1 << 48, 500).astype(U))
+    one, back = rng.integers(0, 65536, (2, len(words)))
+    for bits in (32, 40):
+        key = np.unique((rng.integers(0, len(words), 9000).astype(U) << U(bits)) | rng.integers(0, 1 << 12, 9000).astype(U))
+        context, follower, two = (key >> U(bits)).astype(np.int64), key & U((1 << bits) - 1), rng.integers(1, 65536, len(key))
+        image = Trie.image(words, one, back, context, follower, two, 48, bits)
+        (tmp_path / "trie").write_bytes(image)
+        known = dict(zip(key.tolist(), two.tolist()))
+        asked = np.concatenate([words, rng.integers(0, 1 << 48, 100).astype(U)])
+        which, wanted = rng.integers(0, len(asked), 5000), rng.integers(0, 1 << 12, 5000).astype(U)
+        for trie in (Trie.mapped(image), Trie.open(str(tmp_path / "trie"))):
+            node = trie.find(asked)
+            assert node[: len(words)].tolist() == list(range(len(words))) and (node[len(words) :] < 0).all()
+            assert (trie.probabilities(node, 7) == np.append(one, [7] * 100)).all() and (trie.back_offs(node) == np.append(back, [0] * 100)).all()
+            start, stop = trie.children(node)
+            assert (stop - start)[: len(words)].tolist() == [int((context == k).sum()) for k in range(len(words))] and (stop == start)[len(words) :].all()
+            assert trie.below(node, which, wanted).tolist() == [known.get((int(node[a]) << bits) | b, 0) if node[a] >= 0 else 0 for a, b in zip(which.tolist(), wanted.tolist())]
+            assert (trie.below(node, context, follower) == two).all()
+    none = np.zeros(0, np.int64)
+    empty = Trie.mapped(Trie.image(none, none, none, none, none, none, 48, 32))
+    assert (empty.find(words) == -1).all() and not empty.below(empty.find(words), which % 500, wanted).any()
+
+
+def test_rows_may_come_in_another_order_each_time(spark):
+    """Each evaluation of the input gives its rows in a new order."""
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(np.random.default_rng().permutation(batch.num_rows))
+
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["the", "of", f"w{rng.randrange(50)}"]) for _ in range(rng.randrange(40)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
+    assert [r.doc_id for r in docs.collect()] != [r.doc_id for r in docs.collect()]
+    close([tuple(r) for r in L.lm_scores(docs).collect()], brute(rows))
+
+
+def test_contexts_are_dealt_over_buckets(monkeypatch):
+    """A frequent context goes to several buckets, each follower to one, and every bucket learns the context's count."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", f"w{rng.randrange(900)}"]) for _ in range(30)) for _ in range(200)]
+    s = L.tokens(pa.RecordBatch.from_pydict({"text": texts, "held_out": [k % 7 == 2 for k in range(200)]}))
+    again, ids, nulls = L.unpacked(L.packed(s, pa.array([*range(199), None])))
+    assert all((a == b).all() for a, b in zip(s, again)) and ids[:199].tolist() == list(range(199)) and nulls.tolist() == [False] * 199 + [True]
+    the = s.words[np.bincount(s.tokens).argmax()]
+    d = L.Deal(8, np.array([the], U), np.array([5]))
+    x = L.layout(s, d)
+    pairs = set(zip(L.before(s).tolist(), s.tokens.tolist()))
+    assert set(zip(x.context.tolist(), x.follower.tolist())) == pairs and len(pairs) == len(x.context)
+    assert (x.context[x.token] == L.before(s)).all() and (x.follower[x.token] == s.tokens).all()
+    with_the = [b for b in x.bounds if (s.words[x.context[b[3] : b[4]]] == the).any() or b[8] > b[7]]
+    assert len(with_the) == 5 and len(x.guest) == 4 and (s.words[x.guest] == the).all()
+    spans = sorted((a, b) for bound in x.bounds for a, b in ((bound[3], bound[4]), (bound[7], bound[8])) if b > a)
+    assert spans[0][0] == 0 and spans[-1][1] == len(pairs) and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
+    assert x.of_word.sum() + x.of_guest.sum() == len(pairs)
