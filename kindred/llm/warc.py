@@ -6,8 +6,11 @@ protocol), so that any file system that Spark writes to will do and a lost task
 line separator is an empty gzip member, which decompresses to nothing.
 
 Reading. `read_archive` walks a file record by record, compressed or not. Checks: the gzip checksum, the version
-line, the header fields, Content-Length, the closing blank lines and the payload digest. Where one fails it looks
-for the next place at which a whole valid record begins (a gzip member or a version line), goes on from there and
+line, the header fields (against a digest of them that our own records end their header with), the numbers among them,
+Content-Length, the closing blank lines, and the digests and length of the payload and block, where given (sha1, sha256,
+md5; others are not checked). Field names count in any letter case, with or without a blank after the colon, folded or
+not. What a response is said to hold is computed from its payload, never read from its header; a revisit of another
+writer has no length. Where a check fails it looks for the next place at which a whole valid record begins (a gzip member or a version line), goes on from there and
 reports the bytes between as a quarantined gap. Inside a gzip member, also one that is cut or fails its checksum, the
 valid records are found in the same way in what can be inflated; of a broken member, the record that ends where it
 does is not trusted.
@@ -39,6 +42,10 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PAGE = "<urn:page:%s>"
+#: The last field of a header: the digest of all bytes before it.
+HEADER_DIGEST = b"\r\nX-Header-Digest: "
+#: The fields that are read, by their names in small letters.
+FIELDS = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "X-Payload-Length", "X-Header-Digest", "Content-Type", "Content-Length")}
 
 
 def member(data: bytes) -> bytes:
@@ -64,7 +71,8 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, size: i
         **({"WARC-Refers-To": PAGE % ("null" if refers_to is None else refers_to), "WARC-Profile": PROFILE} if kind == "revisit" else {}),
         "Content-Type": "application/http; msgtype=response", "Content-Length": len(block),
     }
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+    head = ("WARC/1.1" + "".join(f"\r\n{k}: {v}" for k, v in fields.items())).encode()
+    return head + HEADER_DIGEST + payload_digest(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
@@ -104,6 +112,7 @@ class Record(NamedTuple):
     end: int
     fields: dict[str, str]
     payload: bytes
+    length: int | None
 
 
 class Gap(NamedTuple):
@@ -133,25 +142,51 @@ def unpacked(data: bytes, start: int) -> tuple[bytes, int, bool]:
     return b"".join(parts), at - len(unpacker.unused_data), unpacker.eof
 
 
+def number(text: str) -> int:
+    """A number of digits alone; a ValueError if it is anything else."""
+    if not re.fullmatch("[0-9]{1,18}", text):
+        raise ValueError(text)
+    return int(text)
+
+
+def agrees(stated: str, data: bytes) -> bool:
+    """Whether data has the stated digest (algorithm:value, in base32 or hexadecimal). An algorithm that isn't known is not checked."""
+    name, _, value = stated.partition(":")
+    if name.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    found = hashlib.new(name.lower(), data).digest()
+    return value.strip().rstrip("=").upper() in (base64.b32encode(found).decode().rstrip("="), found.hex().upper())
+
+
 def parsed(data: bytes, start: int) -> Record | None:
     """The record whose version line is at start; None if a check of it fails."""
     head = data.find(b"\r\n\r\n", start)
     if head < 0 or not re.match(rb"WARC/1\.[01]\r\n", data[start : start + 10]):
         return None
+    header = data[start:head]
     try:
-        lines = re.sub(r"\r\n[ \t]+", " ", data[start:head].decode()).split("\r\n")[1:]
-        fields = {name.strip(): value.strip() for name, value in (line.split(":", 1) for line in lines)}
-        size = int(fields["Content-Length"])
+        lines = re.sub(r"\r\n[ \t]+", " ", header.decode()).split("\r\n")[1:]
+        fields = {FIELDS.get(name.strip().lower(), name.strip()): value.strip() for name, value in (line.split(":", 1) for line in lines)}
+        size, length = number(fields["Content-Length"]), number(fields["X-Payload-Length"]) if "X-Payload-Length" in fields else None
     except (ValueError, KeyError, UnicodeDecodeError):
         return None
     end = head + 4 + size
-    if size < 0 or data[end : end + 4] != b"\r\n\r\n" or "WARC-Type" not in fields or "WARC-Record-ID" not in fields:
+    if data[end : end + 4] != b"\r\n\r\n" or "WARC-Type" not in fields or "WARC-Record-ID" not in fields:
         return None
+    if "X-Header-Digest" in fields:
+        before, found, own = header.rpartition(HEADER_DIGEST)
+        if not found or own.decode() != payload_digest(before):
+            return None
     block = data[head + 4 : end]
-    payload = block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else block
-    if fields["WARC-Type"] == "response" and fields.get("WARC-Payload-Digest", "") not in ("", f"sha1:{payload_digest(payload)}"):
+    if not agrees(fields.get("WARC-Block-Digest", ""), block):
+        return None
+    if fields["WARC-Type"] == "revisit":
+        return Record(start, end + 4, fields, block, length)
+    http = fields["WARC-Type"] == "response" and fields.get("Content-Type", "application/http").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    if length not in (None, len(payload)) or not agrees(fields.get("WARC-Payload-Digest", ""), payload):
         return None
-    return Record(start, end + 4, fields, payload)
+    return Record(start, end + 4, fields, payload, len(payload))
 
 
 def at_place(data: bytes, start: int) -> tuple[list[Record | Gap], int, bool] | None:
@@ -170,7 +205,7 @@ def at_place(data: bytes, start: int) -> tuple[list[Record | Gap], int, bool] |
             continue
         if at > bad and whole:
             found.append(Gap(start, end))
-        found.append(Record(start, end, r.fields, r.payload))
+        found.append(Record(start, end, r.fields, r.payload, r.length))
         at = bad = r.end
     if not any(isinstance(x, Record) for x in found) and (inner or not whole):
         return None
@@ -200,6 +235,21 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data))
 
 
+def page(urn: str | None) -> int | None:
+    """The page_id in a name of ours."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
+
+
+def described(x: Record | Gap) -> tuple:
+    """start, end, kind, record_type, page_id, refers_to, url, payload_bytes, payload_digest of what `read_archive` has found."""
+    if isinstance(x, Gap):
+        return (x.start, x.end, "gap", *[None] * 6)
+    f = x.fields
+    stated = f.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+    return (x.start, x.end, "record", f["WARC-Type"], page(f["WARC-Record-ID"]), page(f.get("WARC-Refers-To")), f.get("WARC-Target-URI"), x.length, stated if f["WARC-Type"] == "revisit" else payload_digest(x.payload))
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """A row for each record and gap of the files under path: file, start, end, kind (record or gap), record_type, page_id, refers_to, url, payload_bytes, payload_digest, payload (if asked for)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -207,21 +257,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = pa.schema([(n, pa.string() if t == "string" else pa.binary() if t == "binary" else pa.int64()) for n, t in (x.split() for x in schema.split(", "))])
 
-    def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
-        return int(found[1]) if found else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows, held = [], 0
                 for x in read_archive(data.as_py() or b""):
-                    if isinstance(x, Gap):
-                        rows.append((file, x.start, x.end, "gap", *[None] * 7))
-                    else:
-                        f = x.fields
-                        rows.append((file, x.start, x.end, "record", f["WARC-Type"], number(f["WARC-Record-ID"]), number(f.get("WARC-Refers-To")), f.get("WARC-Target-URI"), int(f.get("X-Payload-Length", len(x.payload))), f.get("WARC-Payload-Digest", "").removeprefix("sha1:"), x.payload if payloads else None))
-                        held += len(x.payload) if payloads else 0
+                    body = x.payload if payloads and isinstance(x, Record) else None
+                    rows.append((file, *described(x), body))
+                    held += len(body or b"")
                     if len(rows) >= 4096 or held > STEP * 64:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kinds)
                         rows, held = [], 0
