@@ -8,9 +8,11 @@ still competitive. A shard is an Arrow batch; a task carries its thresholds from
 results merge by a window of bounded depth. Bounds are compared strictly, so that ties are never lost.
 
 The query set comes in blocks of at most QUERY_BLOCK vectors, each of which is broadcast to one pass over the
-vectors: what is broadcast and what the driver holds is bounded by the block, however many queries there are.
+vectors. A block's result is added to a table in the shared folder before the next block is read, so that the driver
+and the plan hold one block at a time, however many queries there are.
 
-Components become floor(1024 * x). Defined results: vectors that are null or hold a null or non-finite component,
+Components become floor(1024 * x), exactly for components of any size; vectors without components have the product 0
+with all. Defined results: vectors that are null or hold a null or non-finite component,
 and rows without an id, take no part; where lengths differ, missing components count as 0; a query id that
 repeats stands for its smallest vector; repeated candidate rows are candidates each; scores beyond a long are cut
 to its range; no queries or an empty table give an empty result. Extra columns are not read.
@@ -18,15 +20,15 @@ to its range; no queries or an empty table give an empty result. Extra columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import in_arrow
+from kindred.llm.common import in_arrow, scratch, written
 
 SCALE, K, EVERY = 1024, 10, 100
 QUERY_BLOCK, SHARD_ROWS, SEED_ROWS = 2048, 8192, 64
@@ -39,9 +41,8 @@ def usable(ident: Column, vector: Column) -> Column:
 
 
 def matrix(column: pa.ListArray, width: int) -> np.ndarray:
-    """The scaled vectors as rows, cut or filled with 0 to the width."""
-    flat = np.floor(SCALE * np.asarray(column.flatten(), dtype=np.float64))
-    sizes = np.diff(np.asarray(column.offsets))
+    """The vectors as rows, cut or filled with 0 to the width."""
+    flat, sizes = np.asarray(column.flatten(), dtype=np.float64), np.diff(np.asarray(column.offsets))
     if len(sizes) and (sizes == width).all():
         return flat.reshape(len(sizes), width)
     out, starts = np.zeros((len(sizes), width)), np.concatenate([[0], np.cumsum(sizes)])
@@ -50,6 +51,12 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x); infinite where that is beyond a double."""
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * vectors)
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k highest scores, ties to smaller ids, in order."""
     if len(scores) > 4 * k:
@@ -80,30 +87,34 @@ def search(query: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.nd
     return at, scores
 
 
-def exact_large(query: np.ndarray, postings: np.ndarray) -> np.ndarray:
-    """Scores beyond the exact range of doubles, by whole numbers, cut to longs."""
-    q = [int(x) for x in query]
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * int(b) for a, b in zip(q, column, strict=True)))) for column in postings.T], dtype=object)
+def exact_large(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores beyond the exact range of doubles, by whole numbers, cut to longs. query, vectors: not scaled yet."""
+    whole = lambda x: int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(SCALE * x)  # noqa: E731  so large a double has no fraction
+    q = [whole(x) for x in query.tolist()]
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * whole(b) for a, b in zip(q, row, strict=True)))) for row in vectors.tolist()], dtype=object)
 
 
 def block_pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """query_id, vec_id, score: each task's k best for each query of the block."""
-    width = queries.shape[1]
-    largest = float(np.abs(queries).max(initial=0))
+    width, asked = queries.shape[1], scaled(queries)
+    largest = float(np.abs(asked).max(initial=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
         for batch in batches:
             for start in range(0, batch.num_rows, SHARD_ROWS):
                 part = batch.slice(start, SHARD_ROWS)
-                names, postings = np.asarray(part.column("vec_id")), np.ascontiguousarray(matrix(part.column("embedding"), width).T)
+                names, vectors_ = np.asarray(part.column("vec_id")), matrix(part.column("embedding"), width)
+                postings = np.ascontiguousarray(scaled(vectors_).T)
                 low, high = postings.min(axis=1, initial=np.inf), postings.max(axis=1, initial=-np.inf)
                 exact = width * largest * float(np.abs(postings).max(initial=0)) < 2.0**53
-                for j, query in enumerate(queries):
+                for j, query in enumerate(asked):
                     own, scores = found[j]
                     if not exact:
-                        at, new = np.arange(len(names)), exact_large(query, postings)
+                        at, new = np.arange(len(names)), exact_large(queries[j], vectors_)
                         scores = scores.astype(object)
+                    elif not width:
+                        at, new = np.arange(len(names)), np.zeros(len(names))
                     else:
                         threshold = float(scores[-1]) if len(scores) == k else -np.inf
                         if len(scores) < k and len(names) > SEED_ROWS:
@@ -125,8 +136,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"))
     rows = rows.where(usable(F.col("vec_id"), F.col("embedding")))
     asked = queries.select(queries["vec_id"].cast("long").alias("vec_id"), queries["embedding"].cast("array<double>").alias("embedding"))
-    asked = asked.where(usable(F.col("vec_id"), F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    passes, after = [], None
+    asked = written(asked.where(usable(F.col("vec_id"), F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    path, schema, after = scratch(spark, "found"), "query_id long, rank int, vec_id long, score long", None
+    spark.createDataFrame([], schema).write.parquet(path)
     while True:  # blocks in the order of the ids
         page = (asked if after is None else asked.where(F.col("vec_id") > after)).orderBy("vec_id").limit(block).toArrow()
         if not page.num_rows:
@@ -135,14 +148,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY
         ids = np.asarray(page.column("vec_id").chunk(0)).astype(np.int64)
         column = page.column("embedding").chunk(0)
         after = int(ids[-1])
-        passes.append(block_pass(rows, ids, matrix(column, int(np.diff(np.asarray(column.offsets)).max())), k))
+        found = block_pass(rows, ids, matrix(column, int(np.diff(np.asarray(column.offsets)).max())), k)
+        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
         if page.num_rows < block:
             break
-    if not passes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = reduce(DataFrame.unionByName, passes)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(schema).parquet(path)
 
 
 ORACLE = rf"""

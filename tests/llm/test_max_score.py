@@ -1,19 +1,23 @@
 """Exact top-k against brute force."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 
 from kindred.llm import max_score
 
 
 def brute(rows, queries, k):
-    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    floor = lambda x: math.floor(1024 * Fraction(x))
+    good = [(i, [floor(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     asked = {}
     for i, v in queries:
         if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v):
             asked[i] = min(asked.get(i, v), v)
     out = []
     for q, v in asked.items():
-        qi = [int(np.floor(1024 * x)) for x in v]
+        qi = [floor(x) for x in v]
         scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(qi, c)))), i) for i, c in good if i != q)
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
@@ -39,6 +43,16 @@ def test_equals_brute_force(spark):
 def test_huge_components(spark):
     rows = [(1, [1e30, 2.0]), (2, [1e30, -3.0]), (3, [-1e30, 1.0]), (4, [1e9, 1e9])]
     assert run(spark, rows, rows, k=3) == brute(rows, rows, 3)
+    rows += [(5, [1e306, 0.5]), (6, [-1.7e308, 1.7e308]), (7, [5e-324, 1e16 + 2])]
+    assert run(spark, rows, rows, k=3) == brute(rows, rows, 3)
+
+
+def test_vectors_without_components(spark):
+    rows = [(3, []), (1, []), (2, [])]
+    assert run(spark, rows, rows, k=2) == brute(rows, rows, 2)
+    rows += [(4, [1.0, 2.0]), (5, [])]
+    for block in (1, 10):
+        assert run(spark, rows, rows, k=3, block=block) == brute(rows, rows, 3)
 
 
 def test_pruning_loses_nothing():
