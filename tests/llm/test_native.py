@@ -55,4 +55,7 @@ def test_weights_meet_the_targets(spark):
         per_epoch = Counter((r.doc_id, r.epoch) for r in drawn)
         assert set(per_epoch.values()) <= {1}
     kept = mixing.remix(docs)
+    lone = spark.createDataFrame([(None, f"w {k}", "big") for k in range(300)], "doc_id long, text string, source string")
+    spread = mixing.mix(lone, block_tokens=10).groupBy("block").count().collect()
+    assert len(spread) > 30 and max(r["count"] for r in spread) < 40  # rows without an id don't share a block
     assert kept.schema == docs.schema and mixing.remix(docs.limit(0)).count() == 0
