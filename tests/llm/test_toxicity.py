@@ -1,6 +1,8 @@
 """The toxicity network: gradients, held-out accuracy, and scores that depend on the text alone."""
 
+import math
 import random
+import zlib
 
 import numpy as np
 
@@ -62,6 +64,67 @@ def test_held_out_accuracy_and_windows():
     assert scores(model, [clean + " vileone wretch scorn5 wretch"])[0] > 0.3  # the end of a long text counts
 
 
+def plain_score(model, text):
+    """The score by loops over windows, directions, words and units."""
+    net, p, n = model.network, model.network.p, T.HIDDEN
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = T.read(data, np.array([0, len(data)]))
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    x = []
+    for k in range(words.counts[0]):
+        row = [float(model.tables[0][words.bucket[k]])]
+        for (bucket, low, high), table in zip(words.grams, model.tables[1:]):
+            runs = [float(table[b]) for b in bucket[low[k] : high[k]]]
+            row += [max(runs), sum(runs) / len(runs)] if runs else [0.0, 0.0]
+        for table, place in zip(net.vectors, words.vectors[k]):
+            row += [float(v) for v in table[place]]
+        x.append(row)
+    best, begin = -math.inf, 0
+    while True:
+        part = x[begin : begin + T.WINDOW]
+        states = {}
+        for d in "fb":
+            h = [0.0] * n
+            for t in range(len(part)) if d == "f" else reversed(range(len(part))):
+                gx = [sum(v * p["W" + d][i, j] for i, v in enumerate(part[t])) + p["b" + d][j] for j in range(3 * n)]
+                gh = [sum(v * p["U" + d][i, j] for i, v in enumerate(h)) for j in range(3 * n)]
+                z, r = [sig(gx[j] + gh[j]) for j in range(n)], [sig(gx[n + j] + gh[n + j]) for j in range(n)]
+                c = [math.tanh(gx[2 * n + j] + r[j] * gh[2 * n + j]) for j in range(n)]
+                h = [c[j] + z[j] * (h[j] - c[j]) for j in range(n)]
+                states[d, t] = h
+        both = [states["f", t] + states["b", t] for t in range(len(part))]
+        e = [sum(math.tanh(sum(v * p["A"][i, j] for i, v in enumerate(s))) * p["v"][j] for j in range(n)) for s in both]
+        a = [math.exp(v) for v in e]
+        context = [sum(w * s[i] for w, s in zip(a, both)) / sum(a) for i in range(2 * n)] if both else [0.0] * (2 * n)
+        best = max(best, sum(v * p["w"][i] for i, v in enumerate(context)) + p["c"][0])
+        if begin + T.WINDOW >= len(x):
+            return sig(best)
+        begin += T.WINDOW // 2
+
+
+def test_scores_equal_plain_loops():
+    model = T.fit(*labelled(300, 5))
+    assert any(v.any() for v in model.network.vectors)
+    texts = [*labelled(6, 8)[0], "", " \n", "vileone", "a bc d\u00e9f wretch " * 9]
+    assert np.allclose(scores(model, texts), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    texts, toxic = labelled(60, 9)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0])] * 50 + [(1, "other text")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(y)) for k, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda texts, toxic: seen.append((texts, toxic)))
+    T.train(docs, labels, text_bytes=5000)
+    T.train(docs, labels, rows=7)
+    T.train(docs, labels)
+    (few, _), (seven, _), (every, marks) = seen
+    assert 1000 < sum(map(len, few)) <= 5000 and len(seven) == 7
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert every == ["other text" if k == 1 else texts[k] for k in ids] and marks.tolist() == [toxic[k] for k in ids]
+
+
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 31, 32, 33, 48, 49, 1000])
     first, size, text = T.windows(counts)
@@ -82,8 +145,6 @@ def test_query_rows(spark):
     model = T.train(docs, labels)
     got = T.score(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
-    import zlib
-
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     kept = T.clean(docs, model)
     assert kept.columns == docs.columns
