@@ -7,9 +7,11 @@
 3. Documents with the same set are one class (they are linked anyway); classes go on.
 4. Stars: classes that agree in one of a few minimum hashes are compared with one class of their group. That joins
    families of near copies in time proportional to their size.
-5. Tiles: classes meet under a shingle of their prefixes, the rarest shingles first. Two linked classes share one:
-   the rarest common shingle is in both prefixes. Only pairs in a size band (3/4 to 4/3), with enough shared
-   shingles after that place and not joined yet are compared; no tile emits pairs from within a joined family.
+5. Tiles: classes are cut into bands by size, each of which spans a little more than the 4/3 by which linked sets can
+   differ, and a tile is a shingle of the prefixes (the rarest shingles first) and a band: a class stands in the tiles
+   of its own band and meets those of the bands beside it. Two linked classes share a tile: the rarest common shingle
+   is in both prefixes, and their bands are the same or touch. Of a tile, only pairs whose sizes differ by 4/3 at most,
+   with enough shared shingles after that place and not joined yet are compared; none from within a joined family.
 6. A pair is compared by bitmaps first: a bit that one side has and the other lacks stands for at least one
    element that is not common, which bounds the overlap from above. The rest meet by exact intersection of sorted
    arrays. Links then give components.
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import wordhash
@@ -216,7 +218,7 @@ def overlap_bound(size_a: int, map_a: np.ndarray, size_b: int, map_b: np.ndarray
 
 
 def band_bits(n: int) -> int:
-    """The length of a bitmap in the size band of n: linked sets differ by 4/3 at most, so their bands touch."""
+    """The length of a bitmap of a set of n; those of linked sets differ by a factor of 2 at most, and the longer folds."""
     return 64 << max(0, math.ceil(math.log2(max(n, 1) / 64)))
 
 
@@ -289,8 +291,16 @@ def _stars(classes: DataFrame) -> DataFrame:
     return keyed.join(middle, ["key", "again"]).where("a <> set_id").select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
 
 
+#: The ratio of sizes that a band spans: over 4/3, so that linked sets are at most one band apart whatever is rounded.
+BAND = 1.34
+
+
+def size_band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+
+
 def _tiles(classes: DataFrame, star: DataFrame) -> DataFrame:
-    """Pairs of classes of a size band that share a shingle of their prefixes and that stars have not joined.
+    """Pairs of classes that meet in a tile (shingle of their prefixes, size band) and that stars have not joined.
 
     If a shingle is the first in order that two sets have in common, then no more than what follows it is common.
     A pair is only emitted under shingles that leave enough for a link; its first common shingle always does.
@@ -298,10 +308,11 @@ def _tiles(classes: DataFrame, star: DataFrame) -> DataFrame:
     placed = classes.select("set_id", "n", "shared", F.posexplode("prefix").alias("at", "key")).join(star, "set_id", "left")
     placed = placed.select("set_id", "n", (F.col("shared") - F.col("at")).alias("follow"), F.coalesce("star", "set_id").alias("star"), "key", _again("key"))
     most = placed.groupBy("key", "star").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("stars"), F.max_by("star", F.struct("size", "star")).alias("main"))
-    mixed = written(placed.join(most.where("stars > 1").select("key", _again("key"), "main"), ["key", "again"]), "tiles")
-    x, y = mixed.where("star <> main").alias("x"), mixed.alias("y")
+    mixed = written(placed.join(most.where("stars > 1").select("key", _again("key"), "main"), ["key", "again"]).withColumn("band", size_band(F.col("n"))), "tiles")
+    x = mixed.where("star <> main").withColumn("tile", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).alias("x")
+    y = mixed.withColumnRenamed("band", "tile").alias("y")
     enough = (NUMERATOR + DENOMINATOR) * F.least("x.follow", "y.follow") >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.star") != F.col("y.star")) & ((F.col("y.star") == F.col("y.main")) | (F.col("x.set_id") < F.col("y.set_id"))) & _in_band("x.n", "y.n") & enough)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.star") != F.col("y.star")) & ((F.col("y.star") == F.col("y.main")) | (F.col("x.set_id") < F.col("y.set_id"))) & _in_band("x.n", "y.n") & enough)
     return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kindred.llm import jaccard_join as J
 from kindred.llm import wordhash
@@ -154,3 +155,9 @@ def test_words_of_one_form_are_told_apart(spark):
     data = "".join(t + " " for _, t in rows).encode()
     hashes, many = wordhash.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     assert many.tolist() == [len(rows)] and len(set(hashes.tolist())) == len(rows) - 1
+
+
+def test_linked_sizes_are_at_most_a_band_apart(spark):
+    sizes = spark.range(1, 3000).select("id", J.size_band(F.col("id")).alias("band"))
+    band = {r.id: r.band for r in sizes.collect()}
+    assert all(band[min(2999, 4 * n // 3)] - band[n] <= 1 for n in band)
