@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A token that more records have is no key: pairs grow with the square of a key's size.
+#: A word, or pair of words, that more records of the right side have is refined: pairs grow with the square of a key's size.
 MOST_RECORDS = 50
-BANDS, ROWS = 4, 6
+#: MinHash bands and rows: pairs of similarity 0.8 are found with probability 0.95, of 0.6 with 0.38, of 0.4 with 0.04.
+BANDS, ROWS = 10, 6
+#: Words that say nothing in a name.
+EMPTY_WORDS = ("and",)
 
 
 def keyed(df: DataFrame, key: Column, ident: str = "entity_id") -> DataFrame:
@@ -28,53 +31,83 @@ def rare_keys(keys: DataFrame, most: int) -> DataFrame:
     return keys.join(rare, "key", "left_semi")
 
 
-def token_channel(left: DataFrame, right: DataFrame, field: str = "name_tokens_no_suffix", most: int = MOST_RECORDS) -> DataFrame:
-    """Records that share a word that few records of the right side have."""
-    words = lambda df: keyed(df.select("entity_id", F.explode(F.array_distinct(field)).alias("word")), F.col("word"))
-    return on_key(words(left), rare_keys(words(right), most), "token")
+def name_words(words: Column) -> Column:
+    """The distinct words of a name that tell names apart, in order."""
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*EMPTY_WORDS))))
 
 
-def whole_token_channel(left: DataFrame, right: DataFrame, field: str = "name_tokens_no_suffix", most: int = MOST_RECORDS) -> DataFrame:
-    """As token_channel, but a record keeps a key however large the table is: words beyond the limit count in pairs, and a right record without a rare word or pair meets those with all its words."""
-    words = lambda df: keyed(df.select("entity_id", F.explode(F.array_distinct(field)).alias("word")), F.col("word"))
-    common = words(right).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("key")
+def all_words(name: str = "name_tokens_no_suffix", address: str = "address_tokens") -> Column:
+    """The words of name and address, told apart by a prefix."""
+    return F.array_union(F.transform(name_words(F.col(name)), lambda w: F.concat(F.lit("n:"), w)), F.transform(F.col(address), lambda w: F.concat(F.lit("a:"), w)))
 
-    def couples(df: DataFrame) -> DataFrame:
-        some = words(df).join(common, "key", "left_semi")
-        return some.toDF("id", "x").join(some.toDF("id", "y"), "id").where("x < y").select("id", F.concat_ws(" ", "x", "y").alias("key"))
 
-    whole = lambda df: keyed(df, F.concat_ws(" ", F.array_sort(F.array_distinct(field))))
-    rare, rare_couples = rare_keys(words(right), most), rare_keys(couples(right), most)
-    rest = whole(right).join(rare.select("id").unionByName(rare_couples.select("id")), "id", "left_anti")
-    found = (on_key(words(left), rare, "token"), on_key(couples(left), rare_couples, "token"), on_key(whole(left), rest, "token"))
+def couples(words: Column) -> Column:
+    """All pairs of the distinct words, each in order."""
+    ordered = F.array_sort(F.array_distinct(words))
+    one = lambda x, k: F.transform(F.slice(ordered, k + 2, F.greatest(F.size(ordered) - k - 1, F.lit(0))), lambda y: F.concat_ws(" ", x, y))
+    return F.flatten(F.transform(ordered, one))
+
+
+def token_channel(left: DataFrame, right: DataFrame, words: Column | None = None, whole: Column | None = None, most: int = MOST_RECORDS) -> DataFrame:
+    """Records that share a word that few records have, however large the table is.
+
+    Each record of the right side has the finest keys that it needs: its words of at most `most` records; if it has none,
+    its pairs of words that as many such records have; if it has none of those either, all words of its name. A record of
+    the left side meets it under any of its own words, pairs, or all words of its name.
+    """
+    words = F.col("name_tokens_no_suffix") if words is None else words
+    whole = name_words(F.col("name_tokens_no_suffix")) if whole is None else whole
+    each = lambda df, key: keyed(df.select("entity_id", F.explode(F.array_distinct(key)).alias("key")), F.col("key"))
+    every = lambda df: keyed(df, F.concat_ws(" ", whole))
+    rare = rare_keys(each(right, words), most)
+    second = right.join(rare.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_anti")
+    fine = rare_keys(each(second, couples(words)), most)
+    third = second.join(fine.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_anti")
+    found = (on_key(each(left, words), rare, "token"), on_key(each(left, couples(words)), fine, "token"), on_key(every(left), every(third), "token"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
 def place_channel(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
-    """Records of one country that share a postal code or city, and the first letter of the name."""
-    key = F.when((F.col(field) != "") & (F.col("aggressive_normalized_name") != ""), F.concat_ws("|", "country", field, F.substring("aggressive_normalized_name", 1, 1)))
+    """Records of one country that share a postal code."""
+    key = F.when(F.col(field) != "", F.concat_ws("|", "country", field))
     return on_key(keyed(left, key), keyed(right, key), field)
 
 
+def city_channel(left: DataFrame, right: DataFrame, field: str = "city_guess", most: int = MOST_RECORDS) -> DataFrame:
+    """Records of one country and city (J11); in a city of more than `most` records of the right side, those that also share a word of the name."""
+    key = F.when(F.col(field) != "", F.concat_ws("|", "country", field))
+    side = lambda df: df.select("entity_id", key.alias("place"), name_words(F.col("name_tokens_no_suffix")).alias("words")).where("place is not null")
+    a, b = side(left), side(right)
+    large = b.groupBy("place").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("place")
+    small = on_key(keyed(a, F.col("place")), keyed(b.join(large, "place", "left_anti"), F.col("place")), field)
+    finer = lambda df: keyed(df.select("entity_id", F.explode(F.transform("words", lambda w: F.concat_ws("|", "place", w))).alias("key")), F.col("key"))
+    return small.unionByName(on_key(finer(a), finer(b.join(large, "place", "left_semi")), field))
+
+
 def phonetic_channel(left: DataFrame, right: DataFrame) -> DataFrame:
     """Records whose names sound alike in one country."""
     key = F.when(F.col("name_phonetic") != "", F.concat_ws("|", "country", "name_phonetic"))
     return on_key(keyed(left, key), keyed(right, key), "phonetic")
 
 
-def _digits(row: int):
-    return lambda h: F.substring(h, 4 * row + 1, 4)
+#: Hashes of grams are 32 bits of an md5; row r's is (hash * (2 * r * r + 7919 * r + 104729) + 15485863 * r) modulo this prime.
+PRIME = 2_147_483_647
+
+
+def row_factors(row: int) -> tuple[int, int]:
+    return (2 * row * row + 7919 * row + 104_729) % PRIME, 15_485_863 * row % PRIME
 
 
 def signature(grams: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """MinHash band keys of an array of n-grams: one md5 a gram and band, of which each 4 hex digits are a hash (8 rows a band at most)."""
+    """MinHash band keys of an array of n-grams: one md5 a gram, from which each row's hash comes by a product and a sum."""
 
-    def band(b: int) -> Column:
-        hashes = F.transform(grams, lambda g: F.md5(F.concat(F.lit(f"{b}:"), g)))
-        least = lambda hs: F.concat(F.lit(f"{b}:"), *[F.array_min(F.transform(hs, _digits(r))) for r in range(rows)])
-        return F.element_at(F.transform(F.array(hashes), least), 1)  # bound to a variable, so that each md5 is computed once
+    def least(hashes: Column, row: int) -> Column:
+        factor, more = row_factors(row)
+        return F.array_min(F.transform(hashes, lambda h: (h * F.lit(factor).cast("long") + F.lit(more).cast("long")) % F.lit(PRIME).cast("long"))).cast("string")
 
-    return F.array(*[band(b) for b in range(bands)])
+    hashes = F.transform(F.array_distinct(grams), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"))
+    keys = lambda hs: F.array(*[F.concat_ws(":", F.lit(str(b)), *[least(hs, b * rows + r) for r in range(rows)]) for b in range(bands)])
+    return F.element_at(F.transform(F.array(hashes), keys), 1)  # bound to a variable, so that each md5 is computed once
 
 
 def minhash_channel(left: DataFrame, right: DataFrame, grams: Column | None = None, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -91,11 +124,20 @@ def union(*channels: DataFrame) -> DataFrame:
 
 
 def recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    """true_pairs, covered, recall of the candidates."""
+    """One row: true_pairs, covered, recall of the candidates."""
     found = truth.select("s1_id", "match_id").distinct().join(pairs.select("s1_id", "match_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "match_id"], "left")
     return found.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("covered")).withColumn("recall", F.coalesce(F.try_divide("covered", "true_pairs"), F.lit(0.0)))
 
 
+def channel_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """channel, pairs, true_pairs, covered, recall of each channel in a union, and of all of them ("union")."""
+    each = found.select("s1_id", "match_id", F.explode(F.array_append("channels", F.lit("union"))).alias("channel"))
+    true = truth.select("s1_id", "match_id").distinct().withColumn("hit", F.lit(1))
+    rows = each.join(true, ["s1_id", "match_id"], "left").groupBy("channel").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("covered"))
+    total = F.broadcast(true.agg(F.count(F.lit(1)).alias("true_pairs")))  # one row
+    return rows.join(total).select("channel", "pairs", "true_pairs", "covered", F.coalesce(F.try_divide("covered", "true_pairs"), F.lit(0.0)).alias("recall"))
+
+
 def prune(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best candidates of each record, ties to smaller ids (S4). Spark limits each map task's groups before the shuffle."""
     order = Window.partitionBy("s1_id").orderBy(F.col(score).desc(), "match_id")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from kindred.functions.text import is_blank
 from kindred.sources import tsv
 
+# The headers of result files, and where the candidates are if no path is given.
 MATCHING, CANDIDATES = ("source1_entity_id", "matched_entity_ids"), ("source1_entity_id", "candidate_entity_ids")
+USUAL_CANDIDATES = "output/candidate_pairs.tsv"
 EXAMPLES = 5
 FINDING = "rule string, severity string, n long, examples string"
 
@@ -121,7 +123,10 @@ def validate(spark: SparkSession, matching: str, candidates: str | None, folder:
         frames += [row_rules(rows[name]), id_rules(rows[name], valid), entity_rules(rows[name], required)]
     if len(rows) == 2:
         frames.append(subset_rule(rows["matching"], rows["candidates"]))
-    return reduce(DataFrame.unionByName, [spark.createDataFrame(notes, FINDING), *frames])
+    found = reduce(DataFrame.unionByName, [spark.createDataFrame(notes, FINDING), *frames]).collect()  # a row for each rule and file at most
+    for r in rows.values():
+        r.unpersist()
+    return spark.createDataFrame(found, FINDING)
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -134,7 +139,7 @@ def main(arguments: list[str] | None = None) -> int:
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("result checks").getOrCreate()
     failed = False
-    for r in validate(spark, given.matching, given.candidates, given.test_dir, given.check_ids).collect():
+    for r in validate(spark, given.matching, given.candidates or USUAL_CANDIDATES, given.test_dir, given.check_ids).collect():
         print(f"{r.severity}: {r.rule}: {r.n}: {r.examples}")
         failed |= r.severity == "error"
     print("FAIL" if failed else "PASS")

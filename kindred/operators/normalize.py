@@ -18,8 +18,8 @@ FIELDS = (
 def normalize(df: DataFrame, name: str = "business_name", address: str = "business_address", country: str = "country", every_script: bool = True, only: tuple[str, ...] = FIELDS) -> DataFrame:
     """Adds the normalized fields (or only those named). No shuffle.
 
-    every_script romanises all scripts, by an Arrow UDF; without it Latin accents are folded natively and other
-    letters become blanks. The phonetic key is a UDF as well: leave it out of `only` where it isn't needed, and the
+    every_script romanises all scripts, by an Arrow UDF; without it Latin accents are folded natively and letters of
+    other scripts stay as they are (a name loses those that it begins with). The phonetic key is a UDF as well: leave it out of `only` where it isn't needed, and the
     whole projection stays native.
     """
     if every_script:

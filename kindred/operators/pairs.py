@@ -29,13 +29,24 @@ def cosine(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return out.withColumn("cosine", F.coalesce(F.try_divide("dot", F.col("norm_s1_id") * F.col("norm_match_id")), F.lit(0.0))).drop("dot", "norm_s1_id", "norm_match_id")
 
 
-def features(pairs: DataFrame, left: DataFrame, right: DataFrame, jaro: bool = True) -> DataFrame:
-    """s1_id, match_id and the features of each pair."""
-    fields = ("normalized_name", "name_tokens_no_suffix", "name_char_ngrams", "address_tokens", "postal_code_guess", "city_guess", "street_number_guess", "name_missing", "address_missing", "postal_missing", "city_missing")
+#: The normalized fields that each feature reads.
+READS = {
+    "token_jaccard": ("name_tokens_no_suffix",), "gram_jaccard": ("name_char_ngrams",), "edit": ("normalized_name",), "acronym": ("name_tokens_no_suffix",), "address_overlap": ("address_tokens",),
+    "same_postal": ("postal_code_guess",), "same_city": ("city_guess",), "same_number": ("street_number_guess",), "missing": ("name_missing", "address_missing", "postal_missing", "city_missing"), "jaro_winkler": ("normalized_name",),
+}
+
+
+def read_by(names: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(f for n in names for f in READS[n]))
+
+
+def features(pairs: DataFrame, left: DataFrame, right: DataFrame, names: tuple[str, ...] = (*NATIVE, "jaro_winkler")) -> DataFrame:
+    """s1_id, match_id and the named features of each pair (F1 to F3, F5 to F7). Only the fields that they read travel."""
+    fields = read_by(names)
     side = lambda df, ident, x: df.select(F.col("entity_id").alias(ident), F.struct(*fields).alias(x))
     both = pairs.select("s1_id", "match_id").join(side(left, "s1_id", "a"), "s1_id").join(side(right, "match_id", "b"), "match_id")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    made = {
+    made: dict = {
         "token_jaccard": S.jaccard(a("name_tokens_no_suffix"), b("name_tokens_no_suffix")),
         "gram_jaccard": S.jaccard(a("name_char_ngrams"), b("name_char_ngrams")),
         "edit": S.edit_similarity(a("normalized_name"), b("normalized_name")),
@@ -46,6 +57,6 @@ def features(pairs: DataFrame, left: DataFrame, right: DataFrame, jaro: bool = T
         "same_number": S.same_known(a("street_number_guess"), b("street_number_guess")),
         "missing": S.missing_pattern(*[x(f"{c}_missing") for x in (a, b) for c in ("name", "address", "postal", "city")]),
     }
-    if jaro:
+    if "jaro_winkler" in names:
         made["jaro_winkler"] = S.jaro_winkler(a("normalized_name"), b("normalized_name"))
-    return both.select("s1_id", "match_id", *[c.alias(n) for n, c in made.items()])
+    return both.select("s1_id", "match_id", *[made[n].alias(n) for n in names])

@@ -16,6 +16,7 @@ from kindred.functions import text as T
 from kindred.functions.phonetic import phonetic
 from kindred.functions.scripts import fold_all
 from kindred.operators import blocking, checks, decide, evaluate, folds, model, pairs, profile
+from kindred.operators import link as link_all
 from kindred.operators.golden import EITHER, KEYS, golden_join, golden_match
 from kindred.operators.normalize import FIELDS, normalize
 from kindred.plans import oracles as O
@@ -41,8 +42,10 @@ def query(name: str, oracle: str | None = None):
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """The feeds. The tables below are single small files, which one task would read: their rows are spread over the cores."""
-    return demo.view(spark, d, demo.RECORDS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """The feeds. Where the session asks for it (the benchmark does, as its tables are single small files that one task reads), their rows are spread."""
+    spread = spark.conf.get("kindred.demo.partitions", None)
+    feeds = demo.view(spark, d, demo.RECORDS)
+    return feeds.repartition(int(spread)) if spread else feeds
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -70,18 +73,50 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return demo.view(spark, d, demo.SOURCE1).select(F.col("entity_id").alias("s1_id"))
 
 
+WORDS = ("name_tokens_no_suffix", "address_tokens")
+PLACES = ("country", "postal_code_guess")
+
+
+def token(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The token channel over the words of names and addresses."""
+    return blocking.token_channel(a, b, blocking.all_words())
+
+
+def minhash(a: DataFrame, b: DataFrame) -> DataFrame:
+    return blocking.minhash_channel(a, b, T.char_grams(F.concat_ws(" ", "normalized_name", "normalized_address")))
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs of the channels that every later step reads."""
+    return blocking.union(token(a, b), blocking.place_channel(a, b, "postal_code_guess"))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.place_channel(*sides(spark, d, KEYS + EITHER), "postal_code_guess").select("s1_id", "match_id")
+    return union(*sides(spark, d, WORDS + PLACES)).select("s1_id", "match_id")
 
 
-def features(spark: SparkSession, d: str, jaro: bool = False) -> DataFrame:
-    both = sides(spark, d)
-    return pairs.features(blocking.place_channel(*both, "postal_code_guess"), *both, jaro=jaro)
+def features(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    both = sides(spark, d, tuple(dict.fromkeys(WORDS + PLACES + pairs.read_by(names))))
+    return pairs.features(union(*both), *both, names)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     score = F.round(0.5 * F.col("gram_jaccard") + 0.3 * F.col("edit") + 0.2 * F.col("address_overlap"), 6)
-    return features(spark, d).select("s1_id", "match_id", score.alias("score"))
+    return features(spark, d, "gram_jaccard", "edit", "address_overlap").select("s1_id", "match_id", score.alias("score"))
+
+
+def linkage(spark: SparkSession, d: str) -> link_all.Linked:
+    """The whole linkage of the feeds: candidates, features, classifier, calibration, threshold, lists."""
+    fields = tuple(dict.fromkeys(WORDS + PLACES + KEYS + EITHER + pairs.read_by(model.NUMERIC)))
+    a, b = sides(spark, d, fields)
+    return link_all.link(a, b, union(a, b), truth(spark, d), lambda df: cut(spark, df))
+
+
+def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = scratch(spark, "linkage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def truth_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +143,7 @@ def feed_file(spark: SparkSession, d: str) -> str:
 
 def lists_file(spark: SparkSession, d: str) -> str:
     path = scratch(spark, "results")
-    tsv.write_results(truth_lists(spark, d).coalesce(1), path)  # one file, whose lines can be numbered
+    tsv.write_results(truth_lists(spark, d), path)
     return path
 
 
@@ -133,7 +168,7 @@ def _(spark, d):
 @query("R4_result_lines", O.over("SELECT source1_entity_id AS s1_id, matched_entity_ids AS ids, true AS tab, row_number() OVER (ORDER BY source1_entity_id) + 1 AS line FROM lists", O.TRUTH_LISTS))
 def _(spark, d):
     path = scratch(spark, "results")
-    tsv.write_results(truth_lists(spark, d).orderBy("source1_entity_id").coalesce(1), path)
+    tsv.write_results(truth_lists(spark, d).orderBy("source1_entity_id"), path)
     return tsv.result_rows(tsv.lines(spark, path))
 
 
@@ -142,9 +177,11 @@ def _(spark, d):
     return spark.createDataFrame([(tsv.exists(spark, f"{d}/orders.parquet"), tsv.exists(spark, f"{d}/no-such-table"))], "there boolean, elsewhere boolean")
 
 
-@query("R6_valid_utf8", "SELECT true AS valid")
+@query("R6_valid_utf8", "SELECT true AS valid, false AS damaged")
 def _(spark, d):
-    return spark.createDataFrame([(tsv.is_valid_utf8(spark, feed_file(spark, d)),)], "valid boolean")
+    damaged = scratch(spark, "latin")  # the accents of the feed in another encoding are bytes that UTF-8 doesn't know
+    records(spark, d).select(F.encode(F.coalesce("business_name", F.lit("")), "ISO-8859-1").cast("string").alias("value")).write.text(damaged)
+    return spark.createDataFrame([(tsv.is_valid_utf8(spark, feed_file(spark, d)), tsv.is_valid_utf8(spark, damaged))], "valid boolean, damaged boolean")
 
 
 @query("R7_parquet_scan", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
@@ -160,13 +197,13 @@ def _(spark, d):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    return tsv.lines(spark, path).select(F.col("value").alias("line"))
 
 
-@query("W2_candidate_file", O.over("SELECT source1_entity_id || chr(9) || coalesce((SELECT string_agg(match_id, ',' ORDER BY match_id) FROM place WHERE s1_id = source1_entity_id), '') AS line FROM lists UNION ALL SELECT 'source1_entity_id' || chr(9) || 'candidate_entity_ids'", O.TRUTH_LISTS, O.PAIRS))
+@query("W2_candidate_file", O.over("SELECT source1_entity_id || chr(9) || coalesce(ids, '') AS line FROM lists LEFT JOIN (SELECT s1_id, string_agg(match_id, ',' ORDER BY match_id) AS ids FROM pairs GROUP BY 1) ON s1_id = source1_entity_id UNION ALL SELECT 'source1_entity_id' || chr(9) || 'candidate_entity_ids'", O.TRUTH_LISTS, *O.PAIRS))
 def _(spark, d):
     path = scratch(spark, "candidates")
-    tsv.write_results(tsv.candidate_cells(entities(spark, d), candidates(spark, d)).coalesce(1), path)
+    tsv.write_results(tsv.candidate_cells(entities(spark, d), candidates(spark, d)), path)
     return read_lines(spark, path)
 
 
@@ -289,7 +326,7 @@ def _(spark, d):
 
 @query("J1_golden_predicate", O.over("SELECT t.s1_id, t.match_id, g.s1_id IS NOT NULL AS golden FROM truth t LEFT JOIN golden g USING (s1_id, match_id)", O.GOLDEN))
 def _(spark, d):
-    a, b = sides(spark, d)
+    a, b = sides(spark, d, KEYS + EITHER)
     side = lambda df, x, y: df.select(F.col("entity_id").alias(x), F.struct("aggressive_normalized_name", "country", "normalized_address", "postal_code_guess").alias(y))
     both = truth(spark, d).join(side(a, "s1_id", "a"), "s1_id").join(side(b, "match_id", "b"), "match_id")
     return both.select("s1_id", "match_id", golden_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("golden"))
@@ -312,9 +349,10 @@ def _(spark, d):
     return truth(spark, d).select("match_id").join(known, "match_id", "left_anti")
 
 
-@query("J5_not_among_candidates", O.over("SELECT DISTINCT s1_id FROM (SELECT * FROM golden EXCEPT SELECT * FROM place)", O.GOLDEN, O.PAIRS))
+@query("J5_not_among_candidates", O.over(f"SELECT DISTINCT s1_id FROM (SELECT * FROM golden EXCEPT SELECT * FROM ({O.place_pairs('street_number_guess')}))", O.GOLDEN))
 def _(spark, d):
-    return golden(spark, d).join(candidates(spark, d), ["s1_id", "match_id"], "left_anti").select("s1_id").distinct()
+    numbers = blocking.place_channel(*sides(spark, d, ("country", "street_number_guess")), "street_number_guess")  # no house number: no candidate
+    return golden(spark, d).join(numbers, ["s1_id", "match_id"], "left_anti").select("s1_id").distinct()
 
 
 SIZES = O.over("SELECT s1_id, truths, guesses FROM sizes", O.GOLDEN, O.SCORES)
@@ -342,61 +380,51 @@ def _(spark, d):
     return folds.leaked_groups(rows.where("fold <> 0"), rows.where("fold = 0"), "s1_id")
 
 
-TOKEN = f"""words AS (SELECT source, entity_id, unnest(list_distinct(address_tokens)) AS word FROM n),
-rare AS (SELECT word FROM words WHERE source <> 'S1' GROUP BY word HAVING count(*) <= {blocking.MOST_RECORDS}),
-token AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM words a JOIN words b USING (word) JOIN rare USING (word) WHERE a.source = 'S1' AND b.source <> 'S1')"""
-WHOLE = "normalized_name || ' ' || normalized_address"
-GRAMS = f"SELECT source, entity_id, list_transform(range(1, length({WHOLE}) + 1), lambda i: substr(' ' || {WHOLE} || ' ', i, 3)) AS g FROM n"
-LEAST = "list_min(list_transform(g, lambda x: substr(md5('{0}:' || x), {1}, 4)))"
-BANDS = " UNION ALL ".join(f"SELECT source, entity_id, '{b}:' || {' || '.join(LEAST.format(b, 4 * r + 1) for r in range(blocking.ROWS))} AS band FROM grams" for b in range(blocking.BANDS))
-MINHASH = f"grams AS ({GRAMS}), bands AS ({BANDS}), minhash AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM bands a JOIN bands b USING (band) WHERE a.source = 'S1' AND b.source <> 'S1')"
-
-
 def channel(name: str, table: str) -> str:
     return f"SELECT s1_id, match_id, '{name}' AS channel FROM {table}"
 
 
-@query("J9_token_channel", O.over(channel("token", "token"), TOKEN))
+@query("J9_token_channel", O.over(channel("token", "token"), O.TOKEN))
 def _(spark, d):
-    return blocking.token_channel(*sides(spark, d, ("address_tokens",)), "address_tokens")
+    return token(*sides(spark, d, WORDS))
 
 
-@query("J10_minhash_channel", O.over(channel("minhash", "minhash"), MINHASH))
+@query("J10_minhash_channel", O.over(channel("minhash", "minhash"), O.MINHASH))
 def _(spark, d):
-    return blocking.minhash_channel(*sides(spark, d, ("normalized_name", "normalized_address")), T.char_grams(F.concat_ws(" ", "normalized_name", "normalized_address")))
+    return minhash(*sides(spark, d, ("normalized_name", "normalized_address")))
 
 
-@query("J11_postal_channel", O.over(channel("postal_code_guess", "place"), O.PAIRS))
+@query("J11_postal_channel", O.over(channel("postal_code_guess", "place"), O.PLACE))
 def _(spark, d):
-    return blocking.place_channel(*sides(spark, d, KEYS + EITHER), "postal_code_guess")
+    return blocking.place_channel(*sides(spark, d, PLACES), "postal_code_guess")
 
 
-@query("J11_city_channel", O.over(f"SELECT s1_id, match_id, 'street_number_guess' AS channel FROM ({O.place_pairs('street_number_guess')})"))
+@query("J11_city_channel", O.over(channel("city_guess", "city"), O.CITY))
 def _(spark, d):
-    return blocking.place_channel(*sides(spark, d), "street_number_guess")
+    return blocking.city_channel(*sides(spark, d, ("country", "city_guess", "name_tokens_no_suffix")))
 
 
 @query("J11_street_number_channel", O.over(f"SELECT s1_id, match_id, 'street_number_guess' AS channel FROM ({O.place_pairs('street_number_guess')})"))
 def _(spark, d):
-    return blocking.place_channel(*sides(spark, d, KEYS + ("street_number_guess",)), "street_number_guess")
+    return blocking.place_channel(*sides(spark, d, ("country", "street_number_guess")), "street_number_guess")
 
 
-@query("J11_city_guess_channel", O.over(f"SELECT s1_id, match_id, 'city_guess' AS channel FROM ({O.place_pairs('city_guess')})"))
+@query("J12_phonetic_channel")
 def _(spark, d):
-    return blocking.place_channel(*sides(spark, d, KEYS + ("city_guess",)), "city_guess")
+    return blocking.phonetic_channel(*sides(spark, d, ("country", "name_phonetic")))
 
 
-@query("J12_phonetic_channel")
-def _(spark, d):
-    n = normalize(records(spark, d))
-    return blocking.phonetic_channel(n.where("source = 'S1'"), n.where("source <> 'S1'"))
+EVERY = f"""every AS (SELECT s1_id, match_id, list(channel) AS channels FROM ({channel("token", "token")} UNION ALL {channel("postal_code_guess", "place")} UNION ALL {channel("minhash", "minhash")} UNION ALL {channel("city_guess", "city")}) GROUP BY ALL)"""
+
 
+def every_channel(spark: SparkSession, d: str) -> DataFrame:
+    a, b = sides(spark, d, WORDS + PLACES + ("city_guess", "normalized_name", "normalized_address"))
+    return blocking.union(token(a, b), blocking.place_channel(a, b, "postal_code_guess"), minhash(a, b), blocking.city_channel(a, b))
 
-@query("J13_channel_union", O.over("SELECT s1_id, match_id, string_agg(channel, '|' ORDER BY channel) AS channels FROM (SELECT *, 'token' AS channel FROM token UNION ALL SELECT *, 'postal_code_guess' FROM place) GROUP BY ALL", TOKEN, O.PAIRS))
+
+@query("J13_channel_union", O.over("SELECT s1_id, match_id, array_to_string(list_sort(channels), '|') AS channels FROM every", O.TOKEN, O.PLACE, O.MINHASH, O.CITY, EVERY))
 def _(spark, d):
-    a, b = sides(spark, d)
-    found = blocking.union(blocking.token_channel(a, b, "address_tokens"), blocking.place_channel(a, b, "postal_code_guess"))
-    return found.select("s1_id", "match_id", F.array_join("channels", "|").alias("channels"))
+    return every_channel(spark, d).select("s1_id", "match_id", F.array_join("channels", "|").alias("channels"))
 
 
 # ---- aggregates
@@ -502,9 +530,11 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, [s.agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "n") for w, s in sets.items()])
 
 
-@query("G15_candidate_recall", O.over("SELECT count(*) AS true_pairs, count(p.s1_id) AS covered, round(count(p.s1_id) / count(*), 6) AS recall FROM truth t LEFT JOIN place p USING (s1_id, match_id)", O.PAIRS))
+@query("G15_candidate_recall", O.over("""SELECT channel, pairs, (SELECT count(*) FROM truth) AS true_pairs, covered, round(covered / (SELECT count(*) FROM truth), 6) AS recall FROM (
+  SELECT channel, count(*) AS pairs, count(t.s1_id) AS covered FROM (SELECT s1_id, match_id, unnest(list_append(channels, 'union')) AS channel FROM every) e
+  LEFT JOIN truth t ON t.s1_id = e.s1_id AND t.match_id = e.match_id GROUP BY 1)""", O.TOKEN, O.PLACE, O.MINHASH, O.CITY, EVERY))
 def _(spark, d):
-    return blocking.recall(candidates(spark, d), truth(spark, d)).select("true_pairs", "covered", *r6("recall"))
+    return blocking.channel_recall(every_channel(spark, d), truth(spark, d)).select("channel", "pairs", "true_pairs", "covered", *r6("recall"))
 
 
 WEIGHTS = """spread AS (SELECT entity_id AS id, unnest(list_distinct(name_tokens_no_suffix)) AS word FROM n),
@@ -513,27 +543,27 @@ weights AS (SELECT id, s.word, ln(((SELECT count(*) FROM n) + 1) / (df + 1)) + 1
 
 @query("G16_tf_idf", O.over("SELECT id, word, round(weight, 6) AS weight FROM weights", WEIGHTS))
 def _(spark, d):
-    return pairs.weights(normal(spark, d)).select("id", "word", *r6("weight"))
+    return pairs.weights(normal(spark, d, only=("name_tokens_no_suffix",))).select("id", "word", *r6("weight"))
 
 
 # ---- windows, features, decisions
 
 
-@query("S4_top_candidates", O.over(f"SELECT s1_id, match_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, match_id)::INTEGER AS place FROM scored) WHERE place <= {TOP}", O.PAIRS, O.SCORED))
+@query("S4_top_candidates", O.over(f"SELECT s1_id, match_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, match_id)::INTEGER AS place FROM scored) WHERE place <= {TOP}", *O.PAIRS, O.SCORED))
 def _(spark, d):
     return blocking.prune(scored(spark, d), TOP)
 
 
-@query("S5_margins", O.over("SELECT s1_id, match_id, best, round(best - coalesce(next, 0), 6) AS margin FROM (SELECT s1_id, match_id, score AS best, row_number() OVER w AS place, lead(score) OVER w AS next FROM scored WINDOW w AS (PARTITION BY s1_id ORDER BY score DESC, match_id)) WHERE place = 1", O.PAIRS, O.SCORED))
+@query("S5_margins", O.over("SELECT s1_id, match_id, best, round(best - coalesce(next, 0), 6) AS margin FROM (SELECT s1_id, match_id, score AS best, row_number() OVER w AS place, lead(score) OVER w AS next FROM scored WINDOW w AS (PARTITION BY s1_id ORDER BY score DESC, match_id)) WHERE place = 1", *O.PAIRS, O.SCORED))
 def _(spark, d):
     return decide.margins(scored(spark, d)).select("s1_id", "match_id", "best", *r6("margin"))
 
 
 def feature(name: str, column: str, sql: str) -> None:
-    @query(name, O.over(f"SELECT s1_id, match_id, {sql} AS {column} {O.SIDES}", O.PAIRS))
+    @query(name, O.over(f"SELECT s1_id, match_id, {sql} AS {column} {O.SIDES}", *O.PAIRS))
     def _(spark, d):
         value = F.round(column, 6) if column in ("token_jaccard", "gram_jaccard", "edit", "address_overlap") else F.col(column)
-        return features(spark, d).select("s1_id", "match_id", value.alias(column))
+        return features(spark, d, column).select("s1_id", "match_id", value.alias(column))
 
 
 SHORT = "array_to_string(list_transform({0}, lambda w: left(w, 1)), '')"
@@ -546,14 +576,16 @@ feature("F6_same_city", "same_city", "a.city_guess = b.city_guess AND a.city_gue
 feature("F7_missing", "missing", " || ".join(f"CAST(({x}.{c})::INTEGER AS STRING)" for x in "ab" for c in ("name_missing", "address_missing", "postal_code_guess = ''", "city_guess = ''")).replace("(a.postal_code_guess = '')", "(a.postal_code_guess = '')"))
 
 
-@query("F3_jaro_winkler", O.over(f"SELECT s1_id, match_id, round(jaro_winkler_similarity(a.normalized_name, b.normalized_name), 6) AS jaro_winkler {O.SIDES}", O.PAIRS))
+@query("F3_jaro_winkler", O.over(f"SELECT s1_id, match_id, round(jaro_winkler_similarity(a.normalized_name, b.normalized_name), 6) AS jaro_winkler {O.SIDES}", *O.PAIRS))
 def _(spark, d):
-    return features(spark, d, jaro=True).select("s1_id", "match_id", *r6("jaro_winkler"))
+    return features(spark, d, "jaro_winkler").select("s1_id", "match_id", *r6("jaro_winkler"))
 
 
-@query("F4_cosine", O.over("SELECT s1_id, match_id, round(coalesce((SELECT sum(x.weight * y.weight) FROM weights x JOIN weights y ON x.word = y.word WHERE x.id = s1_id AND y.id = match_id) / ((SELECT sqrt(sum(weight * weight)) FROM weights WHERE id = s1_id) * (SELECT sqrt(sum(weight * weight)) FROM weights WHERE id = match_id)), 0), 6) AS cosine FROM place", O.PAIRS, WEIGHTS))
+@query("F4_cosine", O.over("""SELECT s1_id, match_id, round(coalesce(dot / (x.norm * y.norm), 0), 6) AS cosine FROM pairs
+  LEFT JOIN (SELECT s1_id, match_id, sum(a.weight * b.weight) AS dot FROM pairs JOIN weights a ON a.id = s1_id JOIN weights b ON b.id = match_id AND b.word = a.word GROUP BY ALL) USING (s1_id, match_id)
+  LEFT JOIN norms x ON x.id = s1_id LEFT JOIN norms y ON y.id = match_id""", *O.PAIRS, WEIGHTS, "norms AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY 1)"))
 def _(spark, d):
-    w = pairs.weights(normal(spark, d))
+    w = pairs.weights(normal(spark, d, only=("name_tokens_no_suffix",)))
     return pairs.cosine(candidates(spark, d), w, w).select("s1_id", "match_id", *r6("cosine"))
 
 
@@ -567,34 +599,51 @@ def _(spark, d):
     return folds.balanced_folds(truth(spark, d), "s1_id").groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("V2_leakage_check", "SELECT true AS no_leakage")
+@query("V2_leakage_check", O.over(f"SELECT true AS by_group, NOT EXISTS (SELECT 1 FROM truth GROUP BY s1_id HAVING bool_or({fold_of('match_id', 5)} = 0) AND bool_or({fold_of('match_id', 5)} <> 0)) AS by_row"))
 def _(spark, d):
-    rows = folds.hash_folds(truth(spark, d), "s1_id")
-    return spark.createDataFrame([(folds.has_no_leakage(rows.where("fold <> 0"), rows.where("fold = 0"), "s1_id"),)], "no_leakage boolean")
+    clean = lambda column: (rows := folds.hash_folds(truth(spark, d), column)) and folds.has_no_leakage(rows.where("fold <> 0"), rows.where("fold = 0"), "s1_id")
+    return spark.createDataFrame([(clean("s1_id"), clean("match_id"))], "by_group boolean, by_row boolean")
 
 
 @query("V3_pair_classifier")
 def _(spark, d):
-    rows = model.labelled(features(spark, d), truth(spark, d)).persist()
-    return model.score(model.train_rounds(rows), rows).select("s1_id", "match_id", "label", *r6("score"))
+    return linkage(spark, d).scored.select("s1_id", "match_id", "fold", "label", *r6("score"))
 
 
 @query("V4_calibration")
 def _(spark, d):
-    rows = scored(spark, d).join(truth(spark, d).withColumn("label", F.lit(1.0)), ["s1_id", "match_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0))).persist()
-    return model.calibrated(model.calibrator(rows), rows).select("s1_id", "match_id", "score", *r6("calibrated"))
+    return linkage(spark, d).calibrated.select("s1_id", "match_id", "fold", *r6("score", "calibrated"))
+
+
+HELD = f"{fold_of('{0}', folds.N_SPLITS)} = {link_all.VALIDATION}"
 
 
-@query("V5_thresholds", O.over(f"SELECT threshold, round(avg({O.F_BETA}), 6) AS macro_f_beta FROM (SELECT g.threshold, e.entity_id, (SELECT count(*) FROM truth t WHERE t.s1_id = e.entity_id) AS truths, count(s.s1_id) AS guesses, count(t.s1_id) AS hits FROM (SELECT unnest({GRID}::DOUBLE[]) AS threshold) g CROSS JOIN (SELECT entity_id FROM records WHERE source = 'S1') e LEFT JOIN scored s ON s.s1_id = e.entity_id AND s.score >= g.threshold LEFT JOIN truth t ON t.s1_id = s.s1_id AND t.match_id = s.match_id GROUP BY 1, 2) GROUP BY 1", O.PAIRS, O.SCORED))
+@query("V5_thresholds", O.over(f"""SELECT threshold, round(avg({O.F_BETA}), 6) AS macro_f_beta FROM (
+  SELECT threshold, entity_id, coalesce(truths, 0) AS truths, coalesce(guesses, 0) AS guesses, coalesce(hits, 0) AS hits
+  FROM (SELECT unnest({GRID}::DOUBLE[]) AS threshold) CROSS JOIN (SELECT entity_id FROM records WHERE source = 'S1' AND {HELD.format('entity_id')})
+  LEFT JOIN (SELECT s1_id AS entity_id, count(*) AS truths FROM truth GROUP BY 1) USING (entity_id)
+  LEFT JOIN (SELECT threshold, s.s1_id AS entity_id, count(*) AS guesses, count(t.s1_id) AS hits FROM scored s JOIN (SELECT unnest({GRID}::DOUBLE[]) AS threshold) ON score >= threshold
+    LEFT JOIN truth t ON t.s1_id = s.s1_id AND t.match_id = s.match_id GROUP BY ALL) USING (threshold, entity_id)) GROUP BY 1""", *O.PAIRS, O.SCORED))
 def _(spark, d):
-    return decide.thresholds(scored(spark, d), truth(spark, d), entities(spark, d), GRID).select("threshold", *r6("macro_f_beta"))
+    held = lambda df: folds.hash_folds(df, "s1_id").where(f"fold = {link_all.VALIDATION}").drop("fold")  # noqa: E731  the fold that no model is trained on
+    return decide.thresholds(held(scored(spark, d)), held(truth(spark, d)), held(entities(spark, d)), GRID).select("threshold", *r6("macro_f_beta"))
 
 
-@query("V6_entity_lists", O.over("SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(s.match_id, ',' ORDER BY s.match_id), '') AS matched_entity_ids FROM (SELECT entity_id FROM records WHERE source = 'S1') e LEFT JOIN (SELECT * FROM scored WHERE score >= 0.6) s ON s.s1_id = e.entity_id GROUP BY 1", O.PAIRS, O.SCORED))
+@query("V6_entity_lists", O.over("SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(s.match_id, ',' ORDER BY s.match_id), '') AS matched_entity_ids FROM (SELECT entity_id FROM records WHERE source = 'S1') e LEFT JOIN (SELECT * FROM scored WHERE score >= 0.6) s ON s.s1_id = e.entity_id GROUP BY 1", *O.PAIRS, O.SCORED))
 def _(spark, d):
     return decide.lists(entities(spark, d), decide.decide(scored(spark, d), 0.6))
 
 
+@query("linkage_lists")
+def _(spark, d):
+    return linkage(spark, d).lists
+
+
+@query("linkage_report")
+def _(spark, d):
+    return linkage(spark, d).report.select("threshold", "chosen", "fold", "entities", *r6("macro_f_beta"))
+
+
 # ---- rules for result files
 
 
@@ -620,7 +669,7 @@ def _(spark, d):
     found = checks.header_findings(spark, f"{d}/no-such-file", checks.MATCHING)
     for header in ("source1_entity_id,matched_entity_ids", "source1_entity_id\tsomething_else", "Source1_Entity_Id \tmatched_entity_ids"):
         path = scratch(spark, "header")
-        spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(path)
+        spark.createDataFrame([(header,)], "value string").write.text(path)
         found += checks.header_findings(spark, path, checks.MATCHING)
     return spark.createDataFrame([(f[0],) for f in found], "rule string")
 
@@ -629,8 +678,8 @@ def _(spark, d):
 def _(spark, d):
     folder, matching = scratch(spark, "test"), scratch(spark, "matching")
     for k, where in ((1, "source = 'S1'"), (2, "source = 'S2'"), (3, "source = 'S3'")):
-        records(spark, d).where(where).select("entity_id", "business_name", "business_address", "country").coalesce(1).write.options(sep="\t", header=True).csv(f"{folder}/test_source{k}.tsv")
-    tsv.write_results(truth_lists(spark, d).coalesce(1), matching)
+        records(spark, d).where(where).select("entity_id", "business_name", "business_address", "country").write.options(sep="\t", header=True).csv(f"{folder}/test_source{k}.tsv")
+    tsv.write_results(truth_lists(spark, d), matching)
     return checks.validate(spark, matching, f"{matching}-none", folder, check_ids=True)
 
 

@@ -56,11 +56,33 @@ golden AS (SELECT a.entity_id AS s1_id, b.entity_id AS match_id FROM n a JOIN n
 
 def place_pairs(field: str) -> str:
     return f"""SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM n a JOIN n b ON a.source = 'S1' AND b.source <> 'S1' AND a.country = b.country
-  AND a.{field} = b.{field} AND a.{field} <> '' AND a.aggressive_normalized_name <> '' AND substr(a.aggressive_normalized_name, 1, 1) = substr(b.aggressive_normalized_name, 1, 1)"""
-
-
-PAIRS = f"place AS ({place_pairs('postal_code_guess')})"
-SIDES = "FROM place p JOIN n a ON a.entity_id = p.s1_id JOIN n b ON b.entity_id = p.match_id"
+  AND a.{field} = b.{field} AND a.{field} <> ''"""
+
+
+NAME_WORDS = "list_sort(list_distinct(list_filter(name_tokens_no_suffix, lambda t: t <> 'and')))"
+TOKEN = f"""bags AS (SELECT source, entity_id, array_to_string({NAME_WORDS}, ' ') AS whole, list_distinct(list_concat(list_transform({NAME_WORDS}, lambda t: 'n:' || t), list_transform(address_tokens, lambda t: 'a:' || t))) AS bag FROM n),
+words AS (SELECT source, entity_id, unnest(bag) AS word FROM bags),
+rare AS (SELECT word FROM words WHERE source <> 'S1' GROUP BY word HAVING count(*) <= 50),
+second AS (SELECT entity_id FROM bags WHERE source <> 'S1' AND entity_id NOT IN (SELECT entity_id FROM words SEMI JOIN rare USING (word) WHERE source <> 'S1')),
+couple AS (SELECT x.source, x.entity_id, x.word || ' ' || y.word AS word FROM words x JOIN words y ON x.entity_id = y.entity_id AND x.word < y.word WHERE x.source = 'S1' OR x.entity_id IN (SELECT entity_id FROM second)),
+fine AS (SELECT word FROM couple WHERE source <> 'S1' GROUP BY word HAVING count(*) <= 50),
+third AS (SELECT entity_id, whole FROM bags WHERE whole <> '' AND entity_id IN (SELECT entity_id FROM second) AND entity_id NOT IN (SELECT entity_id FROM couple SEMI JOIN fine USING (word) WHERE source <> 'S1')),
+token AS (SELECT a.entity_id AS s1_id, b.entity_id AS match_id FROM words a JOIN words b USING (word) SEMI JOIN rare USING (word) WHERE a.source = 'S1' AND b.source <> 'S1'
+  UNION SELECT a.entity_id, b.entity_id FROM couple a JOIN couple b USING (word) SEMI JOIN fine USING (word) WHERE a.source = 'S1' AND b.source <> 'S1'
+  UNION SELECT a.entity_id, b.entity_id FROM bags a JOIN third b USING (whole) WHERE a.source = 'S1')"""
+PLACE = f"place AS ({place_pairs('postal_code_guess')})"
+CITY = f"""towns AS (SELECT source, entity_id, country || '|' || city_guess AS town, {NAME_WORDS} AS words FROM n WHERE city_guess <> ''),
+large AS (SELECT town FROM towns WHERE source <> 'S1' GROUP BY 1 HAVING count(*) > 50),
+city AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM towns a JOIN towns b USING (town) WHERE a.source = 'S1' AND b.source <> 'S1' AND (town NOT IN (SELECT town FROM large) OR list_has_any(a.words, b.words)))"""
+WHOLE = "normalized_name || ' ' || normalized_address"
+# the arithmetic of the rows' hashes, written out
+LEAST = "list_min(list_transform(h, lambda x: (x * ((2 * {0} * {0} + 7919 * {0} + 104729) % 2147483647) + (15485863 * {0}) % 2147483647) % 2147483647))"
+BANDS = " UNION ALL ".join(f"SELECT source, entity_id, '{b}' || {' || '.join(chr(39) + ':' + chr(39) + ' || ' + LEAST.format(b * 6 + r) for r in range(6))} AS band FROM hashes" for b in range(10))
+MINHASH = f"""grams AS (SELECT source, entity_id, list_distinct(list_transform(range(1, length({WHOLE}) + 1), lambda i: substr(' ' || {WHOLE} || ' ', i, 3))) AS g FROM n),
+hashes AS (SELECT source, entity_id, list_transform(g, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM grams),
+bands AS ({BANDS}), minhash AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM bands a JOIN bands b USING (band) WHERE a.source = 'S1' AND b.source <> 'S1')"""
+PAIRS = (TOKEN, PLACE, "pairs AS (SELECT * FROM token UNION SELECT * FROM place)")
+SIDES = "FROM pairs p JOIN n a ON a.entity_id = p.s1_id JOIN n b ON b.entity_id = p.match_id"
 JACCARD = "CASE WHEN len(list_distinct({0} || {1})) = 0 THEN 0 ELSE len(list_intersect(list_distinct({0}), list_distinct({1}))) / len(list_distinct({0} || {1})) END"
 OVERLAP = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0 ELSE len(list_intersect(list_distinct({0}), list_distinct({1}))) / least(len(list_distinct({0})), len(list_distinct({1}))) END"
 EDIT = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1 ELSE 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) END"

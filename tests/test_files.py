@@ -1,6 +1,7 @@
 """Sources, sinks, the profile, rules for result files and the stream."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.operators import checks, profile
 from kindred.plans import catalog
@@ -34,6 +35,32 @@ def test_written_results_have_truly_empty_cells(spark, tmp_path):
     assert part.read_text() == HEAD + "S1-1\t\nS1-2\tS2-1,S2-2\n"
 
 
+def test_many_files_are_read_as_one(spark, tmp_path):
+    rows = [(f"S1-{k:04}", "" if k % 3 else f"S2-{k}") for k in range(500)]
+    df = spark.createDataFrame(rows, "source1_entity_id string, matched_entity_ids string").repartitionByRange(7, "source1_entity_id").sortWithinPartitions("source1_entity_id")
+    tsv.write_results(df, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*"))) == 7
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # files in several pieces each
+    try:
+        got = sorted(map(tuple, tsv.lines(spark, str(tmp_path / "out")).collect()))
+        ids = sorted(r[0] for r in tsv.read_ids(spark, str(tmp_path / "out")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate([HEAD.strip("\n"), *[f"{a}\t{b}" for a, b in rows]], 1))
+    assert ids == [a for a, _ in rows]
+    assert tsv.lines(spark, str(tmp_path / "out")).where("line = 1").first().value == HEAD.strip("\n")
+
+
+def test_sample_is_the_start_of_the_hashes(spark):
+    import hashlib
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("entity_id"))
+    order = sorted(map(str, range(3000)), key=lambda x: (hashlib.md5(x.encode()).hexdigest(), x))
+    for n in (0, 1, 700, 2999, 5000):
+        assert sorted(r[0] for r in profile.sample(df, n).collect()) == sorted(order[:n])
+    assert profile.sample(df.where("false"), 5).count() == 0
+
+
 @pytest.fixture
 def folder(tmp_path):
     for k, ids in ((1, ["S1-1", "S1-2", "S1-3"]), (2, ["S2-1", "S2-2"]), (3, ["S3-1"])):
@@ -103,7 +130,8 @@ def test_profile(spark, tmp_path):
     assert (e["S1"]["names"], e["S2"].addresses, e["S1"].countries, e["S2"].countries) == (1, 1, "NULL,US", "IN,US")
     assert profile.sample(df, 2).count() == 2 and profile.sample(df).count() == 4
     lines = profile.markdown(df, truth, df.select("entity_id", "country"))
-    profile.write_markdown(lines, str(tmp_path / "new" / "report.md"))
+    for _ in range(2):
+        profile.write_markdown(spark, lines, str(tmp_path / "new" / "report.md"))
     assert "- none: 1 (50.00%)" in (tmp_path / "new" / "report.md").read_text().split("\n")
     assert profile.match_shares(truth.limit(0)).first().none_percent == 0.0
 

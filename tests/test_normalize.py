@@ -92,8 +92,13 @@ def test_double_metaphone(spark):
 
 
 def test_other_scripts_become_ascii():
-    for text in ("ग्रेट टेक केयर", "Αθήνα", "Москва", "日本", "Straße Café"):
-        assert to_ascii(text).isascii()
+    words = {
+        "Москва": "Moskva", "Щукин": "Shchukin", "Ялта": "Ialta", "Київ": "Kiiv", "Αθήνα": "Athena", "Ψυχή": "Psukhe", "שלום": "shlvm", "محمد": "mhmd", "شركة": "shrkh", "서울": "seoul", "삼성전자": "samseongjeonja",
+        "राम": "rama", "हिन्दी": "hindi", "भारत": "bharata", "トヨタ": "toyota", "東京 Ltd": "u6771 u4eac  Ltd", "日本": "u65e5 u672c ", "İzmir": "Izmir", "cafe\u0301": "cafe", "１２": "12",
+    }
+    assert {w: to_ascii(w) for w in words} == words
+    for text in ("ग्रेट टेक केयर", "Αθήνα", "Москва", "日本", "Straße Café", "தமிழ்", "ไทย", "ქართული", "አማርኛ"):
+        assert to_ascii(text).isascii() and to_ascii(text).strip()
     assert to_ascii("Straße Café") == "Strasse Cafe" and to_ascii("१२") == "12" and to_ascii("ग्रेट").strip() != ""
 
 
