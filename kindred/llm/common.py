@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the setting is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode and where the setting is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         root = f"file://{tempfile.mkdtemp(prefix='kindred-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -45,7 +48,10 @@ BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatc
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow with batches of bounded size (where the session has not chosen one), and a worker that gives its memory back."""
+    """df.mapInArrow with batches of bounded size (where the session has not chosen one), and a worker that gives its memory back.
+
+    Spark reads the size from the session when the plan runs, so that it stays set there.
+    """
     if df.sparkSession.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
         df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
