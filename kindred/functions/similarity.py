@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(1.0))
 
 
+@lru_cache(65_536)
 def jaro_winkler_of(a: str, b: str) -> float:
     """Winkler's form: prefix of at most 4, weight 0.1, only for a Jaro similarity over 0.7."""
     if a == b:
