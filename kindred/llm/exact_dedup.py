@@ -8,7 +8,8 @@ adaptive execution split a hot hash.
 
 Defined results: a null text counts as empty. A null id counts as the largest. Equal ids are one document: in
 `annotate` rows that repeat the kept id are all marked kept, in `deduplicate` one of them stays. An empty
-table gives an empty result. Other columns, whatever their names, pass `deduplicate` untouched.
+table gives an empty result. A very long text is one value of Spark's, up to its limit of 2 GB. Other columns,
+whatever their names, pass `deduplicate` untouched.
 """
 
 from __future__ import annotations

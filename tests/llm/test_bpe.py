@@ -52,8 +52,9 @@ def test_counts_equal_the_library(spark):
 
 
 def test_codec_equals_the_library(spark, library):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in ROWS], "doc_id long, text string, ids string, decoded int")
     got = sorted(map(tuple, bpe_codec.digests(bpe_codec.round_trip(docs)).collect()), key=repr)
+    assert bpe_codec.digests(bpe_codec.round_trip(docs.limit(0))).collect() == []
     ids = [library.encode_ordinary(t or "") for _, t in ROWS]
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert got == sorted(((i, len(x), sha(np.array(x, "<u4").tobytes()), sha((t or "").encode())) for (i, t), x in zip(ROWS, ids)), key=repr)

@@ -1,13 +1,20 @@
 """The pipeline's stages, each against a plain computation on its own input."""
 
+import base64
+import hashlib
 import re
 from collections import Counter
 
 import corpus_pipeline as C
+import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import tiktoken
 from test_jaccard_join import brute
 
-from kindred.llm import toxicity
+from kindred.llm import mixing, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,10 +39,17 @@ def test_stages_on_documents(spark):
     want = {i for i, _, c in brute([(r.doc_id, r.text) for r in two.collect()]) if i == c}
     assert three.columns == docs.columns and by_id(three) == {i: r for i, r in by_id(two).items() if i in want}
     four = C.written(stages["mixing"](spark, three, DATA), "four")
-    assert four.columns == docs.columns and set(by_id(four)) <= want
-    assert max(Counter(r.doc_id for r in four.collect()).values()) <= 5
-    five = stages["bpe"](spark, four, DATA)
-    assert sorted(r.doc_id for r in five.collect()) == sorted(r.doc_id for r in four.collect())
+    db = duckdb.connect()
+    db.register("documents", pa.table({c: [r[c] for r in three.collect()] for c in docs.columns}))
+    draws = Counter(r[0] for r in db.execute(f"SELECT doc_id FROM ({mixing.ORACLE})").fetchall())
+    assert four.columns == docs.columns and Counter(r.doc_id for r in four.collect()) == draws and set(draws) <= want
+    assert all(r == by_id(three)[r.doc_id] for r in four.limit(50).collect())
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(w): int(k) for w, k in (line.split() for line in open(path, "rb"))}
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    expected = [(r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode())) for r in four.collect() for ids in [library.encode_ordinary(r.text or "")]]
+    assert sorted(map(tuple, stages["bpe"](spark, four, DATA).collect())) == sorted(expected)
 
 
 def test_odd_rows_pass_through(spark, tmp_path):
