@@ -17,6 +17,7 @@ empty table gives an empty result. Extra columns are not read. A conversation is
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -125,7 +126,7 @@ def format_conversations(rows: DataFrame, path: str | None = None) -> DataFrame:
         rendered = [render(turns) for _, turns in group]
         ids, masks, chars = [], [], []
         for encoding, (_, spans) in zip(encoder(path).encode_batch([t for t, _ in rendered], add_special_tokens=False), rendered, strict=True):
-            mask, covered = masked(np.array(encoding.offsets, np.int64).reshape(-1, 2), spans)
+            mask, covered = masked(np.fromiter(itertools.chain.from_iterable(encoding.offsets), np.int64).reshape(-1, 2), spans)
             ids.append(np.array(encoding.ids, "<u4").tobytes())
             masks.append(mask.astype(np.uint8).tobytes())
             chars.append([x for span in covered for x in span])
