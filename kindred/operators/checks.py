@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import argparse
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import is_blank
@@ -18,20 +19,39 @@ EXAMPLES = 5
 FINDING = "rule string, severity string, n long, examples string"
 
 
-def finding(rule: str, severity: str, offenders: DataFrame, column: str) -> DataFrame:
-    """One row if there are offenders: how many distinct ones, and the first in order. The examples are a top-k, never a full list."""
-    names = offenders.select(F.col(column).cast("string").alias("x")).distinct()
-    total = names.agg(F.count(F.lit(1)).alias("n"))
-    some = names.orderBy("x").limit(EXAMPLES).agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("examples"))
-    return total.join(F.broadcast(some)).where("n > 0").select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "examples")
+class Part(NamedTuple):
+    """A rule, its severity, and a frame of what breaks it."""
 
+    rule: str
+    severity: str
+    offenders: DataFrame
+    column: str
 
-def row_rules(rows: DataFrame) -> DataFrame:
-    """Findings on rows (line, tab, s1_id, ids): C4 rows without a tab, C5 repeated rows, C6 repeated ids."""
+
+def findings(parts: list[Part], names: list[str] | None = None) -> DataFrame:
+    """A row for each rule (of each name, if the parts have some) that is broken: how many distinct offenders, and the first in order.
+
+    One pass for all rules. The examples are a top-k that each task cuts before the shuffle, never a full list.
+    """
+    key = ["name", "rule", "severity"]
+    every = [p.offenders.select(F.lit(n).alias("name"), F.lit(p.rule).alias("rule"), F.lit(p.severity).alias("severity"), F.col(p.column).cast("string").alias("x")) for p, n in zip(parts, names or [""] * len(parts), strict=True)]
+    distinct = reduce(DataFrame.unionByName, every).distinct()
+    total = distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    first = distinct.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("x"))).where(F.col("place") <= EXAMPLES)
+    some = first.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("examples"))
+    return total.join(some, key).select("rule", "severity", "n", "examples")
+
+
+def row_parts(rows: DataFrame) -> list[Part]:
     whole = rows.where("tab")
     repeated = whole.groupBy("s1_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     twice = whole.where(~is_blank(F.col("ids"))).where(F.size(F.split("ids", ",")) != F.size(F.array_distinct(F.split("ids", ","))))
-    return reduce(DataFrame.unionByName, [finding("C4", "error", rows.where(~F.col("tab") & ~is_blank(F.col("s1_id"))), "line"), finding("C5", "error", repeated, "s1_id"), finding("C6", "error", twice, "s1_id")])
+    return [Part("C4", "error", rows.where(~F.col("tab") & ~is_blank(F.col("s1_id"))), "line"), Part("C5", "error", repeated, "s1_id"), Part("C6", "error", twice, "s1_id")]
+
+
+def row_rules(rows: DataFrame) -> DataFrame:
+    """Findings on rows (line, tab, s1_id, ids): C4 rows without a tab, C5 repeated rows, C6 repeated ids."""
+    return findings(row_parts(rows))
 
 
 def listed_ids(rows: DataFrame) -> DataFrame:
@@ -44,19 +64,27 @@ def kind(c: Column) -> Column:
     return F.when(c.startswith("S1-"), "C7").when(~(c.startswith("S2-") | c.startswith("S3-")), "C8")
 
 
-def id_rules(rows: DataFrame, valid: DataFrame | None = None) -> DataFrame:
-    """C7, C8, and with `valid` (entity_id) C9: an id breaks one of them at most."""
+def id_parts(rows: DataFrame, valid: DataFrame | None = None) -> list[Part]:
     ids = listed_ids(rows).select("id").distinct().withColumn("rule", kind(F.col("id")))
-    found = [finding(r, "error", ids.where(F.col("rule") == r), "id") for r in ("C7", "C8")]
+    parts = [Part(r, "error", ids.where(F.col("rule") == r), "id") for r in ("C7", "C8")]
     if valid is not None:
-        found.append(finding("C9", "error", ids.where("rule is null").join(valid.select(F.col("entity_id").alias("id")), "id", "left_anti"), "id"))
-    return reduce(DataFrame.unionByName, found)
+        parts.append(Part("C9", "error", ids.where("rule is null").join(valid.select(F.col("entity_id").alias("id")), "id", "left_anti"), "id"))
+    return parts
+
+
+def id_rules(rows: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """C7, C8, and with `valid` (entity_id) C9: an id breaks one of them at most."""
+    return findings(id_parts(rows, valid))
+
+
+def entity_parts(rows: DataFrame, required: DataFrame) -> list[Part]:
+    seen, need = rows.where("tab").select("s1_id").distinct(), required.select(F.col("entity_id").alias("s1_id")).distinct()
+    return [Part("C10", "error", need.join(seen, "s1_id", "left_anti"), "s1_id"), Part("C11", "error", seen.join(need, "s1_id", "left_anti"), "s1_id")]
 
 
 def entity_rules(rows: DataFrame, required: DataFrame) -> DataFrame:
     """C10 required entities (entity_id) without a row, C11 rows of others."""
-    seen, need = rows.where("tab").select("s1_id").distinct(), required.select(F.col("entity_id").alias("s1_id")).distinct()
-    return finding("C10", "error", need.join(seen, "s1_id", "left_anti"), "s1_id").unionByName(finding("C11", "error", seen.join(need, "s1_id", "left_anti"), "s1_id"))
+    return findings(entity_parts(rows, required))
 
 
 def last_lists(rows: DataFrame) -> DataFrame:
@@ -65,9 +93,13 @@ def last_lists(rows: DataFrame) -> DataFrame:
     return listed_ids(last).distinct()
 
 
+def subset_part(matching: DataFrame, candidates: DataFrame) -> Part:
+    return Part("C12", "warning", last_lists(matching).join(last_lists(candidates), ["s1_id", "id"], "left_anti"), "s1_id")
+
+
 def subset_rule(matching: DataFrame, candidates: DataFrame) -> DataFrame:
     """Entities with a match that is not among their candidates."""
-    return finding("C12", "warning", last_lists(matching).join(last_lists(candidates), ["s1_id", "id"], "left_anti"), "s1_id")
+    return findings([subset_part(matching, candidates)])
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -94,7 +126,8 @@ def header_findings(spark: SparkSession, path: str, expected: tuple[str, str]) -
 def validate(spark: SparkSession, matching: str, candidates: str | None, folder: str, check_ids: bool = False) -> DataFrame:
     """All findings on a matching file and, if it is there, a candidate file, against the test sources in a folder."""
     notes: list[tuple[str, str, int, str]] = []
-    frames: list[DataFrame] = []
+    parts: list[Part] = []
+    names: list[str] = []
     files = tsv.paths(folder, "test")
     valid = None
     if not tsv.exists(spark, files["source1"]):
@@ -120,10 +153,12 @@ def validate(spark: SparkSession, matching: str, candidates: str | None, folder:
             notes += bad
             continue
         rows[name] = tsv.result_rows(tsv.lines(spark, path)).persist()
-        frames += [row_rules(rows[name]), id_rules(rows[name], valid), entity_rules(rows[name], required)]
+        parts += [*row_parts(rows[name]), *id_parts(rows[name], valid), *entity_parts(rows[name], required)]
+        names += [name] * (len(parts) - len(names))
     if len(rows) == 2:
-        frames.append(subset_rule(rows["matching"], rows["candidates"]))
-    found = reduce(DataFrame.unionByName, [spark.createDataFrame(notes, FINDING), *frames]).collect()  # a row for each rule and file at most
+        parts.append(subset_part(rows["matching"], rows["candidates"]))
+        names.append("both")
+    found = [*notes, *(findings(parts, names).collect() if parts else [])]  # a row for each rule and file at most
     for r in rows.values():
         r.unpersist()
     return spark.createDataFrame(found, FINDING)

@@ -285,7 +285,7 @@ def on_documents(name: str, make, sql: str) -> None:
 on_documents("N2_lowercase", lambda c: F.lower(T.fold(c)), f"lower({O.fold('text')})")
 on_documents("N3_ampersand", T.spell_ampersand, "replace(text, '&', ' and ')")
 on_documents("N4_leading_punctuation", lambda c: T.strip_leading(T.fold(c)), rf"regexp_replace({O.fold('text')}, '^[^\w]+', '')")
-on_documents("N5_punctuation", T.blank_punctuation, f"translate(text, {O.q(T.PUNCTUATION)}, {O.q(' ' * len(T.PUNCTUATION))})")
+on_documents("N5_punctuation", T.blank_punctuation, f"translate(text, {O.q(O.PUNCTUATION)}, {O.q(' ' * len(O.PUNCTUATION))})")
 on_documents("N6_white_space", lambda c: T.collapse(T.fold(c)), rf"trim(regexp_replace({O.fold('text')}, '\s+', ' ', 'g'))")
 one_field("N7_normalized_name", "normalized_name")
 one_field("N8_tokens", "name_tokens", True)
@@ -594,7 +594,13 @@ def _(spark, d):
     return folds.hash_folds(truth(spark, d), "s1_id")
 
 
-@query("V1_balanced_folds")
+GREEDY = f"""WITH RECURSIVE t AS ({demo.plain(demo.TRUTH)}), g AS (SELECT row_number() OVER (ORDER BY size DESC) AS k, size FROM (SELECT count(*) AS size FROM t GROUP BY s1_id)),
+r AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load UNION ALL
+  SELECT g.k, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + size ELSE x END) FROM r JOIN g ON g.k = r.k + 1)
+SELECT unnest(range(5))::INTEGER AS fold, unnest(load)::BIGINT AS rows FROM r WHERE k = (SELECT count(*) FROM g)"""
+
+
+@query("V1_balanced_folds", GREEDY)
 def _(spark, d):
     return folds.balanced_folds(truth(spark, d), "s1_id").groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -674,13 +680,21 @@ def _(spark, d):
     return spark.createDataFrame([(f[0],) for f in found], "rule string")
 
 
-@query("C13_15_whole_check")
-def _(spark, d):
-    folder, matching = scratch(spark, "test"), scratch(spark, "matching")
-    for k, where in ((1, "source = 'S1'"), (2, "source = 'S2'"), (3, "source = 'S3'")):
-        records(spark, d).where(where).select("entity_id", "business_name", "business_address", "country").write.options(sep="\t", header=True).csv(f"{folder}/test_source{k}.tsv")
-    tsv.write_results(truth_lists(spark, d), matching)
-    return checks.validate(spark, matching, f"{matching}-none", folder, check_ids=True)
+@query("C13_15_whole_check", "SELECT * FROM (VALUES ('no candidates', 'C13', 'warning', true), ('an entity left out', 'C10', 'error', false), ('an entity left out', 'C14', 'warning', false)) t(run, rule, severity, pass)")
+def _(spark, d):
+    folder, whole, part, listed = (scratch(spark, x) for x in ("test", "matching", "matching", "candidates"))
+    for k in (1, 2, 3):
+        records(spark, d).where(f"source = 'S{k}'").select("entity_id", "business_name", "business_address", "country").write.options(sep="\t", header=True).csv(f"{folder}/test_source{k}.tsv")
+    lists = truth_lists(spark, d)
+    tsv.write_results(lists, whole)
+    tsv.write_results(lists.where("source1_entity_id <> 'S1-C1'"), part)
+    tsv.write_results(lists.withColumnRenamed("matched_entity_ids", "candidate_entity_ids"), listed)
+    out = []
+    for run, matching, candidates_, ids in (("no candidates", whole, f"{whole}-none", True), ("an entity left out", part, listed, False)):
+        found = checks.validate(spark, matching, candidates_, folder, ids).collect()
+        passed = all(r.severity != "error" for r in found)
+        out += [(run, r.rule, r.severity, passed) for r in found]
+    return spark.createDataFrame(out, "run string, rule string, severity string, pass boolean")
 
 
 @query("stream_golden_join", O.over("SELECT s1_id, match_id FROM golden", O.GOLDEN))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from kindred.functions.text import EXPANSIONS, LATIN_FROM, LATIN_TO, LEGAL_FORMS, PUNCTUATION, STREET_WORDS
 from kindred.sources import demo
 
+# Fixed values, written out here once more so that a slip in the engine's own tables shows.
+LONGER = "ß ss æ ae Æ AE œ oe Œ OE þ th Þ Th ĳ ij Ĳ IJ ŉ 'n"
+PLAIN = "øoØOđdĐDðdÐDłlŁLħhĦHıiŧtŦTĸkŋnŊN’'‘'“\"”\"–-—-… \xa0 ªaºo"
+FORMS = "corp corporation inc incorporated ltd limited pvt private llc llp sarl sas co"
+STREET = "rd road st street ave avenue blvd boulevard dr drive ln lane ct court pkwy parkway sq square pl place hwy highway"
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+
 q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
 def fold(x: str) -> str:
-    for a, b in EXPANSIONS.items():
+    parts = LONGER.split()
+    for a, b in zip(parts[::2], parts[1::2], strict=True):
         x = f"replace({x}, {q(a)}, {q(b)})"
-    return f"translate({x}, {q(LATIN_FROM)}, {q(LATIN_TO)})"
+    return f"strip_accents(translate({x}, {q(PLAIN[::2])}, {q(PLAIN[1::2])}))"
 
 
 def clean(x: str, name: bool) -> str:
@@ -21,8 +28,8 @@ def clean(x: str, name: bool) -> str:
     return rf"trim(regexp_replace(translate({x}, {q(PUNCTUATION)}, {q(' ' * len(PUNCTUATION))}), '\s+', ' ', 'g'))"
 
 
-LEGAL = ", ".join(map(q, LEGAL_FORMS))
-STREETS = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in STREET_WORDS.items())
+LEGAL = ", ".join(map(q, FORMS.split()))
+STREETS = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in zip(STREET.split()[::2], STREET.split()[1::2], strict=True))
 BLANK = r"NOT regexp_matches({0}, '[^\s]')"
 
 NORMAL = rf"""

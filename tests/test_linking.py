@@ -245,3 +245,25 @@ def test_classifier_and_calibration(spark):
     assert hard.where("label = 1").count() == 100 and hard.count() < 400
     levels = [r.calibrated for r in model.calibrated(model.calibrator(scored), scored).orderBy("score").collect()]
     assert levels == sorted(levels) and 0 <= levels[0] and levels[-1] <= 1
+
+
+def test_calibration_equals_pooled_neighbours(spark):
+    """The isotonic fit against pool-adjacent-violators in plain Python."""
+    rng = random.Random(3)
+    points = [(k / 60, float(rng.random() < k / 60)) for k in range(60)]
+    pools = []
+    for x, y in points:
+        pools.append([y, 1, [x]])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            (m, n, xs), (k, w, more) = pools[-2:]
+            pools[-2:] = [[(m * n + k * w) / (n + w), n + w, xs + more]]
+    want = {x: m for m, _, xs in pools for x in xs}
+    df = spark.createDataFrame(points, "score double, label double")
+    got = {r.score: r.calibrated for r in model.calibrated(model.calibrator(df), df).collect()}
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_phonetic_channel(spark):
+    left = normalize(spark.createDataFrame([("S1-1", "Smith Phone", "", "IT"), ("S1-2", "Other", "", "IT"), ("S1-3", "", "", "IT")], "entity_id string, business_name string, business_address string, country string"))
+    right = normalize(spark.createDataFrame([("S2-1", "Smyth Fone", "", "IT"), ("S2-2", "Smith Phone", "", "US"), ("S2-3", None, "", "IT")], "entity_id string, business_name string, business_address string, country string"))
+    assert [(r.s1_id, r.match_id) for r in blocking.phonetic_channel(left, right).collect()] == [("S1-1", "S2-1")]
