@@ -11,8 +11,9 @@ from pyspark.sql.types import DoubleType
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Common elements over all elements, as sets; 0 of two empty arrays (F1)."""
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+    """Common elements over all elements of two arrays without repeats; 0 of two empty ones (F1)."""
+    common = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(common, F.size(a) + F.size(b) - common), F.lit(0.0))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -67,8 +68,8 @@ def acronym_match(a_words: Column, b_words: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Common elements over the smaller set; 0 if one is empty."""
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))), F.lit(0.0))
+    """Common elements over the smaller of two arrays without repeats; 0 if one is empty."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))), F.lit(0.0))
 
 
 def same_known(a: Column, b: Column) -> Column:

@@ -43,15 +43,16 @@ def read_by(names: tuple[str, ...]) -> tuple[str, ...]:
 def features(pairs: DataFrame, left: DataFrame, right: DataFrame, names: tuple[str, ...] = (*NATIVE, "jaro_winkler")) -> DataFrame:
     """s1_id, match_id and the named features of each pair (F1 to F3, F5 to F7). Only the fields that they read travel."""
     fields = read_by(names)
-    side = lambda df, ident, x: df.select(F.col("entity_id").alias(ident), F.struct(*fields).alias(x))
+    sets = [F.array_distinct(f).alias(f"{f}_set") for f in fields if f in ("name_tokens_no_suffix", "name_char_ngrams", "address_tokens")]  # once a record, not once a pair
+    side = lambda df, ident, x: df.select(F.col("entity_id").alias(ident), F.struct(*fields, *sets).alias(x))
     both = pairs.select("s1_id", "match_id").join(side(left, "s1_id", "a"), "s1_id").join(side(right, "match_id", "b"), "match_id")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     made: dict = {
-        "token_jaccard": S.jaccard(a("name_tokens_no_suffix"), b("name_tokens_no_suffix")),
-        "gram_jaccard": S.jaccard(a("name_char_ngrams"), b("name_char_ngrams")),
+        "token_jaccard": S.jaccard(a("name_tokens_no_suffix_set"), b("name_tokens_no_suffix_set")),
+        "gram_jaccard": S.jaccard(a("name_char_ngrams_set"), b("name_char_ngrams_set")),
         "edit": S.edit_similarity(a("normalized_name"), b("normalized_name")),
         "acronym": S.acronym_match(a("name_tokens_no_suffix"), b("name_tokens_no_suffix")),
-        "address_overlap": S.overlap(a("address_tokens"), b("address_tokens")),
+        "address_overlap": S.overlap(a("address_tokens_set"), b("address_tokens_set")),
         "same_postal": S.same_known(a("postal_code_guess"), b("postal_code_guess")),
         "same_city": S.same_known(a("city_guess"), b("city_guess")),
         "same_number": S.same_known(a("street_number_guess"), b("street_number_guess")),
