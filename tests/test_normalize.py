@@ -110,3 +110,13 @@ def test_jaro_winkler_known_values():
 def test_long_grams(spark):
     df = spark.createDataFrame([("ab",), ("",), ("a",)], "t string")
     assert [r[0] for r in df.select(T.char_grams(F.col("t"), 5)).collect()] == [[" ab "], [], [" a "]]
+
+
+def test_functions_in_sql(spark):
+    from kindred.functions import sql
+
+    assert len(sql.register(spark)) == 7
+    row = spark.sql("""SELECT to_ascii('Café') AS a, double_metaphone('smith') AS b, round(jaro_winkler('martha', 'marhta'), 3) AS c, f_beta(2, 1, 1, 0.5) AS d, f_beta(0, 0, 0, 1) AS e, f_beta(1, 1, 0, 1) AS f,
+      edit_similarity('abc', 'abd') AS g, edit_similarity('', '') AS h, set_jaccard(array('a', 'b'), array('b', 'b', 'c')) AS i, set_jaccard(array(), array()) AS j, id_list(' S2-1 ,S2-2,,S2-1') AS k""").first()
+    assert tuple(row)[:3] == ("Cafe", "SM0", 0.961) and abs(row.d - 0.625 / 0.75) < 1e-12 and (row.e, row.f) == (1.0, 0.0)
+    assert abs(row.g - 2 / 3) < 1e-12 and row.h == 1.0 and abs(row.i - 1 / 3) < 1e-12 and row.j == 0.0 and row.k == ["S2-1", "S2-2"]
