@@ -73,21 +73,27 @@ def place_channel(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
     return on_key(keyed(left, key), keyed(right, key), field)
 
 
-def city_channel(left: DataFrame, right: DataFrame, field: str = "city_guess", most: int = MOST_RECORDS) -> DataFrame:
-    """Records of one country and city (J11); in a city of more than `most` records of the right side, those that also share a word of the name."""
-    key = F.when(F.col(field) != "", F.concat_ws("|", "country", field))
-    side = lambda df: df.select("entity_id", key.alias("place"), name_words(F.col("name_tokens_no_suffix")).alias("words")).where("place is not null")
+def refined(left: DataFrame, right: DataFrame, key: Column, words: Column, channel: str, most: int = MOST_RECORDS) -> DataFrame:
+    """Records that share a key; under a key of more than `most` records of the right side, those that also share one of their words, or of which one has no word."""
+    side = lambda df: df.select("entity_id", key.alias("coarse"), words.alias("words")).where(F.col("coarse").isNotNull() & (F.col("coarse") != ""))
     a, b = side(left), side(right)
-    large = b.groupBy("place").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("place")
-    small = on_key(keyed(a, F.col("place")), keyed(b.join(large, "place", "left_anti"), F.col("place")), field)
-    finer = lambda df: keyed(df.select("entity_id", F.explode(F.transform("words", lambda w: F.concat_ws("|", "place", w))).alias("key")), F.col("key"))
-    return small.unionByName(on_key(finer(a), finer(b.join(large, "place", "left_semi")), field))
+    large = b.groupBy("coarse").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("coarse")
+    few, many = b.join(large, "coarse", "left_anti"), b.join(large, "coarse", "left_semi")
+    plain = lambda df: keyed(df, F.col("coarse"))
+    finer = lambda df: keyed(df.select("entity_id", F.explode(F.transform("words", lambda w: F.concat_ws("|", "coarse", w))).alias("key")), F.col("key"))
+    blank = F.size("words") == 0
+    found = (on_key(plain(a), plain(few), channel), on_key(plain(a), plain(many.where(blank)), channel), on_key(plain(a.where(blank)), plain(many.where(~blank)), channel), on_key(finer(a), finer(many), channel))
+    return reduce(DataFrame.unionByName, found)
+
+
+def city_channel(left: DataFrame, right: DataFrame, field: str = "city_guess", most: int = MOST_RECORDS) -> DataFrame:
+    """Records of one country and city; in a large city, those that share a word of the name, too."""
+    return refined(left, right, F.when(F.col(field) != "", F.concat_ws("|", "country", field)), name_words(F.col("name_tokens_no_suffix")), field, most)
 
 
-def phonetic_channel(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Records whose names sound alike in one country."""
-    key = F.when(F.col("name_phonetic") != "", F.concat_ws("|", "country", "name_phonetic"))
-    return on_key(keyed(left, key), keyed(right, key), "phonetic")
+def phonetic_channel(left: DataFrame, right: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
+    """Records whose names sound alike in one country; of a frequent sound, those that share a word of the address, too."""
+    return refined(left, right, F.when(F.col("name_phonetic") != "", F.concat_ws("|", "country", "name_phonetic")), F.array_distinct("address_tokens"), "phonetic", most)
 
 
 #: Hashes of grams are 32 bits of an md5; row r's is (hash * (2 * r * r + 7919 * r + 104729) + 15485863 * r) modulo this prime.

@@ -411,7 +411,7 @@ def _(spark, d):
 
 @query("J12_phonetic_channel")
 def _(spark, d):
-    return blocking.phonetic_channel(*sides(spark, d, ("country", "name_phonetic")))
+    return blocking.phonetic_channel(*sides(spark, d, ("country", "name_phonetic", "address_tokens")))
 
 
 EVERY = f"""every AS (SELECT s1_id, match_id, list(channel) AS channels FROM ({channel("token", "token")} UNION ALL {channel("postal_code_guess", "place")} UNION ALL {channel("minhash", "minhash")} UNION ALL {channel("city_guess", "city")}) GROUP BY ALL)"""

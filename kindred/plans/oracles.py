@@ -80,7 +80,7 @@ token AS (SELECT a.entity_id AS s1_id, b.entity_id AS match_id FROM words a JOIN
 PLACE = f"place AS ({place_pairs('postal_code_guess')})"
 CITY = f"""towns AS (SELECT source, entity_id, country || '|' || city_guess AS town, {NAME_WORDS} AS words FROM n WHERE city_guess <> ''),
 large AS (SELECT town FROM towns WHERE source <> 'S1' GROUP BY 1 HAVING count(*) > 50),
-city AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM towns a JOIN towns b USING (town) WHERE a.source = 'S1' AND b.source <> 'S1' AND (town NOT IN (SELECT town FROM large) OR list_has_any(a.words, b.words)))"""
+city AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS match_id FROM towns a JOIN towns b USING (town) WHERE a.source = 'S1' AND b.source <> 'S1' AND (town NOT IN (SELECT town FROM large) OR list_has_any(a.words, b.words) OR len(a.words) = 0 OR len(b.words) = 0))"""
 WHOLE = "normalized_name || ' ' || normalized_address"
 # the arithmetic of the rows' hashes, written out
 LEAST = "list_min(list_transform(h, lambda x: (x * ((2 * {0} * {0} + 7919 * {0} + 104729) % 2147483647) + (15485863 * {0}) % 2147483647) % 2147483647))"

@@ -152,8 +152,12 @@ def test_pairs_of_words_and_cities(spark):
     right = records(spark, [("S2-1", "Zeta Beta", "9 Hill Rd, Rome, 30003", "IT"), ("S2-2", "Other and Name", "9 Hill Rd, Rome, 30003", "IT"), ("S2-3", None, "9 Hill Rd, Rome, 30003", "IT")])
     ids = lambda df: sorted((r.s1_id, r.match_id) for r in df.collect())
     assert ids(blocking.city_channel(left, right)) == [(a, b) for a in ("S1-1", "S1-2") for b in ("S2-1", "S2-2", "S2-3")]
-    assert ids(blocking.city_channel(left, right, most=2)) == [("S1-1", "S2-1")]
-    assert ids(blocking.phonetic_channel(*[df.withColumn("name_phonetic", F.substring("normalized_name", 1, 2)) for df in (left, right)])) == []
+    assert ids(blocking.city_channel(left, right, most=2)) == [("S1-1", "S2-1"), ("S1-1", "S2-3"), ("S1-2", "S2-3")]  # a nameless record meets the whole city
+    sounds = [df.withColumn("name_phonetic", F.lit("X")) for df in (left, right)]
+    assert len(ids(blocking.phonetic_channel(*sounds))) == 6
+    assert ids(blocking.phonetic_channel(*sounds, most=2)) == ids(blocking.phonetic_channel(*sounds))  # all have the word "rome"
+    apart = [sounds[0].withColumn("address_tokens", F.array("entity_id")), sounds[1].withColumn("address_tokens", F.when(F.col("entity_id") == "S2-1", F.array()).when(F.col("entity_id") == "S2-2", F.array(F.lit("S1-2"))).otherwise(F.array(F.lit("z"))))]
+    assert ids(blocking.phonetic_channel(*apart, most=2)) == [("S1-1", "S2-1"), ("S1-2", "S2-1"), ("S1-2", "S2-2")]
 
 
 def test_whole_linkage(spark):
