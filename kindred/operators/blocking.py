@@ -26,9 +26,10 @@ def on_key(left: DataFrame, right: DataFrame, channel: str) -> DataFrame:
 
 
 def rare_keys(keys: DataFrame, most: int) -> DataFrame:
-    """The keys of at most `most` records. A key's size is counted with a map-side combine; sizes meet keys in a shuffle join of their own."""
-    rare = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= most).select("key")
-    return keys.join(rare, "key", "left_semi")
+    """The keys of at most `most` records. A key's size is counted with a map-side combine; with a second key made of the first, both sides of the join get an exchange, and a hot key can be split."""
+    again = F.xxhash64("key").alias("again")
+    rare = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= most).select("key", again)
+    return keys.select("*", again).join(rare, ["key", "again"], "left_semi").drop("again")
 
 
 def name_words(words: Column) -> Column:
