@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import blocking, decide, evaluate, folds, model, pairs
+from kindred.operators import blocking, classes, decide, evaluate, folds, model, pairs
 from kindred.operators import link as link_all
 from kindred.operators.golden import golden_join, golden_match
 from kindred.operators.normalize import normalize
@@ -271,3 +271,26 @@ def test_phonetic_channel(spark):
     left = normalize(spark.createDataFrame([("S1-1", "Smith Phone", "", "IT"), ("S1-2", "Other", "", "IT"), ("S1-3", "", "", "IT")], "entity_id string, business_name string, business_address string, country string"))
     right = normalize(spark.createDataFrame([("S2-1", "Smyth Fone", "", "IT"), ("S2-2", "Smith Phone", "", "US"), ("S2-3", None, "", "IT")], "entity_id string, business_name string, business_address string, country string"))
     assert [(r.s1_id, r.match_id) for r in blocking.phonetic_channel(left, right).collect()] == [("S1-1", "S2-1")]
+
+
+def test_pairs_of_classes(spark):
+    """Large groups of copies are few pairs of classes; their members have the pairs, thresholds and lists of the records themselves."""
+    left = records(spark, [*[(f"S1-{k:02}", "Alpha Beta", "", "IT") for k in range(30)], ("S1-90", "Gamma Delta", "", "IT"), ("S1-91", "Gamma Delta", "2 Oak Ave, Pisa 20002", "IT")])
+    right = records(spark, [*[(f"S2-{k:02}", "Alpha Beta", "", "IT") for k in range(60)], *[(f"S3-{k}", "Gamma Delta", "", "IT") for k in range(3)], ("S3-9", "Gamma Beta", "2 Oak Ave, Pisa 20002", "IT")])
+    fields = ("name_tokens_no_suffix", "normalized_name", "address_tokens")
+    a, b = (classes.classed(df, fields) for df in (left, right))
+    g = classes.Classes(classes.representatives(a), classes.representatives(b), classes.members(a), classes.members(b))
+    assert sorted(map(tuple, g.right.select("entity_id", "size").collect())) == [("S2-00", 60), ("S3-0", 3), ("S3-9", 1)]
+    got = lambda df: sorted(map(tuple, df.collect()))
+    found, plain = (blocking.token_channel(x, y, blocking.all_words(), most=3).localCheckpoint() for x, y in ((g.left, g.right), (left, right)))
+    assert found.count() <= 9 and got(classes.for_members(found, g.of_left, g.of_right)) == got(plain)
+    one = pairs.features(found, g.left, g.right, ("gram_jaccard", "address_overlap"))
+    each = pairs.features(plain, left, right, ("gram_jaccard", "address_overlap"))
+    assert got(classes.for_members(one, g.of_left, g.of_right)) == got(each)
+    score = F.col("gram_jaccard").alias("score")
+    one, each = classes.for_left(one.select("s1_id", "match_id", score), g.of_left), each.select("s1_id", "match_id", score)
+    every, truth = left.select(F.col("entity_id").alias("s1_id")), pair_table(spark, {"S1-01": ["S2-01", "S2-07"], "S1-90": ["S3-1", "S3-9"]})
+    assert got(decide.lists(every, one, of=g.of_right)) == got(decide.lists(every, each))
+    assert got(decide.thresholds(one, truth, every, [0.1, 0.5, 0.9], of=g.of_right)) == got(decide.thresholds(each, truth, every, [0.1, 0.5, 0.9]))
+    plain = {tuple(r) for r in pairs.weights(left).collect()}
+    assert {tuple(r) for r in pairs.weights(g.left).collect()} <= plain
