@@ -294,3 +294,17 @@ def test_pairs_of_classes(spark):
     assert got(decide.thresholds(one, truth, every, [0.1, 0.5, 0.9], of=g.of_right)) == got(decide.thresholds(each, truth, every, [0.1, 0.5, 0.9]))
     plain = {tuple(r) for r in pairs.weights(left).collect()}
     assert {tuple(r) for r in pairs.weights(g.left).collect()} <= plain
+
+
+def test_token_channel_in_parts(spark):
+    """Pairs of words in many parts, one on disk at a time, find what they find at once."""
+    row = spark.createDataFrame([(["c", "a", "b", "d"],)], "w array<string>")
+    each = [row.select(F.explode(blocking.couples(F.col("w"), k, 3)).alias("x")).collect() for k in range(3)]
+    assert sorted(r.x for rows in each for r in rows) == ["a b", "a c", "a d", "b c", "b d", "c d"]
+    left = records(spark, [("S1-1", "Alpha Beta Gamma", "", "IT"), ("S1-2", "Alpha Beta Delta", "", "IT"), ("S1-3", "Gamma Delta", "", "IT")])
+    right = records(spark, [*[(f"S2-{k}", "Alpha Beta Gamma", "", "IT") for k in range(3)], *[(f"S3-{k}", "Beta Delta", "", "IT") for k in range(2)], ("S3-9", "Gamma Delta", "", "IT")])
+    kept = []
+    plain = blocking.token_channel(left, right, most=2)
+    parts = blocking.token_channel(left, right, most=2, keep=lambda df: kept.append(df) or df, at_once=3)
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(parts) == got(plain) != [] and len(kept) > 4
