@@ -308,3 +308,13 @@ def test_token_channel_in_parts(spark):
     parts = blocking.token_channel(left, right, most=2, keep=lambda df: kept.append(df) or df, at_once=3)
     got = lambda df: sorted(map(tuple, df.collect()))
     assert got(parts) == got(plain) != [] and len(kept) > 4
+
+
+def test_recall_and_union_by_class(spark):
+    """Sums over pairs of classes, and their members' pairs, are those of the records."""
+    data = "/root/testdata/sf0.001"
+    g = catalog.grouped(spark, data, catalog.ALL_FIELDS)
+    plain = catalog.every_channel(*catalog.sides(spark, data, catalog.ALL_FIELDS)).localCheckpoint()
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(catalog.recall_by_class(spark, g, catalog.truth(spark, data))) == got(blocking.channel_recall(plain, catalog.truth(spark, data)))
+    assert got(catalog.union_by_class(spark, g)) == got(plain.withColumn("channels", F.array_join("channels", "|")))
