@@ -318,3 +318,11 @@ def test_recall_and_union_by_class(spark):
     got = lambda df: sorted(map(tuple, df.collect()))
     assert got(catalog.recall_by_class(spark, g, catalog.truth(spark, data))) == got(blocking.channel_recall(plain, catalog.truth(spark, data)))
     assert got(catalog.union_by_class(spark, g)) == got(plain.withColumn("channels", F.array_join("channels", "|")))
+
+
+def test_cosine_of_few_names(spark, monkeypatch):
+    """Only pairs of different names are weighed, however many records have them."""
+    data, seen, real = "/root/testdata/sf0.001", [], pairs.cosine
+    monkeypatch.setattr(pairs, "cosine", lambda p, a, b: seen.append(p.count()) or real(p, a, b))
+    n = catalog.QUERIES["F4_cosine"](spark, data).count()
+    assert sum(seen) < n / 4
