@@ -326,3 +326,27 @@ def test_cosine_of_few_names(spark, monkeypatch):
     monkeypatch.setattr(pairs, "cosine", lambda p, a, b: seen.append(p.count()) or real(p, a, b))
     n = catalog.QUERIES["F4_cosine"](spark, data).count()
     assert sum(seen) < n / 4
+
+
+@pytest.mark.parametrize("name", ["F2_levenshtein"])
+def test_members_leave_without_a_shuffle(spark, monkeypatch, name):
+    """The last step only writes out packed rows, a part of the pairs each; its rows are those of the SQL (test_entry)."""
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "PAIRS_AT_ONCE", 2000)
+    out = catalog.QUERIES[name](spark, data)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = catalog.union(*catalog.sides(spark, data, catalog.WORDS + catalog.PLACES))
+    assert out.count() == whole.count() > 2000 and out.select("s1_id", "match_id").exceptAll(whole.select("s1_id", "match_id")).isEmpty()
+
+
+def test_packed_rows(spark, monkeypatch):
+    """Large classes on both sides, in rows of few ids, give each pair of members once."""
+    monkeypatch.setattr(classes, "CHUNK", 2)
+    of = lambda ids: spark.createDataFrame([(c, f"{c}{k}", k) for c, n in ids.items() for k in range(1, n + 1)], "class_id string, entity_id string, place int")
+    of_left, of_right = of({"a": 5, "b": 1, "c": 3}), of({"x": 4, "y": 1})
+    found = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 0.1), ("c", "y", 0.2)], "s1_id string, match_id string, score double")
+    ids = classes.with_ids(spark.createDataFrame([("a",), ("b",), ("c",)], "entity_id string"), of_left)
+    rows = classes.packed(found.join(ids.withColumnRenamed("entity_id", "s1_id"), "s1_id").select("match_id", "ids", "score"), of_right)
+    assert all(len(r.lefts) <= 2 and len(r.others) <= 2 for r in rows.collect())
+    got = lambda df: sorted(map(tuple, df.select("s1_id", "match_id", "score").collect()))
+    assert got(classes.unpacked(rows)) == got(classes.for_members(found, of_left, of_right)) and classes.unpacked(rows).count() == 27
