@@ -328,7 +328,7 @@ def test_cosine_of_few_names(spark, monkeypatch):
     assert sum(seen) < n / 4
 
 
-@pytest.mark.parametrize("name", ["F2_levenshtein", "F3_jaro_winkler", "F5_acronym", "F6_address_overlap"])
+@pytest.mark.parametrize("name", ["F2_levenshtein", "F3_jaro_winkler", "F5_acronym", "F6_address_overlap", "F6_same_city"])
 def test_members_leave_without_a_shuffle(spark, monkeypatch, name):
     """The last step only writes out packed rows, a part of the pairs each; its rows are those of the SQL (test_entry)."""
     data = "/root/testdata/sf0.001"
