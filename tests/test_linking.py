@@ -350,3 +350,22 @@ def test_packed_rows(spark, monkeypatch):
     assert all(len(r.lefts) <= 2 and len(r.others) <= 2 for r in rows.collect())
     got = lambda df: sorted(map(tuple, df.select("s1_id", "match_id", "score").collect()))
     assert got(classes.unpacked(rows)) == got(classes.for_members(found, of_left, of_right)) and classes.unpacked(rows).count() == 27
+
+
+def test_minhash_by_class(spark, monkeypatch):
+    """Each pair leaves once, from the first band that it agrees in, and the last step shuffles nothing, in rows of few ids, too."""
+    data, fields = "/root/testdata/sf0.001", ("normalized_name", "normalized_address")
+    monkeypatch.setattr(classes, "CHUNK", 3)
+    out = catalog.QUERIES["J10_minhash_channel"](spark, data)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    plain = catalog.minhash(*catalog.sides(spark, data, fields))
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(out) == got(plain) != []
+
+
+def test_minhash_where_ids_repeat(spark, monkeypatch):
+    """A repeated id has the pairs of all its rows, each once."""
+    rows = [("S1-1", "S1", "Alpha Beta Gamma", "2 Oak Ave, Pisa 20002", "IT"), ("S1-1", "S1", "Alpha Beta Gamma", "2 Oak Ave., Pisa 20002", "IT"), ("S2-1", "S2", "Alpha Beta Gamma", "2 Oak Ave, Pisa 20002", "IT")]
+    feeds = spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string")
+    monkeypatch.setattr(catalog, "records", lambda spark, d: feeds)
+    assert [tuple(r) for r in catalog.QUERIES["J10_minhash_channel"](spark, "").collect()] == [("S1-1", "S2-1", "minhash")]
