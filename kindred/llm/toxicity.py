@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import wordhash
-from kindred.llm.common import in_arrow, slices, utf8
+from kindred.llm.common import in_arrow, release, slices, utf8
 
 #: Labelled documents that training reads at most, and bytes of their texts.
 TRAIN_ROWS, TRAIN_TEXT = 6000, 32 << 20
@@ -286,17 +286,18 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """A model from labelled whole texts."""
     if not len(texts) or toxic.min() == toxic.max():
         return Model([], None)
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = lambda k: texts[k].encode("utf-8", "surrogatepass")  # noqa: E731  a chunk's at a time, as the driver has little room
     chunks, size = [[] for _ in range(FOLDS)], [TRAIN_BYTES] * FOLDS
-    for k, d in enumerate(data):  # a few hundred documents of one fold at a time
+    for k in range(len(texts)):  # a few hundred documents of one fold at a time
         if size[k % FOLDS] >= TRAIN_BYTES:
             chunks[k % FOLDS].append([])
             size[k % FOLDS] = 0
         chunks[k % FOLDS][-1].append(k)
-        size[k % FOLDS] += len(d)
+        size[k % FOLDS] += len(data(k))
 
     def words_of(chunk: list[int]) -> Words:
-        return read(np.frombuffer(b"".join(data[k] for k in chunk), np.uint8), np.concatenate([[0], np.cumsum([len(data[k]) for k in chunk])]).astype(np.int64))
+        own = [data(k) for k in chunk]
+        return read(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in own])]).astype(np.int64))
 
     per_fold, in_documents = [], [np.zeros(1 << VECTOR_BITS, np.int64) for _ in range(3)]
     for fold in chunks:
@@ -309,6 +310,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
                 text = np.repeat(np.arange(len(words.counts)), words.counts)
                 for k, total in enumerate(in_documents):
                     total += np.bincount(np.unique((text << VECTOR_BITS) | words.vectors[:, k]) & ((1 << VECTOR_BITS) - 1), minlength=1 << VECTOR_BITS)
+                release()
             per_fold.append(sums)
     total = reduce(lambda x, y: [a + b for a, b in zip(x, y, strict=True)], per_fold)
     share = float(toxic.mean())
@@ -327,6 +329,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             vectors.append(gathered(words.vectors, first[pick], size[pick])[0])
             masks.append(mask[:, pick])
             ys.append(toxic[chunk][text[pick]])
+            release()
+    per_fold.clear()
     network = Network()
     network.fit(*(np.concatenate(p, axis=1) for p in (counted, vectors)), [n >= KNOWN for n in in_documents], np.concatenate(masks, axis=1), np.concatenate(ys).astype(np.float32))
     return Model(_evidence(total, share), network)
@@ -349,7 +353,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes
     wanted = docs.sparkSession.createDataFrame(taken, texts.select("id", "of").schema)
     found = texts.join(F.broadcast(wanted), ["id", "of"]).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "toxic").toArrow()
     found = found.sort_by([("id", "ascending"), ("text", "ascending")])
-    return fit(found.column("text").to_pylist(), np.array(found.column("toxic").to_pylist(), np.int64))
+    whole, toxic = found.column("text").to_pylist(), np.array(found.column("toxic").to_pylist(), np.int64)
+    del found
+    model = fit(whole, toxic)
+    del whole
+    release()  # the driver goes on, and the JVM beside it
+    return model
 
 
 def score(docs: DataFrame, model: Model, parts: int = 4, part: int = 2) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import math
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 
 from kindred.llm import toxicity as T
+from kindred.llm.common import release
 
 
 def labelled(n, seed):
@@ -125,6 +128,18 @@ def test_training_rows_are_bounded(spark, monkeypatch):
     assert every == ["other text" if k == 1 else texts[k] for k in ids] and marks.tolist() == [toxic[k] for k in ids]
 
 
+def test_training_gives_memory_back(spark):
+    """What stays with the driver is the model, some 6 MB, and not what training has used."""
+    texts, toxic = labelled(2000, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").localCheckpoint()
+    labels = spark.createDataFrame([(k, 1, int(y)) for k, y in enumerate(toxic)], "doc_id long, quality int, toxic int").localCheckpoint()
+    used = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    release()
+    before = used()
+    model = T.train(docs, labels)
+    assert model.network and used() - before < 30
+
+
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 31, 32, 33, 48, 49, 1000])
     first, size, text = T.windows(counts)
