@@ -339,6 +339,16 @@ def test_members_leave_without_a_shuffle(spark, monkeypatch, name):
     assert out.count() == whole.count() > 2000 and out.select("s1_id", "match_id").exceptAll(whole.select("s1_id", "match_id")).isEmpty()
 
 
+def test_long_texts_go_in_more_parts(spark, monkeypatch):
+    """Pairs that carry the words of addresses are dealt to twice as many parts, so that as many bytes are on disk at a time."""
+    data, seen, real = "/root/testdata/sf0.001", {"F5_acronym": 0, "F6_address_overlap": 0}, classes.packed
+    monkeypatch.setattr(catalog, "PAIRS_AT_ONCE", 2000)
+    for name in seen:
+        monkeypatch.setattr(classes, "packed", lambda *a, name=name: seen.update({name: seen[name] + 1}) or real(*a))
+        catalog.QUERIES[name](spark, data)
+    assert seen["F6_address_overlap"] - 1 >= 2 * (seen["F5_acronym"] - 1) > 0
+
+
 def test_packed_rows(spark, monkeypatch):
     """Large classes on both sides, in rows of few ids, give each pair of members once."""
     monkeypatch.setattr(classes, "CHUNK", 2)
