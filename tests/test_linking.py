@@ -379,3 +379,29 @@ def test_minhash_where_ids_repeat(spark, monkeypatch):
     feeds = spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string")
     monkeypatch.setattr(catalog, "records", lambda spark, d: feeds)
     assert [tuple(r) for r in catalog.QUERIES["J10_minhash_channel"](spark, "").collect()] == [("S1-1", "S2-1", "minhash")]
+
+
+def test_classes_by_texts(spark, monkeypatch):
+    """Classes are told apart by texts, and words are cut for their representatives alone; the tables are read for repeated ids, not the feeds once more."""
+    data, reads, real = "/root/testdata/sf0.001", [], catalog.records
+    monkeypatch.setattr(catalog, "records", lambda s, d: reads.append(d) or real(s, d))
+    fields = catalog.WORDS + catalog.PLACES
+    g = catalog.grouped(spark, data, fields)
+    assert len(reads) == 1 and set(fields) <= set(g.left.columns)
+    plain = catalog.normal(spark, data).withColumn("country", F.when(F.col("postal_code_guess") != "", F.col("country")).otherwise(""))
+    for side, want in ((g.left, plain.where("source = 'S1'")), (g.right, plain.where("source <> 'S1'"))):
+        alike = want.groupBy(*fields).agg(F.min("entity_id").alias("entity_id"), F.count(F.lit(1)).alias("size"))
+        got = lambda df: sorted(map(repr, df.select("entity_id", "size", *fields).collect()))
+        assert got(side) == got(alike)
+
+
+def test_couples_made_natively(spark):
+    """Rows of pairs of words are those of the array of couples, in parts, too."""
+    df = spark.createDataFrame([("r1", 2, ["c", "a", "b", "d"]), ("r2", 1, ["z"]), ("r3", 1, []), ("r4", 1, ["é", "e"])], "entity_id string, size int, words array<string>")
+    for parts in (1, 3):
+        for k in range(parts):
+            want = df.select("entity_id", "size", F.explode(blocking.couples(F.col("words"), k, parts)).alias("key"))
+            got = blocking.paired(df, k, parts)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "lambda" not in plan

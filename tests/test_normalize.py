@@ -120,3 +120,15 @@ def test_functions_in_sql(spark):
       edit_similarity('abc', 'abd') AS g, edit_similarity('', '') AS h, set_jaccard(array('a', 'b'), array('b', 'b', 'c')) AS i, set_jaccard(array(), array()) AS j, id_list(' S2-1 ,S2-2,,S2-1') AS k""").first()
     assert tuple(row)[:3] == ("Cafe", "SM0", 0.961) and abs(row.d - 0.625 / 0.75) < 1e-12 and (row.e, row.f) == (1.0, 0.0)
     assert abs(row.g - 2 / 3) < 1e-12 and row.h == 1.0 and abs(row.i - 1 / 3) < 1e-12 and row.j == 0.0 and row.k == ["S2-1", "S2-2"]
+
+
+def test_street_words_and_folding_word_by_word(spark):
+    """Equal short words side by side, runs of spaces and texts without letters to fold, against plain Python; no regular expression a word."""
+    texts = ["st st rd", "rd", " st  st ", "best street", "", "  ", "1 ave, st", "a  st   rd b", "Straße st", "née", "plain"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    words = lambda t: " ".join(T.STREET_WORDS.get(w, w) for w in t.split(" "))
+    assert {r.t: r.x for r in df.select("t", T.expand_street_words(F.col("t")).alias("x")).collect()} == {**{t: words(t) for t in texts}, None: None}
+    got = {r.t: r.x for r in df.select("t", T.fold(F.col("t")).alias("x")).collect()}
+    assert (got["Straße st"], got["née"], got["plain"], got[""], got[None]) == ("Strasse st", "nee", "plain", "", None)
+    plan = df.select(T.expand_street_words(F.col("t")).alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().count("regexp_replace") <= 1
