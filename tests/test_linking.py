@@ -405,3 +405,19 @@ def test_couples_made_natively(spark):
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
             plan = got._jdf.queryExecution().executedPlan().toString()
             assert "lambda" not in plan
+
+
+def test_fits_on_alike_pairs(spark, monkeypatch):
+    """Trees and calibration see each set of values once, with the weight of all pairs that have it."""
+    left = records(spark, [(f"S1-{k:02}", f"Alpha {'Beta' if k % 2 else 'Gamma'}", "", "IT") for k in range(30)])
+    right = records(spark, [(f"S2-{k:02}", f"Alpha {'Beta' if k % 3 else 'Gama'}", "", "IT") for k in range(20)])
+    seen, train, fit = {}, model.train_rounds, model.calibrator
+    note = lambda what, df: seen.update({what: df.toPandas()})
+    monkeypatch.setattr(model, "train_rounds", lambda df, **o: note("trees", df) or train(df, trees=2, **o))
+    monkeypatch.setattr(model, "calibrator", lambda df, **o: note("scores", df) or fit(df, **o))
+    pairs_of = left.select(F.col("entity_id").alias("s1_id")).join(right.select(F.col("entity_id").alias("match_id")))
+    link_all.link(left, right, pairs_of, pair_table(spark, {f"S1-{k:02}": [f"S2-{k % 20:02}"] for k in range(30)}), lambda df: df.localCheckpoint())
+    fold = {r.s1_id: r.fold for r in folds.hash_folds(left.select(F.col("entity_id").alias("s1_id")), "s1_id").collect()}
+    trained, middle = sum(f < link_all.CALIBRATION for f in fold.values()), sum(f == link_all.CALIBRATION for f in fold.values())
+    for what, columns, entities in (("trees", [*model.NUMERIC, "label"], trained), ("scores", ["score", "label"], middle)):
+        assert not seen[what].duplicated(columns).any() and seen[what].weight.sum() == 20 * entities > len(seen[what])
